@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: CRC-32 based folds of the contracts.
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo `modulus`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
@@ -33,3 +38,23 @@ def materialise(df: DataFrame) -> DataFrame:
 def shuffle_width(spark: SparkSession, rows: int, per_task: int) -> int:
     """Partitions so that about `per_task` rows meet in each, at least the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / per_task))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes `df` as a table in the shared checkpoint folder, packed by columns, and reads it back."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def sliced(batches: Iterable[pa.RecordBatch], column: int = 1, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices whose binary `column` has about `most` bytes at most, or one row: a task holds no more of its output than that."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        low = 0
+        while low < b.num_rows:
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most, "right")))
+            yield b.slice(low, high - low)
+            low = high

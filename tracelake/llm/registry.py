@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("simhash", "bpe", "transport")
+MODULES = ("simhash", "bpe", "transport", "lattice", "toxicity", "urls")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
