@@ -1,8 +1,8 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
 Fit: a bounded sample of at most `per_class` labelled training rows of either class, the first by the hash of their id.
-Terms are the TERMS words whose presence tells most about the label in that sample (signed log-likelihood ratio, both
-ways). Their inverse document frequencies come from all documents. The sample's vectors are put in order of their
+Terms are the TERMS words and beginnings of words whose presence tells most for the label in that sample, by
+log-likelihood ratio, and that are at least LIFT times as common in toxic rows. Their inverse document frequencies come from all documents. The sample's vectors are put in order of their
 heaviest terms, so that likes are neighbours, and cut into blocks; each term's postings are kept by block with the
 block's largest weight. The index is a few MB at most, by per_class and TERMS, whatever the corpus.
 
@@ -33,12 +33,19 @@ from .common import fold, stored, table
 FOLDS, HELD = 5, 0
 PER_CLASS, TERMS, NEIGHBOURS, BLOCK = 4096, 1024, 15, 64
 #: Terms must be in so many sampled rows.
-LEAST = 4
+LEAST, GAIN, LIFT = 4, 24.0, 2.0
+STEMS = range(3, 8)
 WORD = re.compile(r"[^\W\d_]{2,}")
 
 
-def tokens(text: bytes | None) -> list[str]:
-    return WORD.findall(text.decode().lower()) if text else []
+def tokens(text: bytes | None) -> Counter:
+    """The words of a text and their counts."""
+    return Counter(WORD.findall(text.decode().lower())) if text else Counter()
+
+
+def stems(word: str) -> list[str]:
+    """The terms a word counts for: itself, and its beginnings, marked by a star."""
+    return [word, *[word[:k] + "*" for k in STEMS if len(word) > k]]
 
 
 class Index:
@@ -160,7 +167,7 @@ def terms_of(docs: DataFrame, picked: DataFrame, sizes: tuple[int, int], most: i
         seen = (Counter(), Counter())
         for b in batches:
             for text, y in zip(b.column("text"), b.column("y").to_pylist()):
-                seen[y].update(set(tokens(text.as_py())))
+                seen[y].update({s for w in tokens(text.as_py()) for s in stems(w)})
             if len(seen[0]) + len(seen[1]) > 500_000:
                 yield out(seen)
                 seen[0].clear(), seen[1].clear()
@@ -175,7 +182,7 @@ def terms_of(docs: DataFrame, picked: DataFrame, sizes: tuple[int, int], most: i
     p = (F.col("n0") + F.col("n1")) / F.lit(float(n0 + n1))
     part = lambda k, n: F.when(k > 0, k * F.log(k / (p * n))).otherwise(0.0) + F.when(k < n, (n - k) * F.log((n - k) / ((1 - p) * n))).otherwise(0.0)
     gain = F.round(part(F.col("n0"), float(n0)) + part(F.col("n1"), float(n1)), 6)
-    return [r["word"] for r in found.withColumn("gain", gain).where("gain > 10.83").orderBy(F.desc("gain"), "word").limit(most).select("word").collect()]
+    return [r["word"] for r in found.withColumn("gain", gain).where((F.col("gain") > GAIN) & (F.col("n1") / n1 > LIFT * F.col("n0") / n0)).orderBy(F.desc("gain"), "word").limit(most).select("word").collect()]
 
 
 def features(docs: DataFrame, terms: list[str]) -> DataFrame:
@@ -187,7 +194,11 @@ def features(docs: DataFrame, terms: list[str]) -> DataFrame:
         for b in batches:
             at, n = [], []
             for text in b.column(1):
-                c = Counter(map(number.get, filter(known.__contains__, tokens(text.as_py()))))
+                c: Counter = Counter()
+                for w, times in tokens(text.as_py()).items():
+                    for s in stems(w):
+                        if s in known:
+                            c[number[s]] += times
                 keys = sorted(c)
                 at.append(keys)
                 n.append([c[k] for k in keys])
