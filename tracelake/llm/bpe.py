@@ -8,7 +8,7 @@ comes after the space. So the encoding of the text before the position and of th
 tokens outside the window from the last such position on the left to the first on the right cannot change. The window
 grows until both ends are such positions or the ends of the span. Decoding concatenates bytes up the same tree.
 
-Null text counts as empty: no ids, no bytes. Extra columns are carried along.
+Null text counts as empty: no ids, no bytes. Other columns are carried along; columns named as the new ones must not exist.
 """
 
 from __future__ import annotations
@@ -17,11 +17,13 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table
+from .common import sliced, table
 
 LEAF = 8192
 WINDOW = 64
@@ -102,36 +104,48 @@ def vocabulary(path: str) -> bytes:
     return ranks
 
 
-def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", to: str = "ids", leaf: int = LEAF) -> DataFrame:
-    """Adds `to`, the token ids of `text`."""
+def _flat(rows: list) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate([np.asarray(r, np.int32) for r in rows]) if rows else [], pa.int32()))
+
+
+def _run(df: DataFrame, ranks: str, pattern: str, source: str, new: list[str], leaf: int) -> DataFrame:
+    """Adds the columns `new` out of ids and decoded. Texts and ids of a few MB at a time are in Python."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary(ranks))
+    column = len(df.columns)
 
-    @F.pandas_udf("array<int>")
-    def ids(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(shared.value, pattern)
-        for part in parts:
-            yield pd.Series([encode_tree(t, coder.encode_ordinary, leaf) if t else [] for t in part], dtype=object)
+        for b in batches if source == "ids" else sliced(batches, column, 1 << 20):
+            if source == "ids":
+                ids = [np.empty(0, np.int32) if x.as_py() is None else x.values.to_numpy() for x in b.column(column)]
+            else:
+                ids = [encode_tree(x.as_py().decode(), coder.encode_ordinary, leaf) if x.is_valid else [] for x in b.column(column)]
+            made = {"ids": lambda: _flat(ids), "decoded": lambda: pa.array([decode_tree(x if isinstance(x, list) else x.tolist(), coder.decode_bytes) for x in ids], pa.binary())}
+            yield pa.RecordBatch.from_arrays([*b.columns[:column], *(made[k]() for k in new)], names=[*b.schema.names[:column], *new])
 
-    return df.withColumn(to, ids(F.col(text)))
+    given = df.select("*", (F.col("text").cast("binary") if source == "text" else F.col("ids")).alias("_given"))
+    out = T.StructType([*df.schema.fields, *(T.StructField(k, T.ArrayType(T.IntegerType(), False) if k == "ids" else T.BinaryType()) for k in new)])
+    return given.mapInArrow(run, out)
 
 
-def decode(df: DataFrame, ranks: str, pattern: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
-    """Adds `to`, the bytes that the token ids stand for."""
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary(ranks))
+def encode(df: DataFrame, ranks: str, pattern: str, leaf: int = LEAF) -> DataFrame:
+    """Adds `ids`, the token ids of `text`."""
+    return _run(df, ranks, pattern, "text", ["ids"], leaf)
+
+
+def decode(df: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """Adds `decoded`, the bytes that the token ids in `ids` stand for; null ids stand for none."""
+    return _run(df, ranks, pattern, "ids", ["decoded"], LEAF)
 
-    @F.pandas_udf("binary")
-    def back(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = load(shared.value, pattern)
-        for part in parts:
-            yield pd.Series([b"" if x is None else decode_tree(x.tolist(), coder.decode_bytes) for x in part], dtype=object)
 
-    return df.withColumn(to, back(F.col(ids)))
+def round_trip(df: DataFrame, ranks: str, pattern: str, leaf: int = LEAF) -> DataFrame:
+    """Adds `ids` and, decoded from these, `decoded`, in one pass."""
+    return _run(df, ranks, pattern, "text", ["ids", "decoded"], leaf)
 
 
 def digests(df: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded bytes, from the operators' own outputs."""
-    coded = decode(encode(df.select("doc_id", "text"), ranks, pattern), ranks, pattern)
-    return coded.select(
+    return round_trip(df.select("doc_id", "text"), ranks, pattern).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
