@@ -94,3 +94,7 @@ def dedup_lines(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
 
 def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed")
+
+
+def characters(text: str) -> Column:
+    return F.length(text).cast("long")

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("simhash", "lattice", "lines", "html", "transport", "bpe", "toxicity", "urls")
+MODULES = ("simhash", "lattice", "language", "lines", "decontaminate", "html", "transport", "bpe", "toxicity", "urls")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
