@@ -16,6 +16,15 @@ def vector_literal(vec: Sequence[float]) -> Column:
     return F.array(*(F.lit(float(x)) for x in vec))
 
 
+def embed(rows: DataFrame, id_: str, text: str, dim: int = 256) -> DataFrame:
+    """(id, vec): the hashing embedding of every row, by counting cells; for many or long texts, where the scalar form would walk all `dim` cells for each token."""
+    cells = rows.select(id_, F.explode(S.embedding_cells(F.col(text), dim)).alias("c")).groupBy(id_, F.col("c.bucket").alias("bucket")).agg(F.sum("c.sign").alias("x"))
+    by = cells.groupBy(id_).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    full = rows.select(id_).join(by, id_, "left")
+    cell = lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)
+    return full.select(id_, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), cell).alias("vec"))
+
+
 def top_k(vectors: DataFrame, query: Sequence[float], k: int, id_: str = "id", vec: str = "vec") -> DataFrame:
     """The k nearest by cosine. The query is a literal, so the scan is one pass and only k rows of each partition go on."""
     scored = vectors.select("*", S.cosine(F.col(vec), vector_literal(query)).alias("cosine"))

@@ -61,11 +61,11 @@ def lexical_first(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH t AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM benchmark),
-c AS (SELECT item_id, ({FNV.format(t="t")} % 256)::INTEGER AS bucket, CASE WHEN {FNV.format(t="('sign:' || t)")} % 2 = 0 THEN 1.0 ELSE -1.0 END AS sign FROM t),
+c AS (SELECT item_id, ({FNV.format(t="t")} % 256)::INTEGER AS bucket, CASE WHEN {FNV.format(t="('sign:' || t)")} % 2 = 1 THEN 1.0 ELSE -1.0 END AS sign FROM t),
 b AS (SELECT item_id, bucket, sum(sign)::DOUBLE AS x FROM c GROUP BY 1, 2), n AS (SELECT item_id, sqrt(sum(x * x)) AS norm FROM b GROUP BY 1)
 SELECT item_id, bucket, round(x / norm, 6) AS weight FROM b JOIN n USING (item_id) WHERE x <> 0""")
 def local_embed(spark: SparkSession, d: str) -> DataFrame:
-    vectors = table(spark, d, "benchmark").select("item_id", F.posexplode(S.local_embed(F.col("text"))).alias("bucket", "w"))
+    vectors = search.embed(table(spark, d, "benchmark"), "item_id", "text").select("item_id", F.posexplode("vec").alias("bucket", "w"))
     return vectors.where("w <> 0").select("item_id", "bucket", F.round("w", 6).alias("weight"))
 
 
