@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, stored, table
+from .common import fold, shuffle_width, stored, table
 
 FOLDS, HELD = 5, 0
 PER_CLASS, TERMS, NEIGHBOURS, BLOCK = 4096, 1024, 15, 64
@@ -242,9 +242,11 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        done: dict = {}
         for b in batches:
-            done: dict = {}
             out = []
+            if len(done) > 50_000:
+                done.clear()
             for t, n in zip(b.column("terms").to_pylist(), b.column("counts").to_pylist()):
                 key = (*t, -1, *n)
                 if key not in done:
@@ -252,7 +254,8 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most:
                 out.append(done[key])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
-    scored = feats.mapInArrow(run, "doc_id long, score double, evidence array<long>")
+    width = shuffle_width(spark, feats.count(), 20_000)  # the features are packed in few files
+    scored = feats.repartition(width, F.xxhash64("doc_id", "terms")).mapInArrow(run, "doc_id long, score double, evidence array<long>")
     return scored.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
