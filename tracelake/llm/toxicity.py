@@ -34,6 +34,8 @@ FOLDS, HELD = 5, 0
 PER_CLASS, TERMS, NEIGHBOURS, BLOCK = 4096, 1024, 15, 64
 #: Terms must be in so many sampled rows.
 LEAST, GAIN, LIFT = 4, 24.0, 2.0
+#: Added to either side of a vote.
+SMOOTH = 0.05
 STEMS = range(3, 8)
 WORD = re.compile(r"[^\W\d_]{2,}")
 
@@ -83,7 +85,9 @@ class Index:
                 low, high = self.start[t * self.blocks + b], self.start[t * self.blocks + b + 1]
                 if high > low:
                     sums[self.at[low:high] - b * self.block] += w * self.weight[low:high]
-            hits = np.nonzero(sums)[0]
+            hits = np.nonzero(sums > (-best[k - 1][0] - 1e-11 if len(best) >= k else 0))[0]
+            if len(hits) > k + 1:  # only the block's own best can come in; ties with the last of them stay
+                hits = hits[sums[hits] >= np.partition(sums[hits], -k - 1)[-k - 1] - 1e-11]
             best = sorted([*best, *((-round(float(sums[i]), 12), int(b * self.block + i)) for i in hits if b * self.block + i != without)])[:k]
         return [(-s, i) for s, i in best]
 
@@ -103,7 +107,7 @@ class Model:
             self._calibrate()
 
     def vote(self, near: list[tuple[float, int]]) -> float | None:
-        sums = [1e-9, 1e-9]
+        sums = [SMOOTH, SMOOTH]
         for cosine, row in near:
             y = self.index.labels[row]
             sums[y] += cosine * cosine * self.share[y]
@@ -130,12 +134,19 @@ class Model:
         n1, n0 = (weight * y).sum() / weight.sum() * len(y), (weight * (1 - y)).sum() / weight.sum() * len(y)
         goal = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
         f, theta = np.stack([x, np.ones_like(x)], 1), np.array([1.0, 0.0])
-        for _ in range(50):
+
+        def loss(t: np.ndarray) -> float:
+            z = f @ t
+            return float((weight * (np.logaddexp(0, z) - goal * z)).sum() + 5e-4 * ((t - [1.0, 0.0]) ** 2).sum())
+
+        for _ in range(100):
             p = 1 / (1 + np.exp(-f @ theta))
             grad = f.T @ (weight * (p - goal)) + 1e-3 * (theta - [1.0, 0.0])
             hess = (f * (weight * p * (1 - p))[:, None]).T @ f + 1e-3 * np.eye(2)
-            step = np.linalg.solve(hess, grad)
-            theta = theta - np.clip(step, -2, 2)
+            step, now = np.linalg.solve(hess, grad), loss(theta)
+            while np.abs(step).max() > 1e-9 and loss(theta - step) > now:
+                step = step / 2
+            theta = theta - step
             if np.abs(step).max() < 1e-9:
                 break
         if theta[0] > 0:
