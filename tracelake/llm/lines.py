@@ -1,13 +1,16 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions alone.
 
-A document's lines are hashed, and a rolling hash over WINDOW line hashes says where it is cut: before line i if the
-hash of lines i-1 and i falls into the chunking's residue class, and on both sides of a line of over LONG words. Both
-depend on neighbouring lines alone, so a passage is cut alike wherever it stands. There is one chunking for each residue
-of CLASSES; where one cuts, the others don't, so that together they have multi-line chunks all through a passage.
-Chunks of at least two lines, and lines of over LONG words, are candidates. A chunk hash that occurs more than once in
-the corpus is looked up again with its bytes; if all chunks of that hash have the same bytes, every occurrence but the
-first (by doc_id, text hash and line) is removed. Chunks whose hash stands for different bytes are left alone. What is
-removed always remains elsewhere: its first occurrence loses a line only to a chunk that occurs still earlier.
+A document's lines are hashed, and a rolling hash over the hashes of two neighbouring lines says where it is cut: before
+line i if the hash of lines i-1 and i falls into the chunking's residue class. There is one chunking for each residue of
+CLASSES; where one cuts, the others don't, so that together they have multi-line chunks all through a passage, wherever
+it stands. At the edges of a passage the cut depends on what stands beside it; so, besides, from every line that isn't
+blank a chunk of the fewest lines with over LONG words is taken, which lies in the passage alone. Therefore every
+passage of whole lines with over LONG words that repeats is found whole, and most of shorter multi-line ones.
+
+A chunk hash that occurs more than once in the corpus is looked up again with its bytes; if all chunks of that hash have
+the same bytes, every occurrence but the first (by doc_id, text hash and line) is removed. Chunks whose hash stands for
+different bytes are left alone. What is removed always remains elsewhere: its first occurrence loses a line only to a
+chunk that occurs still earlier.
 
 Only hashes are counted over all chunks; texts move only for repeated ones. Grouping is by hash with map-side partial
 sums, so a chunk with a third of all occurrences is no heavier than another.
@@ -29,8 +32,8 @@ FEW = 1000
 
 
 def _words(line: Column) -> Column:
-    """Spaces in a line, about its words."""
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+    """Words of a line, by its spaces; none in a blank one."""
+    return F.when(F.trim(line) == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
 
 
 def _let(value: Column, body) -> Column:
@@ -38,23 +41,47 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _reach(counts: Column, k: Column, most: int) -> Column:
+    """How many of the up to `most` counts from place k on add up to over LONG; null if all together don't."""
+    start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"))
+    done = F.aggregate(F.slice(counts, k + 1, F.lit(most)), start, lambda a, c: F.when(a["sum"] > LONG, a).otherwise(F.struct((a["sum"] + c).alias("sum"), (a["n"] + 1).alias("n"))))
+    return F.when(done["sum"] > LONG, done["n"])
+
+
 def chunks(lines: Column, classes: int = CLASSES) -> Column:
     """array<struct<s, e, h>> of the candidates: lines s to e - 1 (from 0) and the hash of their hashes."""
 
-    def one(hashes: Column, long: Column, n: Column, rest: int) -> Column:
+    def hashed(spans: Column, hashes: Column) -> Column:
+        return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.xxhash64(F.slice(hashes, x["s"] + 1, x["e"] - x["s"])).alias("h")))
+
+    def cut_up(hashes: Column, n: Column, rest: int) -> Column:
         def cut(i: Column) -> Column:
-            rolled = F.pmod(F.xxhash64(F.get(hashes, i - 1), F.get(hashes, i)), F.lit(classes)) == rest
-            return (i == 0) | rolled | F.get(long, i) | F.get(long, i - 1)
+            return (i == 0) | (F.pmod(F.xxhash64(F.get(hashes, i - 1), F.get(hashes, i)), F.lit(classes)) == rest)
 
         def spans(starts: Column) -> Column:
             all_ = F.transform(starts, lambda s, k: F.struct(s.alias("s"), F.coalesce(F.get(starts, k + 1), n).alias("e")))
-            some = F.filter(all_, lambda x: (x["e"] - x["s"] >= 2) | F.get(long, x["s"]))
-            return F.transform(some, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.xxhash64(F.slice(hashes, x["s"] + 1, x["e"] - x["s"])).alias("h")))
+            return hashed(F.filter(all_, lambda x: x["e"] - x["s"] >= 2), hashes)
 
         return _let(F.filter(F.sequence(F.lit(0), n - 1), cut), spans)
 
-    marked = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), (_words(x) >= LONG).alias("long")))
-    return _let(marked, lambda m: _let(F.struct(F.transform(m, lambda x: x["h"]).alias("h"), F.transform(m, lambda x: x["long"]).alias("long"), F.size(m).alias("n")), lambda v: F.array_distinct(F.concat(*(one(v["h"], v["long"], v["n"], r) for r in range(classes))))))
+    def over_long(hashes: Column, counts: Column) -> Column:
+        # Lines that aren't blank have a word each, so LONG + 1 of them always reach over LONG.
+        some = F.filter(F.transform(counts, lambda c, i: F.struct(i.alias("i"), c.alias("c"))), lambda x: x["c"] > 0)
+
+        def spans(rows: Column) -> Column:
+            number = F.struct(F.transform(rows, lambda x: x["i"]).alias("i"), F.transform(rows, lambda x: x["c"]).alias("c"))
+
+            def found(v: Column) -> Column:
+                ends = F.transform(v["i"], lambda i, k: F.struct(i.alias("s"), F.get(v["i"], k + F.coalesce(_reach(v["c"], k, 6), _reach(v["c"], k, LONG + 1)) - 1).alias("last")))
+                return F.transform(F.filter(ends, lambda x: x["last"].isNotNull()), lambda x: F.struct(x["s"].alias("s"), (x["last"] + 1).alias("e")))
+
+            return hashed(_let(number, found), hashes)
+
+        return _let(some, spans)
+
+    marks = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), _words(x).alias("c")))
+    parts = lambda m: F.struct(F.transform(m, lambda x: x["h"]).alias("h"), F.transform(m, lambda x: x["c"]).alias("c"), F.size(m).alias("n"))
+    return _let(marks, lambda m: _let(parts(m), lambda v: F.array_distinct(F.concat(*(cut_up(v["h"], v["n"], r) for r in range(classes)), over_long(v["h"], v["c"])))))
 
 
 def marked(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
