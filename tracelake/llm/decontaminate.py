@@ -70,17 +70,24 @@ def simhash(windows: DataFrame, hashes: str, keys: list[str]) -> DataFrame:
 
 
 def anchors(items: DataFrame) -> DataFrame:
-    """(item_id, word): words of which each window that matches has one. items: item_id, words."""
+    """(item_id, word): words of which each window that matches has one. items: item_id, words.
+
+    With s shingles at most s / 5 may be missing. Up to four: none, so any word will do. Up to eight: one, so a word
+    that is in two. Beyond, words that stand four from either end are in five, and so many of them, five apart, are
+    taken that they are in more than may be missing.
+    """
     n = F.size("words")
-    places = n - (SHINGLE - 1)
-    parts = F.when(n < 13, 1).otherwise(F.floor(F.floor(places * (1 - SIMILARITY) + 1e-9) / SHINGLE) + 1).cast("int")
-    exploded = items.where(n > 0).select("item_id", n.alias("n"), parts.alias("parts"), F.posexplode("words").alias("p", "word"))
-    inner = F.col("n") - 2 * (SHINGLE - 1)
-    part = F.when(F.col("n") < 13, 0).otherwise(F.floor((F.col("p") - (SHINGLE - 1)) * F.col("parts") / inner))
+    places = F.greatest(n - (SHINGLE - 1), F.lit(1))
+    lacking = F.floor(places * (1 - SIMILARITY) + 1e-9).cast("int")
+    parts = F.when(places < 9, 1).otherwise(F.floor(lacking / SHINGLE) + 1).cast("int")
+    exploded = items.where(n > 0).select("item_id", n.alias("n"), lacking.alias("lacking"), parts.alias("parts"), F.posexplode("words").alias("p", "word"))
+    edge = F.when(F.col("lacking") == 0, 0).when(F.col("n") < 13, 1).otherwise(SHINGLE - 1)
+    inner = F.col("n") - 2 * edge
+    part = F.floor((F.col("p") - edge) * F.col("parts") / inner)
     # The next part's first place is five away from the last one allowed in this part.
-    ahead = F.floor((F.col("p") - (SHINGLE - 1) + (SHINGLE - 1)) * F.col("parts") / inner)
-    fits = (F.col("n") < 13) | ((F.col("p") >= SHINGLE - 1) & (F.col("p") < F.col("n") - (SHINGLE - 1)) & ((ahead == F.col("part")) | (F.col("part") == F.col("parts") - 1)))
-    ranked = exploded.withColumn("part", part).where(fits).withColumn("rank", F.row_number().over(Window.partitionBy("item_id", "part").orderBy(F.desc(F.length("word")), "p")))
+    ahead = F.floor((F.col("p") - edge + (SHINGLE - 1)) * F.col("parts") / inner)
+    fits = (F.col("p") >= edge) & (F.col("p") < F.col("n") - edge) & ((ahead == part) | (part == F.col("parts") - 1))
+    ranked = exploded.where(fits).withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("item_id", "part").orderBy(F.desc(F.length("word")), "p")))
     return ranked.where("rank = 1").select("item_id", "word")
 
 
@@ -93,6 +100,7 @@ def similarity(a: Column, b: Column) -> Column:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, th, item_id, start, n_words, hamming, similarity): the best window of each document and item that match. th is the text's hash."""
+    spark = docs.sparkSession
     items = stored(benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0).distinct())
     items = items.withColumn("shingles", shingles(F.col("words")))
     marks = anchors(items).select("word").distinct()
@@ -108,8 +116,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, le
     # Shingles of the items in the documents that have an anchor: each lines a window up.
     hashed = lambda c: F.transform(c, lambda s: F.xxhash64(s))
     of_items = items.select("item_id", F.size("words").alias("n"), F.size("shingles").alias("m"), F.posexplode(hashed("shingles")).alias("j", "h"))
-    in_docs = held.select("doc_id", "th", F.size("words").alias("len"), F.posexplode(hashed(shingles(F.col("words")))).alias("i", "h"))
-    hits = in_docs.join(of_items, "h")
+    # Items of fewer than five words are one shingle of their size; these sizes are at most four.
+    sizes = [r["n"] for r in items.select(F.least(F.size("words"), F.lit(SHINGLE)).alias("n")).distinct().collect()]
+    hits = None
+    for size in sorted(sizes):
+        in_docs = held.select("doc_id", "th", F.size("words").alias("len"), F.posexplode(hashed(shingles(F.col("words"), size))).alias("i", "h"))
+        found = in_docs.join(of_items.where((F.col("n") == size) if size < SHINGLE else (F.col("n") >= size)), "h")
+        hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
+        return spark.createDataFrame([], docs.select("doc_id").schema.add("th", "long").add("item_id", benchmark.schema["item_id"].dataType).add("start", "integer").add("n_words", "integer").add("hamming", "integer").add("similarity", "double"))
     slack = F.floor(F.col("m") * (1 - least) + 1e-9).cast("int")
     starts = hits.select("doc_id", "th", "len", "item_id", "n", (F.col("i") - F.col("j")).alias("at"), slack.alias("slack")).distinct()
     starts = starts.select("doc_id", "th", "len", "n", F.explode(F.sequence(F.col("at") - F.col("slack"), F.col("at") + F.col("slack"))).alias("at"))
