@@ -9,7 +9,7 @@ piece fall back to byte pieces. The lattice is mixed with the training counts by
 P(w) = max(0, c(w) - d) / N + d V / N * lattice(w), d = n1 / (n1 + 2 n2) from the words seen once and twice.
 The end token has its discounted count alone.
 
-Plan: documents are dealt into blocks by their id's hash, once. Each block gives its distinct words with training
+Plan: documents are dealt into blocks of about BLOCK rows or BLOCK_BYTES by their id's hash. Each block gives its distinct words with training
 counts; these meet by word with the vocabulary of all words, whose lattice weights are computed once a word, and return
 to their block, where whole texts are scored. So nothing larger than a block's own words is held anywhere, and a
 frequent word moves once a block, not once a use. What is gathered grows with the corpus.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import fold, stored, table
 
 FOLDS, HELD, SHIFT = 7, 2, 2.7
-BLOCK = 4096
+BLOCK, BLOCK_BYTES = 4096, 16 << 20
 END = b""
 START = "▁"
 LOG10 = math.log(10)
@@ -206,7 +206,8 @@ def score(df: DataFrame, model: bytes, text: str = "text", doc_id: str = "doc_id
         raise ValueError("a vocabulary of over 64 MB is not broadcast")
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // block_rows))
+    size = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0)).alias("bytes")).first()
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["rows"] // block_rows), -(-size["bytes"] // BLOCK_BYTES))
     docs = df.select(
         F.pmod(F.xxhash64(F.col(doc_id)), F.lit(blocks)).cast("int").alias("block"),
         F.col(doc_id).alias("doc_id"),
