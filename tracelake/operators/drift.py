@@ -20,8 +20,8 @@ def drift(declared: Column, actual: Column) -> Column:
 def cumulative(turns: DataFrame, key: str, order: list[str], paths: str, to: str = "declared_so_far") -> DataFrame:
     """The distinct paths of each turn and all before it in its session, absolute ones left out.
 
-    Each path counts from its first turn, so the running list has every path once: first occurrences are picked before
-    the window gathers them.
+    A session's paths so far are part of every row of the result, so a session is held whole; streaming.jobs has the
+    form that keeps them as state.
     """
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = F.filter(F.coalesce(F.col(paths), F.array().cast("array<string>")), lambda p: ~p.startswith("/"))

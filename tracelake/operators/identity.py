@@ -7,11 +7,11 @@ known path, then observed path.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .coupling import checkpointed
 
 THRESHOLD = 0.6
 
@@ -27,18 +27,21 @@ def candidates(gone: DataFrame, new: DataFrame, least: float) -> DataFrame:
 
 
 def assign(pairs: DataFrame) -> DataFrame:
-    """Greedy one-to-one assignment within each scope, one commit's changed paths, so a group is small."""
-
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["similarity", "known", "observed"], ascending=[False, True, True])
-        known, observed, keep = set(), set(), []
-        for k, o in zip(group["known"], group["observed"]):
-            keep.append(k not in known and o not in observed)
-            if keep[-1]:
-                known.add(k), observed.add(o)
-        return group[keep]
-
-    return pairs.groupBy("scope").applyInPandas(pick, pairs.schema)
+    """Greedy one-to-one assignment within each scope, without gathering a scope in one task.
+
+    The order (similarity falling, known, observed) has no ties, so a pair that is first for both its ends is what the
+    greedy walk would take, whatever else there is. Each round takes all such pairs and drops those that share an end.
+    """
+    left, taken = checkpointed(pairs), None
+    place = F.struct((-F.col("similarity")).alias("s"), "known", "observed")
+    while not left.isEmpty():
+        by_known = left.groupBy("scope", "known").agg(F.min(place).alias("_k"))
+        by_observed = left.groupBy("scope", "observed").agg(F.min(place).alias("_o"))
+        first = left.join(by_known, ["scope", "known"]).join(by_observed, ["scope", "observed"]).where((place == F.col("_k")) & (place == F.col("_o")))
+        first = checkpointed(first.select(*pairs.columns))
+        taken = first if taken is None else taken.union(first)
+        left = checkpointed(left.join(first.select("scope", "known"), ["scope", "known"], "left_anti").join(first.select("scope", "observed"), ["scope", "observed"], "left_anti"))
+    return taken if taken is not None else left
 
 
 def resolve(known: DataFrame, observed: DataFrame, least: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:

@@ -19,8 +19,8 @@ from .standins import table
 def identity_resolution(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", "text", S.line_shingles(F.col("text")).alias("shingles"), F.md5("text").alias("hash"))
     path = lambda k: F.concat_ws("/", F.lit(k), F.col("doc_id").cast("string"))
-    known = docs.where("doc_id % 2 = 0").select(F.col("source").alias("scope"), path("old").alias("path"), F.col("doc_id").cast("string").alias("id"), "hash", "shingles")
-    observed = docs.where("doc_id % 3 = 0").select(F.col("source").alias("scope"), F.when(F.col("doc_id") % 4 == 0, path("old")).otherwise(path("new")).alias("path"), "hash", "shingles")
+    known = docs.select(F.col("source").alias("scope"), path("old").alias("path"), F.col("doc_id").cast("string").alias("id"), "hash", "shingles")
+    observed = docs.select(F.col("source").alias("scope"), F.when(F.col("doc_id") % 4 == 0, path("old")).otherwise(path("new")).alias("path"), "hash", "shingles")
     resolved, removed = identity.resolve(known, observed)
     return resolved.groupBy("status").agg(F.count("*").alias("n")).union(removed.select(F.lit("removed").alias("status")).groupBy("status").agg(F.count("*").alias("n")))
 

@@ -127,11 +127,11 @@ def blast_radius(spark: SparkSession, d: str) -> DataFrame:
     return coupling.blast_radius(coupling.cochange(commit_files(spark, d), support=3))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 200 AS src, l_suppkey % 200 AS dst FROM lineitem WHERE l_orderkey % 97 = 0 AND l_partkey % 200 <> l_suppkey % 200),
-r(root, id) AS (SELECT s, s FROM (VALUES (1), (2), (3), (5), (8)) t(s) UNION SELECT root, src FROM r JOIN e ON id = dst) SELECT root::BIGINT AS root, id::BIGINT AS id FROM r WHERE root <> id""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey <> l_suppkey),
+r(root, id) AS (SELECT s, s FROM (VALUES (1::BIGINT), (2), (3)) t(s) UNION SELECT root, src FROM r JOIN e ON id = dst) SELECT root, id FROM r WHERE root <> id""")
 def dependents(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "lineitem").where("l_orderkey % 97 = 0").select((F.col("l_partkey") % 200).alias("src"), (F.col("l_suppkey") % 200).alias("dst")).where("src <> dst").distinct()
-    return coupling.dependents(e, spark.createDataFrame([(1,), (2,), (3,), (5,), (8,)], "id long"))
+    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).where("src <> dst").distinct()
+    return coupling.dependents(e, spark.createDataFrame([(1,), (2,), (3,)], "id long"))
 
 
 @query("""WITH c AS (SELECT c_custkey AS id, c_nationkey AS parent_id, greatest(0, max(o_totalprice), any_value(c_acctbal)) AS risk FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2),
@@ -203,7 +203,7 @@ def turn_segmentation(spark: SparkSession, d: str) -> DataFrame:
     return seg.groupBy("conv_id", "ordinal").agg(F.count("*").alias("records"), F.min("turn").alias("first_turn"))
 
 
-@query("""WITH b AS (SELECT doc_id AS path, md5(text) AS h FROM documents WHERE doc_id % 2 = 0), a AS (SELECT doc_id AS path, md5(CASE WHEN doc_id % 4 = 0 THEN text || chr(10) || 'added line' ELSE text END) AS h FROM documents WHERE doc_id % 3 = 0)
+@query("""WITH b AS (SELECT doc_id AS path, md5(text) AS h FROM documents), a AS (SELECT CASE WHEN doc_id % 3 = 0 THEN doc_id + 1000000000 ELSE doc_id END AS path, md5(CASE WHEN doc_id % 4 = 0 THEN text || chr(10) || 'added line' ELSE text END) AS h FROM documents)
 SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'deleted' ELSE 'modified' END AS status FROM a FULL JOIN b ON a.path = b.path WHERE a.h IS DISTINCT FROM b.h""")
 def tree_diff(spark: SparkSession, d: str) -> DataFrame:
     from .standins import slices
@@ -213,8 +213,8 @@ def tree_diff(spark: SparkSession, d: str) -> DataFrame:
     return drift.tree_diff(hashed(before), hashed(after))
 
 
-@query("""WITH a AS (SELECT doc_id AS path, unnest(string_split(CASE WHEN doc_id % 4 = 0 THEN text || chr(10) || 'added line' ELSE text END, chr(10))) AS line, 1 AS n FROM documents WHERE doc_id % 3 = 0),
-b AS (SELECT doc_id AS path, unnest(string_split(text, chr(10))) AS line, -1 AS n FROM documents WHERE doc_id % 2 = 0), x AS (SELECT path, line, sum(n) AS d FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2)
+@query("""WITH a AS (SELECT CASE WHEN doc_id % 3 = 0 THEN doc_id + 1000000000 ELSE doc_id END AS path, unnest(string_split(CASE WHEN doc_id % 4 = 0 THEN text || chr(10) || 'added line' ELSE text END, chr(10))) AS line, 1 AS n FROM documents),
+b AS (SELECT doc_id AS path, unnest(string_split(text, chr(10))) AS line, -1 AS n FROM documents), x AS (SELECT path, line, sum(n) AS d FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2)
 SELECT path, sum(greatest(d, 0))::BIGINT AS lines_added, sum(greatest(-d, 0))::BIGINT AS lines_removed FROM x GROUP BY 1""")
 def line_delta(spark: SparkSession, d: str) -> DataFrame:
     from .standins import slices
@@ -223,11 +223,8 @@ def line_delta(spark: SparkSession, d: str) -> DataFrame:
     return drift.line_delta(before, after)
 
 
-@query("""SELECT o_orderkey, o_custkey, (SELECT max(e.ts) FROM events e WHERE e.user_id = o_custkey AND e.ts <= o.o_orderdate + INTERVAL 10000 DAY)::TIMESTAMP AS ts FROM (SELECT * FROM orders WHERE o_custkey <= 150) o""".replace("o_orderkey, o_custkey, (SELECT", "o_orderkey, (SELECT"))
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate + INTERVAL 10000 DAY AS t FROM orders) SELECT o_orderkey, max(e.ts) AS ts FROM o LEFT JOIN events e ON e.user_id = o_custkey AND e.ts <= t GROUP BY 1""")
 def as_of_events(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").where("o_custkey <= 150").select("o_orderkey", F.col("o_custkey").alias("k"), (F.col("o_orderdate") + F.expr("INTERVAL 10000 DAY")).alias("t"))
+    rows = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("k"), (F.col("o_orderdate") + F.expr("INTERVAL 10000 DAYS")).alias("t"))
     events = table(spark, d, "events").select(F.col("user_id").alias("k"), F.col("ts").alias("t"), "ts")
     return history.as_of(rows, events, "k", "t", "ts").select("o_orderkey", "ts")
-
-
-

@@ -34,8 +34,8 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def slices(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """documents as two trees: even ids before, and after them those divisible by three with some texts changed."""
+    """documents as two trees: all of them before; after, a third moved to another path and some texts changed."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("path"), "text")
-    before = docs.where("path % 2 = 0")
-    after = docs.where("path % 3 = 0").select("path", F.when(F.col("path") % 4 == 0, F.concat("text", F.lit("\nadded line"))).otherwise(F.col("text")).alias("text"))
-    return before, after
+    moved = F.when(F.col("path") % 3 == 0, F.col("path") + 1_000_000_000).otherwise(F.col("path"))
+    changed = F.when(F.col("path") % 4 == 0, F.concat("text", F.lit("\nadded line"))).otherwise(F.col("text"))
+    return docs, docs.select(moved.alias("path"), changed.alias("text"))
