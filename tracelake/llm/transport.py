@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import sliced, table
 
 #: Fixed values of the format.
 PACKET, SYNC, PMT_PID, DATA_PID, PRIVATE_TYPE, PRIVATE_ID, CLOCK = 188, 0x47, 0x1000, 0x0100, 0x06, 0xBD, 90_000
@@ -167,7 +167,7 @@ def to_streams(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     """doc_id, n_bytes (before padding) and media, the transport stream of each row's payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             raw = [x.as_py() or b"" for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, raw), pa.int64()), pa.array((mux(payload(x)) for x in raw), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
@@ -190,7 +190,7 @@ def from_streams(df: DataFrame) -> DataFrame:
     kinds = pa.struct([("payload", pa.binary()), ("packets", pa.int32()), ("units", pa.int32()), ("pts", pa.list_(pa.int64())), ("random_access", pa.list_(pa.int32())), ("continuity_errors", pa.int32()), ("feature", pa.string()), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 2):
             read = pa.array((read_stream(x.as_py()) for x in b.column("media")), kinds)
             yield pa.RecordBatch.from_arrays([*b.columns, read], names=[*b.schema.names, "stream"])
 
