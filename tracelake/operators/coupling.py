@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 BULK, SUPPORT = 50, 2
 
@@ -21,10 +22,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def cochange(commit_files: DataFrame, bulk: int = BULK, support: int = SUPPORT) -> DataFrame:
     """(a, b, support): file pairs a < b that share at least `support` commits of 2 to `bulk` files.
 
-    Bulk commits go before the pairs are made, so a commit makes at most bulk * (bulk - 1) / 2 of them: it packs its
-    files in one array and pairs them there, without a self-join. Counting is partial before the shuffle.
+    Of a commit's files only the first bulk + 1 are kept, before the shuffle already, so a commit of any size is known
+    for a bulk one and dropped without being gathered. Others make at most bulk * (bulk - 1) / 2 pairs, from one array,
+    without a self-join. Counting is partial before the shuffle.
     """
-    sets = commit_files.groupBy("commit").agg(F.array_sort(F.collect_set("file")).alias("files")).where(F.size("files").between(2, bulk))
+    rank = F.dense_rank().over(Window.partitionBy("commit").orderBy("file"))
+    few = commit_files.where("file IS NOT NULL").withColumn("_rank", rank).where(F.col("_rank") <= bulk + 1)
+    sets = few.groupBy("commit").agg(F.array_sort(F.collect_set("file")).alias("files")).where(F.size("files").between(2, bulk))
     first = sets.select("files", F.posexplode("files").alias("i", "a"))
     pairs = first.select("a", F.explode(F.slice("files", F.col("i") + 2, F.size("files"))).alias("b"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("support")).where(F.col("support") >= support)
