@@ -71,10 +71,10 @@ def test_drift(spark, declared, actual, want):
 
 
 def test_correlate_short_and_long_spans(spark):
-    sessions = spark.createDataFrame([("s", 1, at(0), at(60)), ("long", 1, at(0), at(90 * 3600))], "session string, key int, first timestamp, last timestamp")
+    sessions = spark.createDataFrame([("s", 1, at(0), at(60)), ("long", 1, at(0), at(90 * 3600)), ("ages", 1, at(-3 * 10**8), at(0))], "session string, key int, first timestamp, last timestamp")
     v = spark.createDataFrame([(1, at(-1700), "in"), (1, at(-1900), "out"), (1, at(1860), "edge"), (1, at(80 * 3600), "late"), (2, at(0), "other")], "key int, ts timestamp, version string")
     got = {(r["session"], r["version"]) for r in drift.correlate(sessions, v).collect()}
-    assert got == {("s", "in"), ("s", "edge"), ("long", "in"), ("long", "edge"), ("long", "late")}
+    assert got == {("s", "in"), ("s", "edge"), ("long", "in"), ("long", "edge"), ("long", "late"), ("ages", "in"), ("ages", "out")}
 
 
 def test_identity(spark):

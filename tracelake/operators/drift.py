@@ -34,20 +34,24 @@ def segment(records: DataFrame, key: str, order: str, opens: Column) -> DataFram
     return records.withColumn("ordinal", F.sum(F.when(opens, 1).otherwise(0)).over(w) - 1).where("ordinal >= 0")
 
 
-def correlate(sessions: DataFrame, versions: DataFrame, slack: str = SLACK, bucket_s: int = 3600, most_buckets: int = 24) -> DataFrame:
+def correlate(sessions: DataFrame, versions: DataFrame, slack: str = SLACK, levels: tuple[int, ...] = (3600, 86_400, 30 * 86_400), most_buckets: int = 24) -> DataFrame:
     """Versions within `slack` of a session: sessions (session, key, first, last), versions (key, ts, ...).
 
-    Spans of up to `most_buckets` time buckets meet versions by (key, bucket): an equi-join, so neither side is compared
-    whole. Longer spans would be copied too often and meet by key with the range as a condition.
+    Both meet by (key, time bucket), an equi-join, so neither side is compared whole. Each span takes the smallest bucket
+    (an hour, a day, a month) of which it covers at most `most_buckets`; it is copied that often. Spans that cover more
+    months than that meet by key with the range as a condition.
     """
     span = sessions.withColumn("_from", F.col("first") - F.expr(slack)).withColumn("_to", F.col("last") + F.expr(slack))
-    slot = lambda c: F.floor(F.unix_seconds(c) / bucket_s)
     within = (F.col("ts") >= F.col("_from")) & (F.col("ts") <= F.col("_to"))
-    count = slot(F.col("_to")) - slot(F.col("_from")) + 1
-    short = span.where(count <= most_buckets).withColumn("_slot", F.explode(F.sequence(slot(F.col("_from")), slot(F.col("_to")))))
-    near = short.join(versions.withColumn("_slot", slot(F.col("ts"))), ["key", "_slot"]).where(within).drop("_slot")
-    far = span.where(count > most_buckets).join(versions, "key").where(within)
-    return near.unionByName(far).drop("_from", "_to")
+    out, smaller = None, F.lit(False)
+    for size in levels:
+        slot = lambda c, size=size: F.floor(F.unix_seconds(c) / size)
+        fits = slot(F.col("_to")) - slot(F.col("_from")) < most_buckets
+        mine = span.where(fits & ~smaller).withColumn("_slot", F.explode(F.sequence(slot(F.col("_from")), slot(F.col("_to")))))
+        near = mine.join(versions.withColumn("_slot", slot(F.col("ts"))), ["key", "_slot"]).where(within).drop("_slot")
+        out = near if out is None else out.unionByName(near)
+        smaller = smaller | fits
+    return out.unionByName(span.where(~smaller).join(versions, "key").where(within)).drop("_from", "_to")
 
 
 def gap_fill(pairs: DataFrame) -> DataFrame:
