@@ -16,7 +16,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without chunks of lines that stand earlier in the corpus; n_chars follows the text."""
-    return lines.dedup_lines(docs).drop("lines_removed").withColumn("n_chars", lines.characters("text")).select(*docs.columns)
+    return lines.dedup_lines(docs, removed=None).withColumn("n_chars", lines.characters("text"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

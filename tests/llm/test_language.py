@@ -23,7 +23,7 @@ def corpus():
 def test_held_out_accuracy(spark, docs, corpus):
     rng = random.Random(2)
     new = [(1000 + i, text(lang, rng, 8), None, "src1") for i, lang in enumerate(sorted(SYLLABLES) * 20)]
-    got = {r["doc_id"]: r for r in language.documents(docs(*corpus, *new)).collect()}
+    got = {r["x0"]: r for r in language.documents(docs(*corpus, *new)).collect()}
     right = sum(got[1000 + i]["found_lang"] == lang for i, lang in enumerate(sorted(SYLLABLES) * 20))
     assert right >= 58 and all(r["accepted"] for r in got.values())
 
@@ -31,7 +31,7 @@ def test_held_out_accuracy(spark, docs, corpus):
 def test_wrong_declaration_yields_to_text_and_doubtful_text_to_evidence(spark, docs, corpus):
     rng = random.Random(4)
     odd = [(2000, text("fr", rng, 80), "en", "src1"), (2001, "xq", "de", "german")] + [(3000 + i, text("de", rng), "de", "german") for i in range(40)]
-    got = {r["doc_id"]: r for r in language.documents(docs(*corpus, *odd)).collect()}
+    got = {r["x0"]: r for r in language.documents(docs(*corpus, *odd)).collect()}
     assert got[2000]["found_lang"] == "fr" and got[2001]["found_lang"] == "de"
 
 
@@ -40,7 +40,7 @@ def test_pages_use_host_and_declaration(spark, docs, corpus):
     rows = [(i, f"http://a{i % 2}.example.{'de' if i % 2 else 'com'}/x", f"<html lang='{('en', 'de')[i % 2]}-XX'><script>no</script><p>{text(('en', 'de')[i % 2], rng)}</p>") for i in range(40)]
     rows += [(100, "http://a1.example.de/y", "<p>xq</p>"), (101, None, None), (102, "http://b.de/", "<p>xq zz</p>")]
     web = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r["page_id"]: r for r in language.pages(web, language.training(docs(*corpus))).collect()}
+    got = {r["x0"]: r for r in language.pages(web, language.training(docs(*corpus))).collect()}
     assert got[0]["found_lang"] == "en" and got[1]["found_lang"] == "de" and got[100]["found_lang"] == "de" and got[102]["found_lang"] == "de"
     assert not got[101]["accepted"] and got[101]["found_lang"] == "und"
 
@@ -58,8 +58,10 @@ def test_trigrams_equal_definition():
 
 def test_odd_rows(spark, odd, empty, docs, corpus):
     rows = odd.union(docs(*corpus))
-    got = language.documents(rows.withColumn("host", F.lit("clash")).withColumn("s0", F.lit(1))).where("source IS NULL").collect()
-    assert len(got) == 11 and {r["doc_id"] for r in got if not r["accepted"]} == {1, 2, 3}
+    clash = rows.withColumn("host", F.lit("clash")).withColumn("accepted", F.lit(1)).withColumn("_host", F.lit(1)).withColumn("x0", F.lit(1)).withColumn("a.b", F.lit(2))
+    got = language.documents(clash).where("x3 IS NULL").collect()
+    assert len(got) == 11 and {r["x0"] for r in got if not r["accepted"]} == {1, 2, 3}
+    assert language.accepted(clash).columns == clash.columns and language.accepted(clash).count() == rows.count() - 3
     assert language.documents(empty).count() == 0
     none = language.documents(odd).collect()
     assert len(none) == 11 and not any(r["accepted"] for r in none)

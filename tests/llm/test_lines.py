@@ -109,8 +109,8 @@ def test_collisions_are_left_alone(spark, docs, monkeypatch):
 
 
 def test_odd_rows(odd, empty):
-    got = lines.dedup_lines(odd.withColumn("s", F.lit(1)).withColumn("th", F.lit("x"))).collect()
+    got = lines.dedup_lines(odd.withColumn("s", F.lit(1)).withColumn("th", F.lit("x")).withColumn("_spans", F.lit(1)).withColumn("_d", F.lit(2)).withColumn("a.b", F.lit(3))).collect()
     assert len(got) == 11 and [r["text"] for r in got if r["doc_id"] in (1, 2)].count(None) == 1
     assert {r["text"] for r in got if r["doc_id"] in (5, 6)} == {"one two three four five six seven"}
-    assert got[0].asDict().keys() >= {"s", "th", "lines_removed"}
+    assert got[0].asDict().keys() >= {"s", "th", "lines_removed", "_spans", "_d", "a.b"} and got[0]["_d"] == 2
     assert lines.dedup_lines(empty).count() == 0

@@ -74,7 +74,7 @@ def test_components_equal_brute_force(spark, monkeypatch):
 
 
 def test_odd_rows(odd, empty):
-    got = sorted((r["doc_id"] or -1, r["component_id"]) for r in simhash.near_duplicates(odd.withColumn("fp", F.lit("clash")).withColumn("node", F.lit(1))).collect())
+    got = sorted((r["doc_id"] or -1, r["component_id"]) for r in simhash.near_duplicates(odd.withColumn("fp", F.lit("clash")).withColumn("node", F.lit(1)).withColumn("th", F.lit(1))).collect())
     assert got[0] == (-1, None) and [g for g in got if g[0] in (1, 2, 3)] == [(1, 1), (2, 1), (3, 1)]
     assert [g for g in got if g[0] in (5, 6)] == [(5, 5), (5, 5), (6, 5)] and len(got) == 11
     assert simhash.near_duplicates(empty).count() == 0
@@ -82,6 +82,11 @@ def test_odd_rows(odd, empty):
     assert kept == [-1, 1, 5, 5, 7, 8, 9, 10]
 
 
+def test_keep_one_of_repeated_ids(docs):
+    rows = docs((3, "the very first text of all"), (7, "the very first text of all"), (7, "another text with the same id"), (9, None), (10, ""))
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(rows.withColumn("th", F.lit(1))).collect() if r["text"]) == [(3, "the very first text of all"), (7, "another text with the same id")]
+
+
 def test_query(spark, tmp_path, docs):
     docs((1, "a b c d"), (2, "A b C d"), (3, None)).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.op1_simhash_vptree(spark, str(tmp_path)).collect()}

@@ -58,3 +58,18 @@ def sliced(batches: Iterable[pa.RecordBatch], column: int = 1, most: int = 4 <<
             high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most, "right")))
             yield b.slice(low, high - low)
             low = high
+
+
+def col(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(df: DataFrame, but: tuple[str, ...] = ()) -> list[Column]:
+    """The columns under names that no operator uses, x0, x1 ...; those in `but` keep theirs."""
+    return [col(c) if c in but else col(c).alias(f"x{i}") for i, c in enumerate(df.columns)]
+
+
+def restored(df: DataFrame, but: tuple[str, ...] = ()) -> list[Column]:
+    """Selects what numbered() made back under the names of `df`."""
+    return [col(c) if c in but else F.col(f"x{i}").alias(c) for i, c in enumerate(df.columns)]

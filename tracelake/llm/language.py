@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sliced, stored, table
+from .common import numbered, restored, sliced, stored, table
 from .urls import split_url
 
 SAMPLE, ROWS, LANGUAGES, BUCKETS = 2000, 20, 64, 1 << 15
@@ -127,16 +127,16 @@ def _sums(rows: DataFrame, shared: Broadcast, n: int) -> DataFrame:
 
 
 def identify(df: DataFrame, train: DataFrame, text: Column, host: Column, declared: Column, sample: int = SAMPLE) -> DataFrame:
-    """The rows of `df` and found_lang, posterior, text_lang, accepted. train: lang, key, text."""
-    spark = df.sparkSession
+    """The rows of `df`, its columns under the names x0, x1 ... of numbered(), and found_lang, posterior, text_lang, accepted. train: lang, key, text."""
+    spark, given = df.sparkSession, df
     langs, model = fit(train, sample)
     n = len(langs)
     extra = "found_lang string, posterior double, text_lang string, accepted boolean"
     if not n:
-        return df.select("*", F.lit(UND).alias("found_lang"), F.lit(0.0).alias("posterior"), F.lit(UND).alias("text_lang"), F.lit(False).alias("accepted"))
+        return df.select(*numbered(df), F.lit(UND).alias("found_lang"), F.lit(0.0).alias("posterior"), F.lit(UND).alias("text_lang"), F.lit(False).alias("accepted"))
     shared = spark.sparkContext.broadcast(model)
     code = F.nullif(F.lower(F.regexp_extract(declared, CODE, 1)), F.lit(""))
-    rows = df.select(*(F.col(c) for c in df.columns), F.coalesce(host, F.lit("")).alias("_host"), code.alias("_declared"), text.cast("binary").alias("_text"))
+    rows = given.select(*numbered(given), F.coalesce(host, F.lit("")).alias("_host"), code.alias("_declared"), text.cast("binary").alias("_text"))
     sums = stored(_sums(rows.select(F.col("_host").alias("host"), F.col("_declared").alias("declared"), F.col("_text").alias("text")), shared, n))
     total = [F.sum(f"s{i}").alias(f"s{i}") for i in range(n)]
     packed = lambda name: F.array(*(F.col(f"s{i}").cast("double") / 1e6 for i in range(n))).alias(name)
@@ -149,7 +149,7 @@ def identify(df: DataFrame, train: DataFrame, text: Column, host: Column, declar
     known = hosts.select(F.col("host").alias("_host"), "domain", "suffix", packed("_of_host")).join(domains, "domain").join(suffixes, "suffix").drop("domain", "suffix")
     known = stored(known)
     claims_table = spark.sparkContext.broadcast((claims, everything))
-    keep = df.columns
+    keep = [f"x{i}" for i in range(len(given.columns))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, (claims, everything) = shared.value, claims_table.value
@@ -177,8 +177,8 @@ def identify(df: DataFrame, train: DataFrame, text: Column, host: Column, declar
                 names=[*keep, "found_lang", "posterior", "text_lang", "accepted"],
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return rows.select(*(F.col(c) for c in keep), "_text", "_host", "_declared").join(known, "_host").select(*keep, "_text", "_declared", "_of_host", "_of_domain", "_of_suffix").mapInArrow(run, f"{fields}, {extra}")
+    fields = ", ".join(f"x{i} {f.dataType.simpleString()}" for i, f in enumerate(given.schema.fields))
+    return rows.select(*keep, "_text", "_host", "_declared").join(known, "_host").select(*keep, "_text", "_declared", "_of_host", "_of_domain", "_of_suffix").mapInArrow(run, f"{fields}, {extra}")
 
 
 def training(docs: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def training(docs: DataFrame) -> DataFrame:
 
 
 def documents(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Documents: their source is the host, their lang column the declaration."""
+    """Documents (see identify): their source is the host, their lang column the declaration."""
     return identify(docs, training(docs), F.col("text"), F.col("source"), F.col("lang"), sample)
 
 
@@ -203,12 +203,14 @@ def pages(web: DataFrame, train: DataFrame, sample: int = SAMPLE) -> DataFrame:
 def accepted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Documents that aren't rejected; lang is the language found."""
     found = documents(docs, sample).where("accepted")
-    return found.select(*(F.col("found_lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
+    return found.select(*(F.col("found_lang").alias("lang") if c == "lang" else x for c, x in zip(docs.columns, restored(docs))))
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Documents and pages; of the two ids one is null."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    web = table(spark, sf_dir, "pages").select("page_id", "url", "html", F.regexp_extract("html", DECLARATION, 1).alias("declared"))
     result = [F.col("found_lang").alias("lang"), "posterior", "text_lang", "accepted"]
-    web = pages(table(spark, sf_dir, "pages"), training(docs))
-    one = documents(docs.select("doc_id", "text", "source", "lang")).select("doc_id", F.lit(None).cast("long").alias("page_id"), F.col("lang").alias("declared"), *result)
-    return one.union(web.select(F.lit(None).cast("long"), "page_id", F.regexp_extract("html", DECLARATION, 1), *result))
+    null = F.lit(None).cast("long")
+    one = documents(docs).select(F.col("x0").alias("doc_id"), null.alias("page_id"), F.col("x3").alias("declared"), *result)
+    return one.union(pages(web, training(docs)).select(null, F.col("x0"), F.col("x3"), *result))

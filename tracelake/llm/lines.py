@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import numbered, restored, stored, table
 
 CLASSES, LONG = 2, 50
 #: Colliding hashes up to this number are left out by a list, more by a join.
@@ -102,9 +102,10 @@ def collisions(rows: DataFrame) -> DataFrame:
     return bytes_.groupBy("h", "chunk").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
 
 
-def dedup_lines(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
-    """The same rows with repeated chunks cut out of `text`, and `lines_removed`."""
-    rows = stored(marked(docs, classes))
+def dedup_lines(docs: DataFrame, classes: int = CLASSES, removed: str | None = "lines_removed") -> DataFrame:
+    """The same rows with repeated chunks cut out of `text`, and how many lines went, under the name `removed` if it is given."""
+    own = ("doc_id", "text")
+    rows = stored(marked(docs.select(*numbered(docs, own)), classes))
     odd = collisions(rows).limit(FEW + 1).collect()
     if len(odd) > FEW:
         bad = collisions(rows)
@@ -116,7 +117,8 @@ def dedup_lines(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
     lines = F.split("text", "\n")
     kept = _let(F.struct(lines.alias("l"), gone.alias("g")), lambda v: F.filter(v["l"], lambda x, i: ~F.exists(v["g"], lambda r: (i >= r["s"]) & (i < r["e"]))))
     cut = F.when(F.size(gone) > 0, F.struct(F.array_join(kept, "\n").alias("text"), (F.size(lines) - F.size(kept)).alias("n"))).otherwise(F.struct(F.col("text").alias("text"), F.lit(0).alias("n")))
-    return rows.withColumn("_cut", cut).select(*(F.col("_cut.text").alias("text") if c == "text" else F.col(c) for c in docs.columns), F.col("_cut.n").alias("lines_removed"))
+    out = rows.withColumn("_cut", cut)
+    return out.withColumn("text", F.col("_cut.text")).select(*restored(docs, own), *([F.col("_cut.n").alias(removed)] if removed else []))
 
 
 def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,14 +48,14 @@ def fingerprint(data: bytes | None, k: int = SHINGLE) -> int:
 
 
 def fingerprints(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed number) of each row."""
+    """doc_id, th (the text's hash) and fp (the 64 bits as a signed number) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = pa.array((fingerprint(t.as_py(), k) for t in b.column(1)), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), fps], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), fps], names=["doc_id", "th", "fp"])
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), F.xxhash64(F.col(text)).alias("th")).mapInArrow(run, "doc_id long, th long, fp long")
 
 
 class Tree:
@@ -224,13 +224,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """doc_id, fp, component_id of every row."""
+    """doc_id, th, fp, component_id of every row."""
     shared_dir(df.sparkSession)
     fps = materialise(fingerprints(df, text, doc_id, k))
     reps = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", F.coalesce("least", F.lit(NO_ID) + F.pmod(F.xxhash64("fp"), F.lit(2**40))).alias("node"))
     reps = materialise(reps)
     named = reps.join(components(links(reps, radius, blocks)), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id"))
+    return fps.join(named, "fp").select("doc_id", "th", "fp", F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id"))
 
 
 def op1_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +239,7 @@ def op1_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows whose doc_id names their component: one document of each group. Rows without an id stay only if no row with an id is linked to them."""
+    """The rows whose doc_id names their component: one document of each group, where rows of one id and text are one document. Rows without an id stay only if no row with an id is linked to them."""
     found = near_duplicates(docs, **how)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "th").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]) & (F.xxhash64(docs["text"]) == kept["th"]), "left_semi")
