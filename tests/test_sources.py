@@ -1,5 +1,6 @@
 import json
 import subprocess
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -159,3 +160,38 @@ def test_symbols():
     ts = code.symbols("m.ts", "export class C { m() {} }\nexport async function f() { return 1 }\n")
     assert {r[1] for r in ts if r[1]} == {"m.ts::C", "m.ts::f"}
     assert code.symbols("bad.py", "def (")[0][2] == "file" and code.symbols("x", None)[0][6] == []
+
+
+def stream_of(spark, folder, rows, schema):
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{folder}/{i}")
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", "1").parquet(str(folder))
+
+
+def finish(stream, state, name):
+    stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(state)).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.table(name).collect()
+
+
+def test_bursts(spark, tmp_path):
+    t = lambda s: datetime(2024, 1, 1, 10) + timedelta(seconds=s)
+    changes = stream_of(spark, tmp_path / "in", [[("r", "a", t(0)), ("r", "b", t(1))], [("r", "a", t(1.5)), ("r", "c", t(60))], [("r", "z", t(400))]], "repo string, path string, ts timestamp")
+    got = {tuple(r["paths"]): r["changes"] for r in finish(jobs.bursts(changes), tmp_path / "s", "bursts")}
+    assert got == {("a", "b"): 3, ("c",): 1}
+
+
+def test_alerts_once(spark, tmp_path):
+    t = datetime(2024, 1, 1, 10)
+    schema = "task_id string, model string, path string, ts timestamp, remote boolean, secret_kinds array<string>"
+    read = ("t", "m", "/etc/x", t, True, [])
+    reads = stream_of(spark, tmp_path / "in", [[read, read], [read, ("t2", "m", "/etc/x", t, True, [])], [("t", "m", "src/a", t, True, [])]], schema)
+    got = finish(jobs.alerts(reads), tmp_path / "s", "alerts")
+    assert sorted((r["task_id"], r["rule"]) for r in got) == [("t", "external-read"), ("t2", "external-read")]
+
+
+def test_correlated_streams(spark, tmp_path):
+    t = lambda m: datetime(2024, 1, 1, 10) + timedelta(minutes=m)
+    turns = stream_of(spark, tmp_path / "a", [[("s", 1, t(0))], [("late", 1, t(300))]], "session string, key int, turn_ts timestamp")
+    versions = stream_of(spark, tmp_path / "b", [[(1, "in", t(29)), (1, "out", t(31)), (2, "other", t(0))]], "key int, version string, ts timestamp")
+    got = finish(jobs.correlated(turns, versions), tmp_path / "s", "correlated")
+    assert [(r["session"], r["version"]) for r in got] == [("s", "in")]

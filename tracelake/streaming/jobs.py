@@ -83,8 +83,8 @@ def cumulative_declared(turns: DataFrame) -> DataFrame:
 
 
 def bursts(changes: DataFrame, quiet: str = "1500 milliseconds", watermark: str = "1 minute") -> DataFrame:
-    """File changes (path, ts) gathered until it is quiet: one row a burst."""
-    return changes.withWatermark("ts", watermark).groupBy(F.session_window("ts", quiet).alias("burst")).agg(F.count("*").alias("changes"), F.array_sort(F.collect_set("path")).alias("paths"))
+    """File changes (repo, path, ts) gathered until their repository is quiet: one row a burst."""
+    return changes.withWatermark("ts", watermark).groupBy("repo", F.session_window("ts", quiet).alias("burst")).agg(F.count("*").alias("changes"), F.array_sort(F.collect_set("path")).alias("paths"))
 
 
 def correlated(sessions: DataFrame, versions: DataFrame, slack: str = "30 minutes") -> DataFrame:
