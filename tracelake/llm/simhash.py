@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import materialise, shared_dir, table
+from .common import materialise, shared_dir, shuffle_width, table
 
 SHINGLE, RADIUS, BLOCKS, BITS = 3, 3, 2, 64
 SAMPLE, SHARD, SPLIT, LEAF = 8192, 4096, 65536, 64
@@ -199,7 +199,9 @@ def links(reps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFr
         off = np.nonzero(top != np.arange(len(top)))[0]
         return pa.table({"a": pa.array(node[off], pa.int64()), "b": pa.array(node[top[off]], pa.int64())})
 
-    return dealt.groupBy("shard", "salt").applyInArrow(link, "a long, b long")
+    # Given a number, Spark doesn't pack shards into few tasks; rows are small, but linking them isn't.
+    spread = dealt.repartition(shuffle_width(spark, total, 8 * SHARD), "shard", "salt")
+    return spread.groupBy("shard", "salt").applyInArrow(link, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
