@@ -148,7 +148,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, le
     checked = near.join(kinds.select("n", "w", "shingles"), ["n", "w"]).join(items.select("item_id", F.col("shingles").alias("theirs")), "item_id")
     checked = checked.withColumn("similarity", F.round(similarity(F.col("shingles"), F.col("theirs")), 9)).where(F.col("similarity") >= least).select("n", "w", "item_id", "hamming", "similarity")
     found = windows.select("doc_id", "th", "start", "n", "w").join(checked, ["n", "w"])
-    best = F.max_by(F.struct("start", F.col("n").alias("n_words"), "hamming", "similarity"), F.struct("similarity", -F.col("hamming"), -F.col("start")))
+    best = F.max_by(F.struct("start", F.col("n").alias("n_words"), "hamming", "similarity"), F.struct("similarity", -F.col("start")))
     return found.groupBy("doc_id", "th", "item_id").agg(best.alias("x")).select("doc_id", "th", "item_id", "x.*")
 
 
@@ -159,4 +159,20 @@ def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "start", "n_words", "similarity")
+
+
+#: All windows that share a shingle with an item of five words or more, and those equal to a shorter item, by brute force.
+_WORDS = r"list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')"
+ORACLE = {
+    "op5_decontaminate": rf"""WITH d AS (SELECT DISTINCT doc_id, text, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+j AS (SELECT item_id, w, len(w) AS n, greatest(len(w) - 4, 1) AS m FROM i WHERE len(w) > 0),
+ds AS (SELECT doc_id, text, len(w) AS len, p, array_to_string(w[p + 1 : p + 5], ' ') AS s FROM (SELECT *, unnest(range(len(w) - 4)) AS p FROM d WHERE len(w) >= 5)),
+js AS (SELECT item_id, s, count(*) AS k FROM (SELECT item_id, array_to_string(w[q + 1 : q + 5], ' ') AS s FROM (SELECT *, unnest(range(n - 4)) AS q FROM j WHERE n >= 5)) GROUP BY 1, 2),
+c AS (SELECT DISTINCT doc_id, text, len, item_id, n, m, unnest(range(greatest(p - m + 1, 0), p + 1)) AS start FROM ds JOIN js USING (s) JOIN j USING (item_id)),
+o AS (SELECT c.doc_id, c.text, c.len, c.item_id, c.n, c.m, c.start, ds.s, count(*) AS k FROM c JOIN ds ON ds.doc_id IS NOT DISTINCT FROM c.doc_id AND ds.text = c.text AND ds.p BETWEEN c.start AND c.start + c.m - 1 GROUP BY ALL),
+x AS (SELECT o.doc_id, o.text, o.item_id, o.n, o.start, o.m, least(o.m, o.len - 4 - o.start) AS mine, sum(least(o.k, js.k)) AS common FROM o JOIN js ON js.item_id = o.item_id AND js.s = o.s GROUP BY ALL),
+y AS (SELECT doc_id, text, item_id, start, n, common::DOUBLE / (m + mine - common) AS sim FROM x
+UNION ALL SELECT doc_id, text, item_id, start, n, 1.0 FROM (SELECT d.doc_id, d.text, d.w, j.item_id, j.n, j.w AS v, unnest(range(len(d.w) - j.n + 1)) AS start FROM d, j WHERE j.n < 5 AND len(d.w) >= j.n) WHERE w[start + 1 : start + n] = v)
+SELECT doc_id, item_id, start::INTEGER AS start, n::INTEGER AS n_words, round(sim, 9) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, text, item_id ORDER BY round(sim, 9) DESC, start) AS rn FROM y WHERE sim >= 0.8 - 1e-10) WHERE rn = 1""",
+}
