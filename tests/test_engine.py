@@ -118,6 +118,21 @@ def test_questions(built):
     assert edges.count() == 3 + 4
 
 
+def test_ask(built):
+    e = built[0]
+    seen = []
+
+    def model(prompt):
+        seen.append(prompt)
+        task = json.loads(prompt.split("\n\n", 1)[1].splitlines()[0])["id"]
+        return "```json\n" + json.dumps({"intent": "audit", "highlights": [{"id": task, "kind": "task", "reason": "read a secret", "severity": "critical", "verdict": None}, {"id": "made up", "kind": "task"}], "explanation": "it did"}) + "\n```"
+
+    answer, shown = e.ask("which secrets leaked while `lex.py` changed, token=abcdef123456?", model)
+    assert answer.intent == "audit" and len(answer.findings) == 1 and answer.explanation == "it did" and set(answer.ids("task")) <= set(shown)
+    assert "abcdef123456" not in seen[0] and "/home/dev" not in seen[0] and "rewrite the lexer" in seen[0]
+    assert {r["channel"] for r in e.retrieve("who touched `lex.py`").collect()} == {"lexical"}
+
+
 def test_tool_protocol(built):
     e = built[0]
     ask = lambda **r: e.answer({"jsonrpc": "2.0", "id": 1} | r)

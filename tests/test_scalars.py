@@ -96,3 +96,16 @@ def test_fusion_is_monotone(spark, a, p, q):
     low, high = sorted((p, q))
     x = one(spark, l=S.fuse(F.lit(a), F.lit(low)), h=S.fuse(F.lit(a), F.lit(high)))
     assert 0 <= x["l"] <= x["h"] + 1e-12 <= 1 + 1e-12
+
+
+def test_answers():
+    from tracelake.functions import answers
+
+    known = {"t1", "a1"}
+    whole = answers.parse('noise {"intent": "audit", "highlights": [{"id": "t1", "kind": "task", "severity": "odd"}, {"id": "t1", "kind": "task"}, {"id": "x", "kind": "task"}, 7], "explanation": "e"}', known)
+    assert (whole.intent, whole.explanation, [f["severity"] for f in whole.findings]) == ("audit", "e", ["info"])
+    cut = answers.parse('```json\n{"intent": "audit", "highlights": [{"id": "t1", "kind": "task", "reason": "r"}, {"id": "a1", "kin', known)
+    assert cut.intent == "audit" and cut.ids("task") == ["t1"] and cut.explanation == answers.CUT_OFF
+    assert answers.parse('{"highlights": [{"id', known).explanation == answers.UNREADABLE
+    assert answers.parse("just prose", known, "audit") == answers.Answer("audit", "just prose")
+    assert answers.merged(["a", "b"], ["b", "c"]) == ["a", "b", "c"]

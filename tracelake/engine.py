@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import code
+from .functions import answers, code
 from .functions import scalars as S
 from .operators import coupling, dlp, drift, graph, history, payload, reports, search, tables
 from .plans import lineage, pipeline
@@ -145,6 +145,35 @@ class Engine:
         vectors = self.need("task_embeddings").withColumnRenamed("task_id", "id")
         return pipeline.debug_query(vectors, self.need("tasks"), self.need("edges").where("kind = 'task_modifies_artifact'"), self.risks().select("id", "fused"), self.need("versions"), vec, k)
 
+    def retrieve(self, question: str, k: int = 8) -> DataFrame:
+        """Tasks for a question, without a model: up to half of k that touched a path it names, then the best by meaning."""
+        hits, _ = self.debug(question, 2 * k)
+        names = S.entity_tokens(question)
+        tasks = self.need("tasks").select("id", "created_at")
+        named = search.lexical(self.risks().select(F.col("id").alias("dst"), "path"), names) if names else None
+        touched = tasks.join(self.need("edges").join(named, "dst").select(F.col("src").alias("id")).distinct(), "id") if named is not None else tasks.limit(0)
+        return search.lexical_first(touched, hits.select("id", "score"), k)
+
+    def evidence(self, chosen: DataFrame, chars: int = 480, reads: int = 8, artifacts: int = 6) -> DataFrame:
+        """What a model is shown of each task (id): summary, reads, drift and the riskiest artifacts, each cut to size and scrubbed."""
+        ids = chosen.select(F.col("id").alias("task_id")).distinct()
+        last = F.max_by(F.col("drift"), F.struct("ts", "id"))
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "summary"))), lambda x: x["summary"])
+        said = self.need("task_versions").join(F.broadcast(ids), "task_id").groupBy("task_id").agg(F.array_join(ordered, "\n").alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("reads")))).alias("r"), last.alias("d"))
+        done = reports.touched_lines(self.need("edges").join(F.broadcast(ids.withColumnRenamed("task_id", "src")), "src").join(self.risks().select(F.col("id").alias("dst"), "fused", "path"), "dst").select(F.col("src").alias("task"), "fused", "path"), artifacts)
+        cut = F.when(F.length("s") > chars, F.concat(F.left("s", F.lit(chars)), F.lit("… (truncated)"))).otherwise(F.col("s"))
+        return said.join(done.withColumnRenamed("task", "task_id"), "task_id", "left").select(
+            F.col("task_id").alias("id"), S.redact_free_text(cut).alias("summary"), S.redact_paths(S.short_list(F.col("r"), reads)).alias("reads"), F.size("d.undeclared").alias("undeclared"), F.size("d.phantom").alias("phantom"), "touched"
+        )
+
+    def ask(self, question: str, model: Callable[[str], str], k: int = 8) -> tuple[answers.Answer, list[str]]:
+        """A model's answer over the retrieved evidence, and the tasks to show: those retrieved and those it adds."""
+        chosen = [r["id"] for r in self.retrieve(question, k).collect()]
+        rows = self.evidence(self.spark.createDataFrame([(i,) for i in chosen], "id string"))
+        asked = self.spark.range(1).select(S.redact_free_text(F.lit(question)).alias("q"), S.intent(F.lit(question))["intent"].alias("i")).first()
+        answer = answers.parse(model(f"{asked['q']}\n\n{reports.render(rows, 'json')}"), set(chosen), asked["i"])
+        return answer, answers.merged(chosen, answer.ids("task"))
+
     def audit(self, repo: str | None = None) -> DataFrame:
         return reports.histogram(self.risks(repo))
 
