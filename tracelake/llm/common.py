@@ -45,7 +45,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     shared_dir(spark)
     path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
