@@ -156,3 +156,21 @@ def test_maintenance(built, spark, tmp_path):
     assert (counts["targets"], counts["tasks"], counts["shredded"]) == (2, 1, 2)
     assert tuple(e.verify().first()) == (3, 0, 0) and e.need("audit_log").where("event_type = 'purge'").count() == 1
     assert Engine(spark, str(tmp_path / "none")).table("risk") is None
+
+
+def test_watch_sends_each_finding_once(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    sent = []
+    e = Engine(spark, str(tmp_path / "tables"))
+    follow = lambda: e.watch(str(folder), str(tmp_path / "state"), lambda df, n: sent.extend((r["path"], r["rule"]) for r in df.collect()))
+    read = lambda i, path: assistant({"type": "tool_use", "id": i, "name": "Read", "input": {"file_path": path}})
+    with (folder / "s.jsonl").open("w") as f:
+        f.write(user("look", 1) + "\n" + read("t1", "/etc/hosts") + "\n" + read("t2", "/work/src/a.py")[:40])
+    follow()
+    assert sorted(sent) == [("/etc/hosts", "external-read")]
+    with (folder / "s.jsonl").open("a") as f:
+        f.write(read("t2", "/work/src/a.py")[40:] + "\n" + read("t3", "/work/keys/x.pem") + "\n" + read("t4", "/etc/hosts") + "\n")
+    follow()
+    follow()
+    assert sorted(sent) == [("/etc/hosts", "external-read"), ("keys/x.pem", "sensitive-path")]

@@ -19,7 +19,7 @@ from .functions import answers, code
 from .functions import scalars as S
 from .operators import coupling, dlp, drift, graph, history, payload, reports, search, tables
 from .plans import lineage, pipeline
-from .sources import transcripts
+from .sources import jsonl, transcripts
 
 DIM = 256
 
@@ -127,6 +127,45 @@ class Engine:
         tv = self.need("task_versions").groupBy("task_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "summary"))), lambda x: x["summary"]).alias("s"))
         self.replace("task_embeddings", search.embed(tv.select("task_id", F.array_join("s", "\n").alias("text")), "task_id", "text", dim))
 
+    def refresh(self, commit_files: DataFrame | None = None, lines: DataFrame | None = None) -> None:
+        """Whatever is new, in order: commits, transcripts, embeddings and risk with them."""
+        if commit_files is not None:
+            self.ingest(commit_files)
+        if lines is not None:
+            self.observe(lines)
+
+    def watch(self, folder: str, state: str, send: Callable[[DataFrame, int], None], floor: str = "warn", once: bool = True, every: str = "30 seconds", dialect: str = "messages"):
+        """Follows transcripts that grow in `folder` and sends each new finding once, over restarts too.
+
+        A batch's lines are appended to transcript_lines; the sessions they belong to are read again whole, as a turn may
+        go on, and what is already in the alerts table is left out.
+        """
+
+        def step(batch: DataFrame, number: int) -> None:
+            lines = coupling.checkpointed(batch)
+            if lines.isEmpty():
+                return
+            self.append("transcript_lines", lines, ["file", "byte_offset"], ["byte_offset"])
+            whole = self.need("transcript_lines").join(lines.select("file").distinct(), "file", "left_semi")
+            turns = transcripts.paths(transcripts.turns(whole) if dialect == "messages" else transcripts.item_turns(whole))
+            kinds = transcripts.read_secrets(turns)
+            reads = turns.select(S.content_id("tsk", F.lit(dialect), F.col("session_id")).alias("task_id"), "session_id", "ordinal", F.col("timestamp").alias("ts"), F.col("ordinal").alias("version_id"), F.coalesce("model", F.lit("")).alias("model"), F.explode("reads").alias("path"))
+            reads = reads.join(kinds, ["session_id", "ordinal", "path"], "left").withColumn("secret_kinds", F.coalesce("kinds", F.array().cast("array<string>"))).withColumn("remote", F.lit(self.remote))
+            found = dlp.at_least(dlp.findings(dlp.first_reads(reads)), floor).select("task_id", "model", "path", "rule", "severity", "detail", "ts")
+            old = self.table("alerts")
+            fresh = found if old is None else found.join(old.select("task_id", "model", "path", "rule"), ["task_id", "model", "path", "rule"], "left_anti")
+            fresh = coupling.checkpointed(fresh.dropDuplicates(["task_id", "model", "path", "rule"]))
+            send(fresh, number)
+            fresh.write.mode("append").parquet(self.path("alerts"))
+
+        jsonl.register(self.spark)
+        stream = self.spark.readStream.format("growing_lines").option("path", folder).load()
+        writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", state)
+        query = (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+        if once:
+            query.awaitTermination()
+        return query
+
     # --- questions ----------------------------------------------------------------------------------------------------
 
     def agents(self) -> DataFrame:
