@@ -195,6 +195,6 @@ def test_trees_and_lines(spark):
 def test_embed_equals_scalar(spark):
     from tracelake.functions import scalars as S
 
-    rows = spark.createDataFrame([(1, "brain zero"), (2, "fix the parser, the PARSER"), (3, "")], "id int, text string")
+    rows = spark.createDataFrame([(1, "fix it"), (2, "fix the parser, the PARSER"), (3, "")], "id int, text string")
     want = {r["id"]: [round(x, 9) for x in r["v"]] for r in rows.select("id", S.local_embed(F.col("text"), 8).alias("v")).collect()}
     assert {r["id"]: [round(x, 9) for x in r["vec"]] for r in search.embed(rows, "id", "text", 8).collect()} == want

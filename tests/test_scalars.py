@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -29,9 +30,25 @@ def test_transition_and_color(spark):
     assert x == {"a": "safe_to_dangerous", "b": "confirmed_dangerous", "c": "overestimated_risk", "d": "stable", "e": "pending", "f": "confirmed_dangerous", "g": "stable", "green": "#00ff00", "yellow": "#ffff00", "red": "#ff0000"}
 
 
-def test_local_embed_golden(spark):
-    assert one(spark, v=S.local_embed(F.lit("brain zero"), 8))["v"] == [0, 0, 0, -1, 0, 0, 0, 0]
-    assert one(spark, v=S.local_embed(F.lit(""), 4))["v"] == [0, 0, 0, 0]
+def embedded(text, dim):
+    """The hashing embedding by its definition."""
+
+    def fnv(t):
+        h = 0x811C9DC5
+        for c in t:
+            h = (h ^ ord(c)) * 0x01000193 & 0xFFFFFFFF
+        return h
+
+    v = [0.0] * dim
+    for t in re.findall("[a-z0-9]+", text.lower()):
+        v[fnv(t) % dim] += 1 if fnv("sign:" + t) & 1 else -1
+    norm = math.sqrt(sum(x * x for x in v))
+    return [x / norm if norm else 0.0 for x in v]
+
+
+@pytest.mark.parametrize(("text", "dim"), [("fix the parser bug", 8), ("Fix, the PARSER: bug2 bug2", 256), ("", 4), ("é-é", 4)])
+def test_local_embed(spark, text, dim):
+    assert one(spark, v=S.local_embed(F.lit(text), dim))["v"] == pytest.approx(embedded(text, dim))
 
 
 def test_jaccard_and_cosine(spark):
