@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from ..operators import coupling
 from .common import materialise, shared_dir, shuffle_width, table
 
 SHINGLE, RADIUS, BLOCKS, BITS = 3, 3, 2, 64
@@ -205,24 +206,8 @@ def links(reps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFr
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable, for every node with an edge. Alternates large-star and small-star steps until nothing changes."""
-    now = materialise(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct())
-
-    def shape(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("lo", "hi")), F.lit(0))).first())
-
-    seen = shape(now)
-    while seen[0]:
-        both = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(now.select("hi", "lo"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi").distinct()
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(low, "hi").select(F.col("m").alias("lo"), F.col("lo").alias("hi")).union(low.select("m", "hi")).where("lo < hi").distinct()
-        now = materialise(small)
-        if (after := shape(now)) == seen:
-            break
-        seen = after
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+    """(node, component): the smallest node reachable, for every node with an edge."""
+    return coupling.components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("id", "node")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
