@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import stored, table
+from .lines import _let
 
 
 SHINGLE, SIMILARITY, RADIUS, FEW = 5, 0.8, 18, 5000
@@ -46,6 +47,11 @@ def shingles(w: Column, k: int = SHINGLE) -> Column:
     return F.when(F.size(w) > 0, F.transform(places, lambda i: F.array_join(F.slice(w, i + 1, F.lit(k)), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def _hashed_shingles(size: int):
+    """For _let: struct<len, h> of an array of words: how many, and the hashes of their shingles of `size`."""
+    return lambda w: F.struct(F.size(w).alias("len"), F.transform(shingles(w, size), lambda s: F.xxhash64(s)).alias("h"))
+
+
 def _cuts(radius: int) -> list[tuple[int, int]]:
     """(first bit, bits) of the radius + 1 blocks."""
     edges = [BITS * i // (radius + 1) for i in range(radius + 2)]
@@ -107,11 +113,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, le
     short = marks.limit(FEW + 1).collect()
     cut = docs.where("text IS NOT NULL").select("doc_id", F.col("text"))
     if len(short) <= FEW:
-        held = cut.select("doc_id", "text", words(F.col("text")).alias("words")).where(F.arrays_overlap("words", F.array(*(F.lit(r["word"]) for r in short)).cast("array<string>")))
+        held = cut.where(F.arrays_overlap(words(F.col("text")), F.array(*(F.lit(r["word"]) for r in short)).cast("array<string>")))
     else:
         some = cut.select("doc_id", F.xxhash64("text").alias("th"), F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(marks, "word", "left_semi").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
-        held = cut.join(some, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left_semi").select("doc_id", "text", words(F.col("text")).alias("words"))
-    held = stored(held.select("doc_id", F.xxhash64("text").alias("th"), "words"))
+        held = cut.join(some, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left_semi")
+    # Texts are stored and moved, not their words, which take four times the room.
+    held = stored(held.select("doc_id", F.xxhash64("text").alias("th"), "text"))
 
     # Shingles of the items in the documents that have an anchor: each lines a window up.
     hashed = lambda c: F.transform(c, lambda s: F.xxhash64(s))
@@ -120,7 +127,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, le
     sizes = [r["n"] for r in items.select(F.least(F.size("words"), F.lit(SHINGLE)).alias("n")).distinct().collect()]
     hits = None
     for size in sorted(sizes):
-        in_docs = held.select("doc_id", "th", F.size("words").alias("len"), F.posexplode(hashed(shingles(F.col("words"), size))).alias("i", "h"))
+        in_docs = held.select("doc_id", "th", _let(words(F.col("text")), _hashed_shingles(size)).alias("x")).select("doc_id", "th", F.col("x.len").alias("len"), F.posexplode("x.h").alias("i", "h"))
         found = in_docs.join(of_items.where((F.col("n") == size) if size < SHINGLE else (F.col("n") >= size)), "h")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
@@ -131,7 +138,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, le
     starts = starts.where("at < len").select("doc_id", "th", "n", F.greatest("at", F.lit(0)).alias("start")).distinct()
     per_doc = starts.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_set(F.struct("start", "n")).alias("starts"))
     windows = held.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")))
-    windows = windows.select("doc_id", "th", F.explode(F.transform("starts", lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n"), F.slice(F.col("words"), s["start"] + 1, s["n"]).alias("words")))).alias("x")).select("doc_id", "th", "x.*")
+    taken = _let(words(F.col("text")), lambda w: F.transform("starts", lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n"), F.slice(w, s["start"] + 1, s["n"]).alias("words"))))
+    windows = windows.select("doc_id", "th", F.inline(taken))
     # Windows with the same words are one: copies of a passage cost nothing.
     windows = stored(windows.withColumn("w", F.xxhash64("words")))
     kinds = windows.dropDuplicates(["n", "w"]).select("n", "w", "words").withColumn("shingles", shingles(F.col("words")))
