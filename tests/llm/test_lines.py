@@ -114,3 +114,13 @@ def test_odd_rows(odd, empty):
     assert {r["text"] for r in got if r["doc_id"] in (5, 6)} == {"one two three four five six seven"}
     assert got[0].asDict().keys() >= {"s", "th", "lines_removed", "_spans", "_d", "a.b"} and got[0]["_d"] == 2
     assert lines.dedup_lines(empty).count() == 0
+
+
+def test_passages_of_uneven_lines_go_whole(spark, docs):
+    """Every line of the passage goes from all later documents, whatever stands around it."""
+    for counts in ([51, 20, 20], [60, 45], [30, 30, 12], [40, 40, 5], [5, 40, 40], [3, 60, 2, 2]):
+        shared = [" ".join(f"u{len(counts)}x{i}y{j}" for j in range(n)) for i, n in enumerate(counts)]
+        rows = [(k, "\n".join([*own(k, 2), *shared, *own(-k - 1, 2)])) for k in range(1, 25)]
+        got = cut(spark, docs, rows)
+        assert got[1] == (rows[0][1], 0)
+        assert all(got[k][0].split("\n") == [*own(k, 2), *own(-k - 1, 2)] for k, _ in rows[1:])

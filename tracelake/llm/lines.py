@@ -3,9 +3,11 @@
 A document's lines are hashed, and a rolling hash over the hashes of two neighbouring lines says where it is cut: before
 line i if the hash of lines i-1 and i falls into the chunking's residue class. There is one chunking for each residue of
 CLASSES; where one cuts, the others don't, so that together they have multi-line chunks all through a passage, wherever
-it stands. At the edges of a passage the cut depends on what stands beside it; so, besides, from every line that isn't
-blank a chunk of the fewest lines with over LONG words is taken, which lies in the passage alone. Therefore every
-passage of whole lines with over LONG words that repeats is found whole, and most of shorter multi-line ones.
+it stands. At the edges of a passage the cut depends on what stands beside it; so, besides, for every line that isn't
+blank the fewest lines with over LONG words that start with it are taken, and the fewest that end with it. In a passage
+with over LONG words the chunk that starts with its first line lies inside, and for each line after that chunk so does
+the one that ends with it. Therefore every passage of whole lines with over LONG words that repeats is found whole, but
+for blank lines at its ends, and most of shorter multi-line ones.
 
 A chunk hash that occurs more than once in the corpus is looked up again with its bytes; if all chunks of that hash have
 the same bytes, every occurrence but the first (by doc_id, text hash and line) is removed. Chunks whose hash stands for
@@ -42,10 +44,10 @@ def _let(value: Column, body) -> Column:
 
 
 def _reach(counts: Column, k: Column, most: int) -> Column:
-    """How many of the up to `most` counts from place k on add up to over LONG; null if all together don't."""
+    """struct<sum, n>: how many of the up to `most` counts from place k on add up to over LONG, and their sum; null if all together don't."""
     start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"))
     done = F.aggregate(F.slice(counts, k + 1, F.lit(most)), start, lambda a, c: F.when(a["sum"] > LONG, a).otherwise(F.struct((a["sum"] + c).alias("sum"), (a["n"] + 1).alias("n"))))
-    return F.when(done["sum"] > LONG, done["n"])
+    return F.when(done["sum"] > LONG, done)
 
 
 def chunks(lines: Column, classes: int = CLASSES) -> Column:
@@ -68,14 +70,20 @@ def chunks(lines: Column, classes: int = CLASSES) -> Column:
         # Lines that aren't blank have a word each, so LONG + 1 of them always reach over LONG.
         some = F.filter(F.transform(counts, lambda c, i: F.struct(i.alias("i"), c.alias("c"))), lambda x: x["c"] > 0)
 
-        def spans(rows: Column) -> Column:
+        def found(rows: Column, back: bool) -> Column:
             number = F.struct(F.transform(rows, lambda x: x["i"]).alias("i"), F.transform(rows, lambda x: x["c"]).alias("c"))
 
-            def found(v: Column) -> Column:
-                ends = F.transform(v["i"], lambda i, k: F.struct(i.alias("s"), F.get(v["i"], k + F.coalesce(_reach(v["c"], k, 6), _reach(v["c"], k, LONG + 1)) - 1).alias("last")))
-                return F.transform(F.filter(ends, lambda x: x["last"].isNotNull()), lambda x: F.struct(x["s"].alias("s"), (x["last"] + 1).alias("e")))
+            def spans(v: Column) -> Column:
+                ends = F.transform(v["i"], lambda i, k: F.struct(i.alias("i"), F.get(v["c"], k).alias("c"), k.alias("k"), F.coalesce(_reach(v["c"], k, 6), _reach(v["c"], k, LONG + 1)).alias("r")))
+                # A chunk that isn't over LONG without its last line is among those by first line already.
+                ends = F.filter(ends, lambda x: x["r"].isNotNull() & (x["r"]["sum"] - x["c"] > LONG) if back else x["r"].isNotNull())
+                far = lambda x: F.get(v["i"], x["k"] + x["r"]["n"] - 1)
+                return F.transform(ends, lambda x: F.struct((far(x) if back else x["i"]).alias("s"), ((x["i"] if back else far(x)) + 1).alias("e")))
+
+            return _let(number, spans)
 
-            return hashed(_let(number, found), hashes)
+        def spans(rows: Column) -> Column:
+            return hashed(F.concat(found(rows, False), _let(F.reverse(rows), lambda r: found(r, True))), hashes)
 
         return _let(some, spans)
 
