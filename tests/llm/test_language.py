@@ -67,3 +67,12 @@ def test_odd_rows(spark, odd, empty, docs, corpus):
     assert len(none) == 11 and not any(r["accepted"] for r in none)
     kept = language.accepted(rows)
     assert kept.columns == rows.columns and kept.count() == rows.count() - 3
+
+
+def test_rare_and_many_languages_are_kept(docs, corpus):
+    """A language with three rows, and 70 more than the frequent ones: each document keeps its own."""
+    rng = random.Random(12)
+    own = {f"q{chr(97 + i // 26)}{chr(97 + i % 26)}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(8)] for i in range(70)}
+    rows = [(5000 + 10 * i + k, " ".join("".join(rng.choice(parts) for _ in range(2)) for _ in range(40)), lang, "src1") for i, (lang, parts) in enumerate(own.items()) for k in range(3)]
+    got = {r["doc_id"]: r["lang"] for r in language.accepted(docs(*corpus, *rows)).collect()}
+    assert got == {r[0]: r[2] for r in [*corpus, *rows]}

@@ -13,7 +13,8 @@ suffix's sums; a second pass reads each text with its host's row. That table goe
 small enough to broadcast; else rows are joined by host, where adaptive execution splits a host that is too large.
 
 The trigram model is fitted on a bounded sample: of each language about SAMPLE labelled rows, by a hash of id and text.
-Languages are those with at least ROWS labelled rows, the LANGUAGES most frequent. Null text counts as empty: rejected.
+Every labelled language is in the model, however few rows it has; texts are scored against AT_ONCE languages at a time,
+so that a task's memory doesn't grow with their number but for the model itself. Null text counts as empty: rejected.
 Null hosts are one host without a name, null or malformed declarations are no evidence. Without any labelled language
 every text with letters is "und" and rejected, as there is nothing to know it by.
 """
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import numbered, restored, sliced, stored, table
 from .urls import split_url
 
-SAMPLE, ROWS, LANGUAGES, BUCKETS = 2000, 20, 64, 1 << 15
+SAMPLE, AT_ONCE, BUCKETS = 2000, 8, 1 << 15
 STRENGTH, HONEST, DECLARED, LEAST, TEMPER = 10.0, 0.9, 20.0, 0.5, 1 / 3
 UND = "und"
 CODE = "^([A-Za-z]{2,3})(?:[-_].*)?$"
@@ -57,8 +58,11 @@ def likelihoods(texts: pa.Array, model: np.ndarray) -> tuple[np.ndarray, np.ndar
     out = np.zeros((len(texts), model.shape[1]))
     some = np.nonzero(end > first)[0]
     if len(some):
-        scores = np.concatenate([model[buckets], np.zeros((1, model.shape[1]))])
-        out[some] = np.add.reduceat(scores, np.stack([first[some], end[some]], 1).ravel(), axis=0)[::2]
+        bounds = np.stack([first[some], end[some]], 1).ravel()
+        for low in range(0, model.shape[1], AT_ONCE):
+            part = model[:, low : low + AT_ONCE]
+            scores = np.concatenate([part[buckets], np.zeros((1, part.shape[1]))])
+            out[some, low : low + AT_ONCE] = np.add.reduceat(scores, bounds, axis=0)[::2]
     return out * TEMPER, letters
 
 
@@ -69,28 +73,28 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def fit(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages and log probabilities (buckets x languages) from labelled rows: lang, key, text."""
-    sizes = {r["lang"]: r["n"] for r in rows.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= ROWS).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((BUCKETS, 0))
-    share = F.lit(0)
-    for lang in langs:
-        share = F.when(F.col("lang") == lang, min(1 << 20, -(-(sample << 20) // sizes[lang]))).otherwise(share)
+    shares = F.create_map(*(F.lit(x) for lang in langs for x in (lang, min(1 << 20, -(-(sample << 20) // sizes[lang])))))
+    share, place = F.coalesce(F.element_at(shares, F.col("lang")), F.lit(0)), {lang: i for i, lang in enumerate(langs)}
     picked = rows.where(F.pmod(F.xxhash64("key", "text"), F.lit(1 << 20)) < share).select("lang", F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(langs), BUCKETS), np.int64)
+        counts: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(BUCKETS, np.int64))
         for b in sliced(batches, 1, 1 << 20):
             buckets, first, end, _ = trigrams(b.column(1))
             for lang, low, high in zip(b.column(0).to_pylist(), first, end):
-                counts[langs.index(lang)] += np.bincount(buckets[low:high], minlength=BUCKETS)
-        at, bucket = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(bucket, pa.int32()), pa.array(counts[at, bucket])], names=["at", "bucket", "n"])
+                counts[place[lang]] += np.bincount(buckets[low:high], minlength=BUCKETS)
+        for at, x in counts.items():
+            (bucket,) = np.nonzero(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), at), pa.int32()), pa.array(bucket, pa.int32()), pa.array(x[bucket])], names=["at", "bucket", "n"])
 
-    # At most LANGUAGES x BUCKETS rows.
+    # At most BUCKETS rows a language.
     counts = np.zeros((BUCKETS, len(langs)))
-    for r in picked.mapInArrow(run, "at int, bucket int, n long").groupBy("at", "bucket").agg(F.sum("n").alias("n")).collect():
-        counts[r["bucket"], r["at"]] = r["n"]
+    found = picked.mapInArrow(run, "at int, bucket int, n long").groupBy("at", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts[found["bucket"].to_numpy(), found["at"].to_numpy()] = found["n"].to_numpy()
     return langs, np.log((counts + 0.5) / (counts.sum(0) + 0.5 * BUCKETS))
 
 
@@ -113,7 +117,7 @@ def _sums(rows: DataFrame, shared: Broadcast, n: int) -> DataFrame:
             p = softmax(logs) * (letters > 0)[:, None]
             for key, x in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), p):
                 sums[key] += x
-            if len(sums) > 100_000:
+            if len(sums) * n > 6_400_000:
                 yield out(sums)
                 sums.clear()
         yield out(sums)
