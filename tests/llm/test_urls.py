@@ -53,3 +53,11 @@ def test_hot_host_and_odd_rows(spark):
     got = urls.judge(df).collect()
     assert len(got) == 52 and {r["verdict"] for r in got if r["page_id"] == 1} == {"allow"}
     assert urls.judge(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_mining_counts_rows_not_shapes(spark):
+    """20 block shapes of one page each against one allow shape of 1000 pages: the token they share says allow."""
+    shapes = [([f"1p:b{i}", "2p:x"], "block", 1) for i in range(20)] + [(["1p:a", "2p:x"], "allow", 1000), (["1p:open", "2p:x"], None, 1)]
+    mined = {(tuple(r["antecedent"]), r["verdict"]): r for r in urls.mine(spark.createDataFrame(shapes, "tokens array<string>, verdict string, n long")).collect()}
+    assert (("2p:x",), "block") not in mined
+    assert mined[("2p:x",), "allow"]["confidence"] == pytest.approx(1000 / 1020) and mined[("2p:x",), "allow"]["support"] == pytest.approx(1000 / 1020)

@@ -8,8 +8,9 @@ match other urls by an inverted index: each mined rule is posted under its rares
 is checked for the rest. Of the mined rules that match, the most confident wins, then the best supported, the longest,
 and block before allow; a url that none matches is allowed.
 
-Urls are folded to distinct token sets before mining and matching, with their counts, so a host with a third of all
-rows costs no more than its distinct shapes. Null urls, and urls without "://", have empty host and path, no tokens, no
+Urls are folded to distinct token sets before matching, with their counts, so a host with a third of all rows costs no
+more than its distinct shapes there. Mining counts rows: each set is a basket as often as it occurs, and a frequent
+set's baskets are dealt over all tasks. Null urls, and urls without "://", have empty host and path, no tokens, no
 rule, and the verdict allow. Rows with repeated ids are judged one by one.
 """
 
@@ -26,6 +27,7 @@ from .common import table
 #: (verdict, host and path) of the contract's rules.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 SUPPORT, CONFIDENCE = 0.01, 0.9
+DEAL = 256
 BLOCK, ALLOW = "verdict=block", "verdict=allow"
 
 
@@ -64,9 +66,12 @@ def tokens(host: Column, path: Column) -> Column:
 def mine(shapes: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(antecedent, verdict, confidence, support) mined from shapes (tokens, verdict, n); n is how often a shape occurs.
 
-    A shape counts once however often it occurs, so a single huge host doesn't decide what is frequent.
+    Support and confidence are shares of all labelled rows. A shape's n baskets are dealt out in parts of up to DEAL.
     """
-    baskets = shapes.where("verdict IS NOT NULL AND size(tokens) > 0").select(F.array_union("tokens", F.array(F.concat(F.lit("verdict="), "verdict"))).alias("items"))
+    known = shapes.where("verdict IS NOT NULL AND size(tokens) > 0").select(F.array_union("tokens", F.array(F.concat(F.lit("verdict="), "verdict"))).alias("items"), "n")
+    parts = known.select("items", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(DEAL))).alias("from"))
+    dealt = parts.repartition(int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    baskets = dealt.select("items", F.explode(F.array_repeat(F.lit(True), F.least(F.lit(DEAL), F.col("n") - F.col("from")).cast("int")))).select("items")
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     rules = model.associationRules.where(F.col("consequent")[0].isin(BLOCK, ALLOW)).where(~F.exists("antecedent", lambda t: t.startswith("verdict=")))
     rules = rules.select(F.array_sort("antecedent").alias("antecedent"), F.substring_index(F.col("consequent")[0], "=", -1).alias("verdict"), "confidence", "support")
