@@ -6,6 +6,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tracelake.llm import simhash
+from tracelake.llm.shingle import fingerprint, hashes
+from tracelake.operators import coupling
 
 
 def plain(text):
@@ -29,7 +31,7 @@ def classes(fps, radius):
 def test_fingerprint_equals_definition_and_spark(spark):
     texts = ["", "One", "one two", "One two  three", "a b c d e f g a b c", "É é É", "x\x1cy z w", "tab\tand\x0bmore\x0cwhite\r\nspace"]
     for t in texts:
-        assert simhash.fingerprint(t.encode()) & (2**64 - 1) == plain(t)
+        assert fingerprint(hashes(t.encode(), 3)) & (2**64 - 1) == plain(t)
     row = spark.createDataFrame([("a b c",)], "t string").select(F.xxhash64("t").alias("h")).first()
     assert row["h"] & (2**64 - 1) == xxhash.xxh64_intdigest(b"a b c", 42)
 
@@ -60,17 +62,74 @@ def test_local_links_equal_brute_force():
     assert forest.up.tolist() == classes(arr.tolist(), 3)
 
 
-def test_components_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "SHARD", 16)
-    monkeypatch.setattr(simhash, "SPLIT", 20)
+def rows_of(spark, fps):
+    return spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in sorted(set(fps))], "fp long")
+
+
+def linked(spark, fps, **how):
+    """Component of each distinct fingerprint, as the least in it by its signed value."""
+    edges = simhash.links(rows_of(spark, fps), **how).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    found = {r["id"]: r["component"] for r in coupling.components(edges).collect()}
+    signed = [f - (1 << 64) if f >> 63 else f for f in sorted(set(fps))]
+    return [found.get(f, f) for f in signed], signed
+
+
+def wanted(fps, signed, radius):
+    comp = classes([f & (2**64 - 1) for f in signed], radius)
+    least = {c: min(f for f, d in zip(signed, comp) if d == c) for c in set(comp)}
+    return [least[c] for c in comp]
+
+
+@pytest.mark.parametrize("blocks", [2, 4])
+def test_components_equal_brute_force(spark, monkeypatch, blocks):
+    """With shards far over SPLIT: subtrees of subtrees, visitors, and many parts that are equal."""
+    for name, value in {"SHARD": 16, "SPLIT": 60, "TOP": 4, "FAN": 16, "SAMPLE": 64, "GROW": 32, "DEAL": 90}.items():
+        monkeypatch.setattr(simhash, name, value)
     rng = random.Random(9)
-    base = [rng.getrandbits(64) for _ in range(60)]
-    fps = base + [f ^ sum(1 << b for b in rng.sample(range(64), k)) for f in base for k in (1, 2, 3, 5)] + base[:10]
-    rows = [(i + 1, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)]
-    reps = spark.createDataFrame(rows, "node long, fp long").groupBy("fp").agg(F.min("node").alias("node"))
-    comp = {r["node"]: r["component"] for r in simhash.components(simhash.links(reps)).collect()}
-    want = classes(fps, 3)
-    assert {i + 1: comp.get(i + 1, i + 1) for i in range(300)} == {i + 1: want[i] + 1 for i in range(300)}
+    base = [rng.getrandbits(64) for _ in range(60)] + [rng.getrandbits(48) << 16 for _ in range(80)]
+    fps = base + [f ^ sum(1 << b for b in rng.sample(range(64), k)) for f in base for k in (1, 2, 3, 5)]
+    got, signed = linked(spark, fps, blocks=blocks)
+    assert got == wanted(fps, signed, 3)
+
+
+def test_shards_that_cannot_be_split(spark, monkeypatch):
+    """All within few bits of each other: no vantage point parts them, so pieces meet in pairs."""
+    for name, value in {"SHARD": 8, "SPLIT": 12, "TOP": 4, "FAN": 4, "SAMPLE": 64, "GROW": 16, "DEAL": 50}.items():
+        monkeypatch.setattr(simhash, name, value)
+    near = [1 << i | 1 << j for i in range(12) for j in range(i)] + [0x7 << 40, 0x7F << 40, 0xFFFF << 40]
+    routed = simhash.route(rows_of(spark, near))
+    assert routed.agg(F.max("pieces")).first()[0] > 1
+    got, signed = linked(spark, near)
+    assert got == wanted(near, signed, 3)
+
+
+def test_two_thousand_shards_over_the_limit(spark, monkeypatch):
+    for name, value in {"SHARD": 2, "SPLIT": 4, "SAMPLE": 4096, "GROW": 64}.items():
+        monkeypatch.setattr(simhash, name, value)
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(5200)]
+    close = {f: f ^ sum(1 << b for b in rng.sample(range(64), rng.choice([1, 2, 3, 4]))) for f in base[:800]}
+    rows = rows_of(spark, base + [*close.values()])
+    sizes = []
+    plain_route = simhash.route
+    monkeypatch.setattr(simhash, "route", lambda *a, **k: sizes.append(plain_route(*a, **k)) or sizes[-1])
+    pairs = {tuple(sorted((r["a"], r["b"]))) for r in simhash.links(rows).collect()}
+    sign = lambda f: f - (1 << 64) if f >> 63 else f
+    want = {tuple(sorted((sign(f), sign(g)))) for f, g in close.items() if (f ^ g).bit_count() <= 3}
+    assert pairs == want
+    shards = sizes[0].groupBy("block", "shard").count()
+    assert shards.agg(F.max("shard")).first()[0] >= 1 << 16  # subtrees were grown
+    # Each fingerprint lives in four shards, whatever was split.
+    assert sizes[0].where("home").count() == 4 * rows.count()
+
+
+def test_rows_dealt_stay_flat():
+    """Four a fingerprint, at a thousand and at a million: parts within r = 0 have no visitors."""
+    rng = np.random.default_rng(1)
+    for n in (1_000, 1_000_000):
+        fps = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        dealt = sum(len(simhash.Tree(fps[:8192], 0xFFFF << (16 * b), 0, min(simhash.TOP, -(-n // simhash.SHARD))).route(fps)[0]) for b in range(4))
+        assert dealt == 4 * n
 
 
 def test_odd_rows(odd, empty):
@@ -78,13 +137,13 @@ def test_odd_rows(odd, empty):
     assert got[0] == (-1, None) and [g for g in got if g[0] in (1, 2, 3)] == [(1, 1), (2, 1), (3, 1)]
     assert [g for g in got if g[0] in (5, 6)] == [(5, 5), (5, 5), (6, 5)] and len(got) == 11
     assert simhash.near_duplicates(empty).count() == 0
-    kept = sorted(r["doc_id"] or -1 for r in simhash.keep_one(odd).select("doc_id").collect())
-    assert kept == [-1, 1, 5, 5, 7, 8, 9, 10]
 
 
-def test_keep_one_of_repeated_ids(docs):
-    rows = docs((3, "the very first text of all"), (7, "the very first text of all"), (7, "another text with the same id"), (9, None), (10, ""))
-    assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(rows.withColumn("th", F.lit(1))).collect() if r["text"]) == [(3, "the very first text of all"), (7, "another text with the same id")]
+def test_ids_of_any_size(docs):
+    """Ids at either end of the range, and texts that only rows without an id have."""
+    rows = docs((2**63 - 1, "a b c"), (2**63 - 2, "d e f"), (-(2**63), "g h i"), (None, "j k l"), (None, "m n o"), (None, "a b c"))
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(rows).collect()), key=str)
+    assert got == sorted([(2**63 - 1, 2**63 - 1), (2**63 - 2, 2**63 - 2), (-(2**63), -(2**63)), (None, None), (None, None), (None, 2**63 - 1)], key=str)
 
 
 def test_query(spark, tmp_path, docs):

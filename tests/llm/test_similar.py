@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from corpus_pipeline import near_duplicates
-from tracelake.llm import similar
+from tracelake.llm import similar, simhash
 
 
 def grams(text):
@@ -44,7 +44,13 @@ def test_stage_equals_brute_force(spark, docs, monkeypatch):
 
 
 def test_odd_rows(odd, empty, docs):
-    assert sorted(r["doc_id"] or -1 for r in similar.keep_one(odd.withColumn("th", F.lit(1)).withColumn("node", F.lit(1))).select("doc_id").collect()) == [-1, 1, 5, 5, 7, 8, 9, 10]
-    assert similar.keep_one(empty).count() == 0
-    rows = docs((3, "the very first text of all"), (7, "the very first text of all"), (7, "another text with the same id"), (9, None), (10, ""))
-    assert sorted((r["doc_id"], r["text"] or "") for r in similar.keep_one(rows).collect()) == [(3, "the very first text of all"), (7, "another text with the same id"), (9, "")]
+    assert sorted(r["doc_id"] or -1 for r in simhash.keep_one(odd.withColumn("th", F.lit(1)).withColumn("node", F.lit(1))).select("doc_id").collect()) == [-1, 1, 5, 7, 8, 9, 10]
+    assert simhash.keep_one(empty).count() == 0
+    rows = docs((3, "the very first text of all"), (7, "the very first text of all"), (7, "another text with the same id"), (7, "another text with the same id"), (9, None), (10, ""))
+    assert sorted((r["doc_id"], r["text"] or "") for r in simhash.keep_one(rows).collect()) == [(3, "the very first text of all"), (7, "another text with the same id"), (9, "")]
+
+
+def test_repeated_rows_leave_one(docs):
+    """Of rows with the same id and text one stays, always the same."""
+    rows = [(4, "five words are in here", "en", f"s{i}") for i in range(5)]
+    assert {tuple(simhash.keep_one(docs(*order)).collect()[0]) for order in (rows, rows[::-1])} in [{(4, "five words are in here", "en", f"s{i}", None)} for i in range(5)]

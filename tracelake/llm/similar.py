@@ -1,4 +1,4 @@
-"""Near duplicates by the exact Jaccard similarity of word shingles: every pair of at least 4/5 is linked.
+"""Links between texts by the exact Jaccard similarity of five-word shingles: every pair of at least 4/5 is linked.
 
 A text's set is that of the hashes of its K-word shingles. Equal sets are folded first. Two sets of similarity 4/5 share
 one of the first n - ceil(4n/5) + 1 shingles of each, in any order that is the same for all sets; here shingles that
@@ -6,13 +6,17 @@ a bounded sample of texts shows to be common come last, the others go by hash. S
 are candidates, and no candidate is left out: the sample decides the order only. All candidates are compared by their
 whole sets.
 
-A large group isn't spelled out as pairs: in STARS rounds the sets of each shingle that HOT or more sets share are
-compared with one of them, and sets that are linked by then, over whatever way, are not compared any more; after the
-rounds all candidates of different components are. Of these a pair is dropped only if the shared shingles of its two
-prefixes and all that is beyond the prefixes together can't reach 4/5. Texts are read again only for sets to compare,
-which a bitmap of BITS text hashes picks without moving any text; a join then takes off what it let through. Null text counts as empty; texts without words have the empty set and are one group.
+A large group isn't spelled out as pairs. The pairs that the fingerprint trees give are compared first. Then in STARS
+rounds the sets of each shingle that HOT or more sets share are compared with one of them, and sets that are linked by
+then, over whatever way, are not compared any more; after the rounds all candidates of different components are. Of
+these a pair is dropped only if the shared shingles of its two prefixes and all that is beyond the prefixes together
+can't reach 4/5. Texts are read again only for sets to compare, which a bitmap of BITS text hashes picks without moving
+any text; a join then takes off what it let through.
+
+Null text counts as empty; texts without words have the empty set and are one group.
 """
 
+
 from __future__ import annotations
 
 from collections.abc import Iterator
@@ -24,7 +28,8 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from ..operators import coupling
-from .common import stored
+from .common import numbered, restored, stored
+from .shingle import fingerprint, hashes
 
 K, STARS, HOT, BITS = 5, 2, 32, 1 << 24
 #: The sample: about this many texts; shingles in at least OFTEN of them are common ones, of which the first MOST count.
@@ -32,12 +37,8 @@ SAMPLE, OFTEN, MOST = 8192, 4, 65536
 
 
 def shingles(data: bytes | None, k: int = K) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; a shorter text is one shingle."""
-    words = data.lower().split() if data else []  # both act on ASCII only
-    if not words:
-        return np.empty(0, np.int64)
-    grams = map(b" ".join, zip(*(words[i:] for i in range(k)))) if len(words) >= k else [b" ".join(words)]
-    return np.unique(np.fromiter((xxh64_intdigest(g, 42) for g in grams), np.uint64).view(np.int64))
+    """Sorted distinct hashes of the k-word shingles."""
+    return np.unique(hashes(data, k).view(np.int64))
 
 
 def prefix(grams: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -73,8 +74,8 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return gram[order], n[order]
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, th, node (the set's hash), n and head (its prefix) of each row."""
+def described(docs: DataFrame) -> DataFrame:
+    """doc_id, th, node (the set's hash), n, fp (the fingerprint) and head (the set's prefix) of each row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(_common(rows))
 
@@ -82,12 +83,15 @@ def _rows(docs: DataFrame) -> DataFrame:
         for b in batches:
             for low in range(0, b.num_rows, 256):
                 part = b.slice(low, 256)
-                sets = [shingles(t.as_py()) for t in part.column(2)]
-                node = pa.array(np.array([xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64))
-                heads = pa.array([prefix(s, *shared.value) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), node, pa.array([len(s) for s in sets], pa.int32()), heads], names=["doc_id", "th", "node", "n", "head"])
+                nodes, sizes, fps, heads = [], [], [], []
+                for t in part.column(2):
+                    h = hashes(t.as_py(), K)
+                    s = np.unique(h.view(np.int64))
+                    nodes.append(xxh64_intdigest(s.tobytes(), 7)), sizes.append(len(s)), fps.append(fingerprint(h)), heads.append(prefix(s, *shared.value))
+                columns = [part.column(0), part.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), pa.array(heads, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "node", "n", "fp", "head"])
 
-    return stored(rows.mapInArrow(run, "doc_id long, th long, node long, n int, head array<long>"))
+    return stored(rows.mapInArrow(run, "doc_id long, th long, node long, n int, fp long, head array<long>"))
 
 
 def _first(rows: DataFrame, key: str) -> DataFrame:
@@ -95,8 +99,8 @@ def _first(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("x")).select(key, "x.doc_id", "x.th")
 
 
-def _links(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
-    """(node, component) of the sets that are linked to others; None without any link."""
+def groups(docs: DataFrame, rows: DataFrame, first: DataFrame) -> DataFrame | None:
+    """(node, component) of the sets that are linked to others; None without any link. first: pairs (a, b) to compare first."""
     spark = docs.sparkSession
     heads = rows.where("n > 0").select("node", "n", F.explode("head").alias("gram"))
     shared = heads.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("gram")
@@ -109,6 +113,7 @@ def _links(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         wanted = stored(_first(rows.join(nodes, "node", "left_semi"), "node").select("node", F.col("doc_id").alias("_d"), F.col("th").alias("_t")))
         bits = np.zeros(BITS, bool)
+        # At most BITS numbers.
         bits[wanted.select(F.pmod("_t", F.lit(BITS)).cast("int").alias("bit")).distinct().toArrow()["bit"].to_numpy()] = True
         there = spark.sparkContext.broadcast(np.packbits(bits))
 
@@ -129,9 +134,11 @@ def _links(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
         return stored(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
 
     edges = component = None
-    for k in range(STARS + 1):
+    for k in range(-1, STARS + 1):
         now = posted.withColumn("c", F.col("node")) if component is None else posted.join(component, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        if k < STARS:
+        if k < 0:
+            pairs = first
+        elif k < STARS:
             pick = F.max_by(F.struct("node", "n", "c"), F.xxhash64("node", F.lit(k)))
             star = now.groupBy("gram").agg(F.count("*").alias("sets"), pick.alias("s"), F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("sets") >= HOT).where("lo < hi")
             star = star.select("gram", F.col("s.node").alias("b"), F.col("s.n").alias("m"), F.col("s.c").alias("d"))
@@ -154,13 +161,16 @@ def _links(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
     return component
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group of linked texts, that of the least id; rows of one id and text are one document. Rows without an id stay only if no row with an id is linked to them."""
-    rows = _rows(docs)
-    component = _links(docs, rows)
+def first_of_each(docs: DataFrame, rows: DataFrame, component: DataFrame | None) -> DataFrame:
+    """One row of each group, that of the least id, then text hash. Rows without an id stay only if no row with an id is in their group; of rows that repeat id and text the one stays whose columns have the least hash."""
     if component is None:
         placed = rows.withColumn("c", F.col("node"))
     else:
         placed = rows.join(component, "node", "left").withColumn("c", F.coalesce("component", "node"))
     kept = _first(placed.select("doc_id", "th", "c"), "c").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_d"]) & (F.xxhash64(docs["text"]) == kept["_t"]), "left_semi")
+    times = rows.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.count("*").alias("_n"))
+    kept = stored(kept.join(times, kept["_d"].eqNullSafe(times["_d"]) & (kept["_t"] == times["_t"])).select(kept["_d"], kept["_t"], "_n"))
+    named = docs.select(*numbered(docs, ("doc_id", "text")))
+    left = named.join(kept, named["doc_id"].eqNullSafe(kept["_d"]) & (F.xxhash64(named["text"]) == kept["_t"]))
+    twice = left.where("_n > 1").groupBy("_d", "_t").agg(F.min_by(F.struct(*(F.col(c) for c in named.columns)), F.xxhash64(*(F.col(c).cast("string") for c in named.columns))).alias("x")).select("x.*")
+    return left.where("_n = 1").select(*named.columns).union(twice).select(*restored(docs, ("doc_id", "text")))
