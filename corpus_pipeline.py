@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import bpe, decontaminate, language, lines, similar
+from tracelake.llm import bpe, decontaminate, language, lines, simhash
 from tracelake.llm.common import stored, table
 
 
@@ -20,8 +20,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: texts whose sets of five-word shingles have a Jaccard of at least 0.8."""
-    return similar.keep_one(docs)
+    """One row of each group of near duplicates: texts whose sets of five-word shingles have a Jaccard of at least 0.8."""
+    return simhash.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language ID", language_id),
     ("line dedup", line_dedup),
-    ("shingle near-dedup", near_duplicates),
+    ("SimHash near-dedup", near_duplicates),
     ("benchmark decontamination", decontaminated),
     ("byte-level BPE", tokens),
 ]
