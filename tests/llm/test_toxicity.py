@@ -1,10 +1,13 @@
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tracelake.llm import toxicity as tox
 
@@ -35,23 +38,93 @@ LABELS = "doc_id long, quality int, toxic int"
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.integers(0, 10_000), st.integers(1, 9), st.integers(1, 6))
-def test_search_is_exact(seed, block, k):
+@given(st.integers(0, 10_000), st.integers(1, 9), st.integers(1, 6), st.integers(1, 4))
+def test_search_is_exact(seed, block, k, first):
     rng = np.random.default_rng(seed)
     dense = (rng.random((40, 12)) < 0.3) * rng.random((40, 12))
     norm = np.linalg.norm(dense, axis=1)
-    rows = [(i, int(i % 2), np.nonzero(v)[0].tolist(), (v[v > 0] / n).tolist()) for i, (v, n) in enumerate(zip(dense, norm)) if n]
-    index = tox.Index(rows, 12, block)
-    q = (rng.random(12) < 0.4) * rng.random(12)
-    terms = np.nonzero(q)[0].tolist()
-    got = index.nearest(terms, q[terms].tolist(), k)
-    by_id = {r[0]: r for r in rows}
-    cos = {i: float(sum(q[t] * w for t, w in zip(by_id[i][2], by_id[i][3]))) for i in by_id}
-    want = sorted((round(c, 9) for c in cos.values() if c > 0), reverse=True)[:k]
-    assert [round(s, 9) for s, _ in got] == pytest.approx(want)
-    assert all(round(cos[int(index.ids[i])], 9) == pytest.approx(round(s, 9)) for s, i in got)
-    if got:
-        assert got[0][1] not in [i for _, i in index.nearest(terms, q[terms].tolist(), k, without=got[0][1])]
+    rows = [i for i in range(40) if norm[i]]
+    tox.FIRST, before = first, tox.FIRST
+    try:
+        index = tox.Index(np.array(rows), np.array([i % 2 for i in rows]), [(np.nonzero(dense[i])[0], dense[i][dense[i] > 0] / norm[i]) for i in rows], 12, block)
+        q = (rng.random(12) < 0.4) * rng.random(12)
+        terms = np.nonzero(q)[0]
+        got = index.nearest(terms, q[terms], k)
+        cos = {i: float(dense[i] @ q / norm[i]) for i in rows}
+        want = sorted((round(c, 9) for c in cos.values() if c > 0), reverse=True)[:k]
+        assert [round(s, 9) for s, _ in got] == pytest.approx(want)
+        assert all(round(cos[int(index.ids[i])], 9) == pytest.approx(round(s, 9)) for s, i in got)
+        if got:
+            assert got[0][1] not in [i for _, i in index.nearest(terms, q[terms], k, without=got[0][1])]
+    finally:
+        tox.FIRST = before
+
+
+def test_spans():
+    assert tox.spans(np.array([3, 5, 5, 0]), np.array([5, 5, 8, 1])).tolist() == [3, 4, 5, 6, 7, 0]
+    assert tox.spans(np.array([2]), np.array([2])).tolist() == [] == tox.spans(np.array([], int), np.array([], int)).tolist()
+
+
+def brute(rows, labels, k):
+    """Scores from dense vectors of all words, all cosines, and a plain Newton fit of the curve."""
+    known = {}
+    for i, _, y in labels:
+        if not held(i):
+            known[i] = max(known.get(i, 0), y)
+    texts = {i: Counter(re.findall(r"[^\W\d_]{2,}", t.lower())) for i, t in rows}
+    train = sorted(i for i in known if i in texts)
+    words = sorted({w for i in train for w in texts[i]})
+    counts = lambda i: np.array([texts[i][w] for w in words], float)
+    df = np.array([sum(w in c for c in texts.values()) for w in words])
+    y = np.array([known[i] for i in train])
+    x = np.array([counts(i) for i in train])
+    n0, n1 = (y == 0).sum(), (y == 1).sum()
+    m0, m1 = (x[y == 0] > 0).sum(0), (x[y == 1] > 0).sum(0)
+    p = (m0 + m1 + 1) / (n0 + n1 + 2)
+    z = (m1 / n1 - m0 / n0) / np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
+    weight = (np.log((1 + len(texts)) / (1 + df)) + 1) * (z * z + 1) / (z * z + tox.SHRINK)
+
+    def vector(c):
+        v = np.where(c > 0, 1 + np.log(np.maximum(c, 1)), 0) * weight
+        return v / np.linalg.norm(v) if v.any() else v
+
+    examples = np.array([vector(c) for c in x])
+    share = np.array([sum(v == c for v in known.values()) / n for c, n in ((0, n0), (1, n1))])
+
+    def vote(cos):
+        best = [i for i in np.argsort(-cos)[:k] if cos[i] > 0]
+        sums = tox.SMOOTH * share
+        for i in best:
+            sums = sums + np.eye(2)[y[i]] * cos[i] ** 2 * share[y[i]]
+        return np.clip(np.log(sums[1] / sums[0]), -12, 12) if best else None
+
+    cosines = examples @ examples.T
+    np.fill_diagonal(cosines, 0)
+    v = np.array([vote(c) for c in cosines])
+    w = share[y]
+    size = lambda c: (w * (y == c)).sum() / w.sum() * len(y)
+    goal = np.where(y == 1, (size(1) + 1) / (size(1) + 2), 1 / (size(0) + 2))
+    ab = np.array([1.0, 0.0])
+    f = np.stack([v, np.ones(len(v))], 1)
+    for _ in range(500):
+        q = 1 / (1 + np.exp(-f @ ab))
+        ab = ab - 0.5 * np.linalg.solve((f * (w * q * (1 - q))[:, None]).T @ f + 1e-3 * np.eye(2), f.T @ (w * (q - goal)) + 1e-3 * (ab - [1, 0]))
+    prior = sum(known.values()) / len(known)
+    out = {}
+    for i, _ in rows:
+        got = vote(examples @ vector(counts(i)))
+        out[i] = prior if got is None else 1 / (1 + np.exp(-ab[0] * got - ab[1]))
+    return out
+
+
+def test_scores_equal_brute_force(spark, docs):
+    rows, labels = corpus(160, seed=7)
+    rows += [(9000, "nothing of this kind"), (9001, ""), (9002, "Idiot idiot IDIOT")]
+    given_ = docs(*rows).withColumn("score", F.lit("clash")).withColumn("y", F.lit(1)).withColumn("held_out", F.lit(2))
+    labelled = spark.createDataFrame(labels, LABELS).withColumn("text", F.lit("clash")).withColumn("y", F.lit(9))
+    got = {r["doc_id"]: r["score"] for r in tox.score(given_, labelled, k=5).collect()}
+    want = brute(rows, labels, 5)
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-5) for i in want)
 
 
 def test_held_out_accuracy(spark, docs):
@@ -81,6 +154,5 @@ def test_odd_rows(spark, docs, odd, empty):
     assert {(r["score"], r["predicted"]) for r in none} == {(0.0, 0)}
 
 
-def test_terms_and_stems():
+def test_words():
     assert tox.tokens("Ab, cd_ef 12 éa!".encode()) == {"ab": 1, "cd": 1, "ef": 1, "éa": 1} and tox.tokens(None) == {}
-    assert tox.stems("abcde") == ["abcde", "abc*", "abcd*"]

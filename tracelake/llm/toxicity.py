@@ -1,19 +1,25 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-Fit: a bounded sample of at most `per_class` labelled training rows of either class, the first by the hash of their id.
-Terms are the TERMS words and beginnings of words whose presence tells most for the label in that sample, by
-log-likelihood ratio, and that are at least LIFT times as common in toxic rows. Their inverse document frequencies come from all documents. The sample's vectors are put in order of their
-heaviest terms, so that likes are neighbours, and cut into blocks; each term's postings are kept by block with the
-block's largest weight. The index is a few MB at most, by per_class and TERMS, whatever the corpus.
-
-Search: the sum of block maxima bounds every cosine in a block. Blocks are visited by falling bound until the k-th best
-cosine is no less than the next bound, so the k nearest examples are exact. Ties go to the example with the smaller
-number. Votes weigh the cosine squared and, since classes are sampled evenly, their class's share of all labelled
-training rows; a logistic curve fitted on left-one-out votes of the sample makes them calibrated probabilities.
-A text with none of the terms gets the smoothed rate of toxic rows among the sample's texts without terms.
-
-Null text counts as empty. Labels of one id that differ count as toxic; null labels are skipped. Without any labelled
-row of both classes every score is the prior (0 without labels).
+Fit: a bounded sample of labelled training rows is indexed: at most `per_class` rows of either class, the first by the
+hash of their id among those whose text has at most LONGEST bytes. Every word of the sample is a term. A vector's weight
+is (1 + ln count) * idf * relevance, of unit length. Document frequencies come from all documents. Relevance is
+(z^2 + 1) / (z^2 + SHRINK) with z from the word's presence in the two classes of the sample: it is above zero for every
+word and near one for words that surely tell the classes apart; no term is left out. Words that the sample lacks are in
+no example and carry no weight. The vectors are put in order of their heaviest terms, so that likes are neighbours, and
+cut into blocks; a term's postings are kept by block with the block's largest weight. per_class and LONGEST bound the
+index, whatever the corpus.
+
+Search: the sum of block maxima bounds every cosine in a block. The FIRST blocks by bound give a k-th best cosine; of
+the others only those whose bound reaches it are read, so the k nearest examples are exact. Ties go to the example
+with the smaller number. Votes weigh the cosine squared and, since classes are sampled evenly, their class's share of
+all labelled training rows; a logistic curve fitted on left-one-out votes of the sample makes them calibrated
+probabilities. A text with no term of the sample gets the smoothed rate of toxic training rows.
+
+Plan: one pass over all texts counts documents by term within each task, the left-one-out votes are a job over the
+sample, and a second pass scores whole texts. Texts never move.
+
+Null text counts as empty. Labels of one id that differ count as toxic; null labels are skipped. Without labelled rows
+of both classes every score is the prior (0 without labels).
 """
 
 from __future__ import annotations
@@ -22,21 +28,22 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, shuffle_width, stored, table
+from .common import fold, sliced, table
 
 FOLDS, HELD = 5, 0
-PER_CLASS, TERMS, NEIGHBOURS, BLOCK = 4096, 1024, 15, 64
-#: Terms must be in so many sampled rows.
-LEAST, GAIN, LIFT = 4, 24.0, 2.0
+PER_CLASS, LONGEST, NEIGHBOURS, BLOCK, FIRST = 4096, 1 << 14, 15, 64, 8
+#: Of z squared: what it takes for half the weight.
+SHRINK = 200.0
 #: Added to either side of a vote.
 SMOOTH = 0.05
-STEMS = range(3, 8)
 WORD = re.compile(r"[^\W\d_]{2,}")
 
 
@@ -45,91 +52,116 @@ def tokens(text: bytes | None) -> Counter:
     return Counter(WORD.findall(text.decode().lower())) if text else Counter()
 
 
-def stems(word: str) -> list[str]:
-    """The terms a word counts for: itself, and its beginnings, marked by a star."""
-    return [word, *[word[:k] + "*" for k in STEMS if len(word) > k]]
+def spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers from each start up to its end, one after the other."""
+    size = end - start
+    out = np.ones(int(size.sum()), np.int64)
+    if not len(out):
+        return out
+    some = size > 0
+    start, end, size = start[some], end[some], size[some]
+    at = np.cumsum(size)[:-1]
+    out[0] = start[0]
+    out[at] = start[1:] - end[:-1] + 1
+    return np.cumsum(out)
 
 
 class Index:
     """Block-max inverted index of unit vectors over numbered terms."""
 
-    def __init__(self, rows: list[tuple[int, int, list[int], list[float]]], terms: int, block: int = BLOCK):
-        """rows: (doc_id, label, terms, weights) of non-empty vectors of length one."""
-        rows = sorted(rows, key=lambda r: (sorted(zip((-w for w in r[3]), r[2]))[:3], r[0]))
-        self.block, self.n = block, len(rows)
-        self.ids = np.array([r[0] for r in rows], np.int64)
-        self.labels = np.array([r[1] for r in rows], np.int8)
-        blocks = -(-self.n // block)
-        post = sorted((t, i, w) for i, r in enumerate(rows) for t, w in zip(r[2], r[3]))
-        self.at = np.array([i for _, i, _ in post], np.int32)
-        self.weight = np.array([w for _, _, w in post], np.float64)
-        key = np.array([t * blocks + i // block for t, i, _ in post], np.int64)
-        # Postings of term t in block b are start[t * blocks + b] to the next start.
-        self.start = np.searchsorted(key, np.arange(terms * blocks + 1)).astype(np.int64)
-        self.top = np.zeros((terms, blocks))
-        if len(post):
-            np.maximum.at(self.top.reshape(-1), key, self.weight)
-        self.blocks = blocks
-
-    def nearest(self, terms: list[int], weights: list[float], k: int, without: int = -1) -> list[tuple[float, int]]:
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK):
+        """vectors: (terms, weights) of each row, of length one."""
+        lead = [tuple(t[np.lexsort((t, -w))[:3]]) for t, w in vectors]
+        order = sorted(range(len(vectors)), key=lambda i: (lead[i], ids[i]))
+        self.n, self.block, self.blocks = len(order), block, -(-len(order) // block)
+        self.ids, self.labels = np.asarray(ids, np.int64)[order], np.asarray(labels, np.int8)[order]
+        self.vectors = [vectors[i] for i in order]
+        sizes = [len(t) for t, _ in self.vectors]
+        term = np.concatenate([t for t, _ in self.vectors]) if order else np.empty(0, np.int64)
+        weight = np.concatenate([w for _, w in self.vectors]) if order else np.empty(0)
+        row = np.repeat(np.arange(self.n), sizes)
+        sort = np.lexsort((row, term))
+        term, self.weight, self.row = term[sort], weight[sort], row[sort].astype(np.int32)
+        # Entries: a term's postings within a block, in order of term and block.
+        key = term * max(1, self.blocks) + self.row // block
+        self.first = np.nonzero(np.diff(key, prepend=-1))[0]
+        self.last = np.append(self.first[1:], len(key))
+        self.at = (key[self.first] % max(1, self.blocks)).astype(np.int32)
+        self.top = np.maximum.reduceat(self.weight, self.first) if len(key) else np.empty(0)
+        self.start = np.searchsorted(term[self.first], np.arange(terms + 1))
+
+    def _sums(self, entries: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Dot products with all rows over the postings of `entries`."""
+        low, high = self.first[entries], self.last[entries]
+        at = spans(low, high)
+        return np.bincount(self.row[at], np.repeat(weights, high - low) * self.weight[at], self.n)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k best (cosine, row) with a positive cosine, best first; row `without` is left out."""
-        if not self.n or not terms:
+        if not self.n or not len(terms):
             return []
-        bound = np.asarray(weights) @ self.top[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) >= k and -best[k - 1][0] > bound[b] * (1 + 1e-12)):
-                break
-            sums = np.zeros(self.block)
-            for t, w in zip(terms, weights):
-                low, high = self.start[t * self.blocks + b], self.start[t * self.blocks + b + 1]
-                if high > low:
-                    sums[self.at[low:high] - b * self.block] += w * self.weight[low:high]
-            hits = np.nonzero(sums > (-best[k - 1][0] - 1e-11 if len(best) >= k else 0))[0]
-            if len(hits) > k + 1:  # only the block's own best can come in; ties with the last of them stay
-                hits = hits[sums[hits] >= np.partition(sums[hits], -k - 1)[-k - 1] - 1e-11]
-            best = sorted([*best, *((-round(float(sums[i]), 12), int(b * self.block + i)) for i in hits if b * self.block + i != without)])[:k]
-        return [(-s, i) for s, i in best]
-
-
-def unit(counts: dict[int, int], idf: np.ndarray) -> tuple[list[int], list[float]]:
-    terms = sorted(counts)
-    w = np.array([(1 + math.log(counts[t])) * idf[t] for t in terms])
-    norm = float(np.sqrt((w * w).sum()))
-    return (terms, (w / norm).tolist()) if norm else ([], [])
+        low, high = self.start[terms], self.start[terms + 1]
+        entries, w = spans(low, high), np.repeat(weights, high - low)
+        bound = np.bincount(self.at[entries], w * self.top[entries], self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        chosen = np.zeros(self.blocks, bool)
+        chosen[order[:FIRST]] = True
+        now = chosen[self.at[entries]]
+        sums = self._sums(entries[now], w[now])
+        if without >= 0:
+            sums[without] = 0
+        floor = np.partition(sums, -k)[-k] if len(sums) > k else 0.0
+        more = (bound >= floor * (1 - 1e-9) - 1e-11) & (bound > 0) & ~chosen
+        if more.any():
+            now = more[self.at[entries]]
+            sums += self._sums(entries[now], w[now])
+            if without >= 0:
+                sums[without] = 0
+        sums = np.round(sums, 12)
+        floor = np.partition(sums, -k)[-k] if len(sums) > k else 0.0
+        hits = np.nonzero((sums >= floor) & (sums > 0))[0]
+        return [(float(sums[i]), int(i)) for i in hits[np.lexsort((hits, -sums[hits]))][:k]]
+
+
+def unit(terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vector of a text; weight is idf * relevance by term."""
+    w = (1 + np.log(counts)) * weight[terms]
+    norm = np.sqrt((w * w).sum())
+    return (terms, w / norm) if norm else (terms[:0], w[:0])
+
+
+def relevance(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, terms: int) -> np.ndarray:
+    """Of each term, from its presence in the sampled rows of either class."""
+    seen = [np.zeros(terms), np.zeros(terms)]
+    for (t, _), y in zip(vectors, labels):
+        seen[y][t] += 1
+    n = [max(1, int((labels == y).sum())) for y in (0, 1)]
+    p = (seen[0] + seen[1] + 1) / (n[0] + n[1] + 2)
+    z2 = (seen[1] / n[1] - seen[0] / n[0]) ** 2 / (p * (1 - p) * (1 / n[0] + 1 / n[1]))
+    return (z2 + 1) / (z2 + SHRINK)
 
 
 class Model:
-    def __init__(self, index: Index, idf: np.ndarray, share: tuple[float, float], empty: float, k: int):
-        self.index, self.idf, self.share, self.empty, self.k = index, idf, share, empty, k
+    def __init__(self, index: Index, weight: np.ndarray, share: tuple[float, float], empty: float, k: int):
+        self.index, self.weight, self.share, self.empty, self.k = index, weight, share, empty, k
         self.a, self.b = 1.0, 0.0
-        if index.n:
-            self._calibrate()
 
     def vote(self, near: list[tuple[float, int]]) -> float | None:
-        sums = [SMOOTH, SMOOTH]
+        sums = [SMOOTH * self.share[0], SMOOTH * self.share[1]]
         for cosine, row in near:
             y = self.index.labels[row]
             sums[y] += cosine * cosine * self.share[y]
-        return math.log(sums[1] / sums[0]) if near else None
+        return max(-12.0, min(12.0, math.log(sums[1] / sums[0]))) if near else None
+
+    def left_out(self, row: int) -> float | None:
+        """The vote on an example by the others."""
+        return self.vote(self.index.nearest(*self.index.vectors[row], self.k, without=row))
 
-    def _calibrate(self) -> None:
+    def calibrate(self, rows: list[int], votes: list[float]) -> None:
         """Platt's curve on left-one-out votes; classes count by their share of all labelled rows."""
-        x, y = [], []
-        ix = self.index
-        rows: list[tuple[list[int], list[float]]] = [([], []) for _ in range(ix.n)]
-        for t in range(len(self.idf)):
-            for p in range(ix.start[t * ix.blocks], ix.start[(t + 1) * ix.blocks]):
-                rows[ix.at[p]][0].append(t)
-                rows[ix.at[p]][1].append(float(ix.weight[p]))
-        for i, (t, w) in enumerate(rows):
-            v = self.vote(ix.nearest(t, w, self.k, without=i))
-            if v is not None:
-                x.append(max(-12.0, min(12.0, v)))
-                y.append(int(ix.labels[i]))
-        if len(set(y)) < 2:
+        x, y = np.array(votes), self.index.labels[np.array(rows, int)].astype(int)
+        if len(set(y.tolist())) < 2:
             return
-        x, y = np.array(x), np.array(y)
         weight = np.where(y == 1, self.share[1], self.share[0])
         n1, n0 = (weight * y).sum() / weight.sum() * len(y), (weight * (1 - y)).sum() / weight.sum() * len(y)
         goal = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
@@ -152,122 +184,107 @@ class Model:
         if theta[0] > 0:
             self.a, self.b = map(float, theta)
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
         """Probability, and the doc_ids of the nearest examples as evidence."""
-        near = self.index.nearest(*unit(counts, self.idf), self.k)
+        near = self.index.nearest(*unit(terms, counts, self.weight), self.k)
         v = self.vote(near)
         if v is None:
             return self.empty, []
-        z = self.a * max(-12.0, min(12.0, v)) + self.b
-        return 1 / (1 + math.exp(-z)), [int(self.index.ids[i]) for _, i in near[:3]]
+        return 1 / (1 + math.exp(-self.a * v - self.b)), [int(self.index.ids[i]) for _, i in near[:3]]
 
 
-def sample(labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[tuple[int, int]], tuple[int, int]]:
-    """Training rows (doc_id, label), at most per_class of each, and the counts of all training labels by class."""
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[tuple[int, int, bytes]], tuple[int, int]]:
+    """Training rows (doc_id, label, text), at most per_class of each, and the counts of all training labels by class. Of rows that repeat an id the least text counts."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("y"))
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    picked = [(r["doc_id"], y) for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id").collect()]
-    return picked, (sizes.get(0, 0), sizes.get(1, 0))
+    short = docs.where(F.octet_length("text") <= LONGEST)
+    there = known.join(short.select("doc_id"), "doc_id", "left_semi")
+    picked = [r for y in (0, 1) for r in there.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
+    # At most 2 * per_class texts of LONGEST bytes.
+    chosen = docs.sparkSession.createDataFrame(picked or [(None, 0)], "doc_id long, y int")
+    rows = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
+    return [(r["doc_id"], r["y"], bytes(r["text"])) for r in rows], (sizes.get(0, 0), sizes.get(1, 0))
 
 
-def terms_of(docs: DataFrame, picked: DataFrame, sizes: tuple[int, int], most: int = TERMS) -> list[str]:
-    """The words whose presence in the sample tells most about the label."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = (Counter(), Counter())
-        for b in batches:
-            for text, y in zip(b.column("text"), b.column("y").to_pylist()):
-                seen[y].update({s for w in tokens(text.as_py()) for s in stems(w)})
-            if len(seen[0]) + len(seen[1]) > 500_000:
-                yield out(seen)
-                seen[0].clear(), seen[1].clear()
-        yield out(seen)
-
-    def out(seen) -> pa.RecordBatch:
-        kinds = list(seen[0].keys() | seen[1].keys())
-        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array([seen[0][w] for w in kinds], pa.int64()), pa.array([seen[1][w] for w in kinds], pa.int64())], names=["word", "n0", "n1"])
+def numbers(text: bytes | None, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The known terms of a text, in order, and their counts."""
+    found = sorted((number[w], n) for w, n in tokens(text).items() if w in number)
+    return np.array([t for t, _ in found], np.int64), np.array([n for _, n in found], float)
 
-    n0, n1 = max(1, sizes[0]), max(1, sizes[1])
-    found = docs.join(F.broadcast(picked), "doc_id").select("text", "y").mapInArrow(run, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= LEAST)
-    p = (F.col("n0") + F.col("n1")) / F.lit(float(n0 + n1))
-    part = lambda k, n: F.when(k > 0, k * F.log(k / (p * n))).otherwise(0.0) + F.when(k < n, (n - k) * F.log((n - k) / ((1 - p) * n))).otherwise(0.0)
-    gain = F.round(part(F.col("n0"), float(n0)) + part(F.col("n1"), float(n1)), 6)
-    return [r["word"] for r in found.withColumn("gain", gain).where((F.col("gain") > GAIN) & (F.col("n1") / n1 > LIFT * F.col("n0") / n0)).orderBy(F.desc("gain"), "word").limit(most).select("word").collect()]
 
+def frequencies(docs: DataFrame, shared: Broadcast) -> tuple[np.ndarray, int]:
+    """In how many of all rows each term stands, and the number of rows."""
 
-def features(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """doc_id and the numbers and counts of the chosen terms in the whole text."""
-    number = {w: i for i, w in enumerate(terms)}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = shared.value
+        seen = np.zeros(len(number) + 1, np.int64)
+        for b in sliced(batches, 0):
+            for text in b.column(0):
+                seen[numbers(text.as_py(), number)[0]] += 1
+            seen[-1] += b.num_rows
+        (at,) = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at])], names=["t", "n"])
+
+    out = np.zeros(len(shared.value) + 1)
+    found = docs.select("text").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    out[found["t"].to_numpy()] = found["n"].to_numpy()
+    return out[:-1], int(out[-1])
+
+
+def fit(docs: DataFrame, examples: list[tuple[int, int, bytes]], sizes: tuple[int, int], shared: Broadcast, k: int = NEIGHBOURS) -> Model:
+    spark, terms = docs.sparkSession, len(shared.value)
+    df, total = frequencies(docs, shared)
+    raw = [numbers(text, shared.value) for _, _, text in examples]
+    ids, labels = np.array([i for i, _, _ in examples], np.int64), np.array([y for _, y, _ in examples], np.int8)
+    weight = (np.log((1 + total) / (1 + df)) + 1) * relevance(raw, labels, terms)
+    vectors = [unit(*v, weight) for v in raw]
+    some = [i for i, v in enumerate(vectors) if len(v[0])]
+    n = [max(1, int((labels == y).sum())) for y in (0, 1)]
+    model = Model(Index(ids[some], labels[some], [vectors[i] for i in some], terms), weight, (sizes[0] / n[0], sizes[1] / n[1]), sizes[1] / max(1, sum(sizes)), k)
+    whole = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = number.keys()
         for b in batches:
-            at, n = [], []
-            for text in b.column(1):
-                c: Counter = Counter()
-                for w, times in tokens(text.as_py()).items():
-                    for s in stems(w):
-                        if s in known:
-                            c[number[s]] += times
-                keys = sorted(c)
-                at.append(keys)
-                n.append([c[k] for k in keys])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], names=["doc_id", "terms", "counts"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, terms array<int>, counts array<int>")
-
-
-def fit(docs: DataFrame, feats: DataFrame, terms: list[str], picked: list[tuple[int, int]], chosen: DataFrame, sizes: tuple[int, int], k: int = NEIGHBOURS) -> Model:
-    df, total = np.zeros(len(terms)), 0
-    for r in feats.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect():  # one row a term
-        df[r["t"]] = r["n"]
-    total = feats.count()
-    idf = np.log((1 + total) / (1 + df)) + 1
-    # At most 2 * PER_CLASS ids; of rows that repeat an id, the first by content.
-    vectors = {r["doc_id"]: dict(zip(r["x"]["terms"], r["x"]["counts"])) for r in feats.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("terms", "counts")).alias("x")).collect()}
-    rows, blank = [], [0, 0]
-    n = [max(1, sum(y == c for _, y in picked)) for c in (0, 1)]
-    share = (sizes[0] / n[0], sizes[1] / n[1])
-    for i, y in picked:
-        if (counts := vectors.get(i)) is None:
-            continue
-        t, w = unit(counts, idf)
-        rows.append((i, y, t, w)) if t else blank.__setitem__(y, blank[y] + 1)
-    prior = sizes[1] / max(1, sum(sizes))
-    one, none = blank[1] * share[1], blank[0] * share[0]
-    return Model(Index(rows, len(terms)), idf, share, (one + prior) / (one + none + 1), k)
-
-
-def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: int = TERMS, k: int = NEIGHBOURS) -> DataFrame:
+            votes = [whole.value.left_out(r) for r in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes, pa.float64())], names=["row", "vote"])
+
+    # One row an example.
+    votes = spark.range(0, model.index.n, 1, -(-model.index.n // 256) or 1).mapInArrow(run, "row long, vote double").where("vote IS NOT NULL").orderBy("row").collect()
+    whole.unpersist()
+    model.calibrate([r["row"] for r in votes], [r["vote"] for r in votes])
+    model.index.vectors = []
+    return model
+
+
+def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int = NEIGHBOURS) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (up to three nearest examples) of every row."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    picked, sizes = sample(labels, per_class)
-    chosen = spark.createDataFrame(picked or [(None, 0)], "doc_id long, y int")
-    seen = [sum(y == c for _, y in picked) for c in (0, 1)]
-    terms = terms_of(docs, chosen, (seen[0], seen[1]), most) if all(seen) else []
-    feats = stored(features(docs, terms))
-    model = fit(docs, feats, terms, picked, chosen, sizes, k)
-    shared = spark.sparkContext.broadcast(model)
+    examples, sizes = sample(docs, labels, per_class)
+    held = (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out")
+    if len({y for _, y, _ in examples}) < 2:
+        prior = F.lit(sizes[1] / max(1, sum(sizes)))
+        return docs.select("doc_id", held, prior.alias("score"), (prior >= 0.5).cast("int").alias("predicted"), F.array().cast("array<long>").alias("evidence"))
+    shared = spark.sparkContext.broadcast({w: i for i, w in enumerate(sorted({w for _, _, text in examples for w in tokens(text)}))})
+    model = spark.sparkContext.broadcast(fit(docs, examples, sizes, shared, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        done: dict = {}
-        for b in batches:
+        m, number, done = model.value, shared.value, {}
+        for b in sliced(batches, 1):
             out = []
-            if len(done) > 50_000:
-                done.clear()
-            for t, n in zip(b.column("terms").to_pylist(), b.column("counts").to_pylist()):
-                key = (*t, -1, *n)
+            for text in b.column(1):
+                text = text.as_py() or b""
+                key = blake2b(text, digest_size=16).digest()
                 if key not in done:
-                    done[key] = m.score(dict(zip(t, n)))
+                    if len(done) > 50_000:
+                        done.clear()
+                    done[key] = m.score(*numbers(text, number))
                 out.append(done[key])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
-    width = shuffle_width(spark, feats.count(), 20_000)  # the features are packed in few files
-    scored = feats.repartition(width, F.xxhash64("doc_id", "terms")).mapInArrow(run, "doc_id long, score double, evidence array<long>")
-    return scored.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+    scored = docs.mapInArrow(run, "doc_id long, score double, evidence array<long>")
+    return scored.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
