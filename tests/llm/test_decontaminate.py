@@ -4,6 +4,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from xxhash import xxh64_intdigest
+
 from tracelake.llm import decontaminate as dc
 
 ITEMS = "item_id long, text string"
@@ -55,20 +57,78 @@ def make(seed):
     return docs, items
 
 
+def mark(w):
+    """Fingerprint by the operator's definition: shingles are hashes of word hashes."""
+    signed = lambda h: (h - (1 << 64) if h >> 63 else h).to_bytes(8, "little", signed=True)
+    hashes = [xxh64_intdigest(x.encode(), 42) for x in w]
+
+    def chain(part):
+        seed = 42
+        for h in part:
+            seed = xxh64_intdigest(signed(h), seed)
+        return seed
+
+    grams = [chain(hashes[i : i + 5]) for i in range(max(1, len(w) - 4))]
+    return sum(1 << b for b in range(64) if 2 * sum(g >> b & 1 for g in grams) > len(grams))
+
+
+def within_radius(docs, items, radius):
+    """The brute-force pairs, each with its best window of those whose fingerprint is within the radius."""
+    out = {}
+    for d, t in docs:
+        w = words(t)
+        for i, x in items:
+            v = words(x)
+            theirs, best, print_ = grams(v), 0.0, mark(v)
+            for s in range(len(w)):
+                mine = grams(w[s : s + len(v)])
+                value = sum((mine & theirs).values()) / sum((mine | theirs).values())
+                if value >= 0.8 and value > best and (mark(w[s : s + len(v)]) ^ print_).bit_count() <= radius:
+                    best = value
+            if best:
+                out[d, i] = round(best, 9)
+    return out
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_equals_brute_force(spark, docs, seed):
+    """At the shipped radius: all windows within it, and on these texts no pair is lost beyond it."""
     rows, items = make(seed)
-    got = {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in dc.contaminated(docs(*rows), spark.createDataFrame(items, ITEMS), radius=24).collect()}
-    assert got == brute(rows, items)
-
-
-def test_join_path_equals_list_path(spark, docs, monkeypatch):
+    got = {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in dc.contaminated(docs(*rows), spark.createDataFrame(items, ITEMS)).collect()}
+    assert got == within_radius(rows, items, dc.RADIUS)
+    assert len(brute(rows, items).keys() - got.keys()) <= 1
+
+
+def test_near_finds_all_within_the_radius(spark):
+    rng = random.Random(4)
+    sign = lambda f: f - (1 << 64) if f >> 63 else f
+    items = [(i, 9 + i % 2, rng.getrandbits(64)) for i in range(12)]
+    windows = [(n, k, f ^ sum(1 << b for b in rng.sample(range(64), d))) for k, (i, n, f) in enumerate(items * 22) for d in [k // 12]]
+    left = spark.createDataFrame([(n, w, sign(f)) for n, w, f in windows], "n int, w long, fp long")
+    right = spark.createDataFrame([(i, n, sign(f)) for i, n, f in items], "item_id long, n int, fp long")
+    got = {(r["w"], r["item_id"], r["hamming"]) for r in dc.near(left, right).collect()}
+    want = {(w, i, (f ^ g).bit_count()) for n, w, f in windows for i, m, g in items if n == m and (f ^ g).bit_count() <= 18}
+    assert got == want and len(want) >= 12 * 19
+    # Of unrelated windows few share a probed block with an item.
+    assert len(dc.within(16, 4)) == 2517
+
+
+def test_anchors_follow_rarity_and_keep_all(spark, docs, monkeypatch):
     rows, items = make(3)
     bench = spark.createDataFrame(items, ITEMS)
     run = lambda: sorted(tuple(r) for r in dc.contaminated(docs(*rows), bench).collect())
-    listed = run()
-    monkeypatch.setattr(dc, "FEW", 3)
-    assert run() == listed and listed
+    first = run()
+    monkeypatch.setattr(dc, "SAMPLE", 2)
+    monkeypatch.setattr(dc, "MARKS", 1 << 7)  # nearly every text is let through
+    assert run() == first and first
+
+
+def test_long_items(spark, docs):
+    """More shingles than sixteen bits count."""
+    rng = random.Random(2)
+    item = " ".join(f"w{rng.randrange(50_000)}" for _ in range(66_000))
+    got = dc.contaminated(docs((1, f"before {item} after"), (2, item[: len(item) // 3])), spark.createDataFrame([(1, item)], ITEMS), least=0.99999).collect()
+    assert [(r["doc_id"], r["start"], r["n_words"], r["similarity"], r["hamming"]) for r in got] == [(1, 1, 66_000, 1.0, 0)]
 
 
 def test_anchors_cover_what_may_be_missing(spark):
@@ -88,14 +148,11 @@ def test_anchors_cover_what_may_be_missing(spark):
 
 
 def test_simhash_equals_definition(spark):
-    from xxhash import xxh64_intdigest
-
     words_ = [f"s{i}" for i in range(9)]
     df = spark.createDataFrame([(1, words_)], "k int, w array<string>").select("k", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     hs = [xxh64_intdigest(w.encode(), 42) for w in words_]
     want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
     assert dc.simhash(df, "h", ["k"]).first()["fp"] & (2**64 - 1) == want
-    assert [sum(n for _, n in dc._cuts(r)) for r in (0, 3, 18)] == [64, 64, 64]
 
 
 def test_clean_drops_only_contaminated(spark, docs):

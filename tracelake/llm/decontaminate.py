@@ -7,22 +7,26 @@ Jaccard similarity of at least SIMILARITY with it: the sum over shingles of the
 1. Anchors keep documents that can't match from being cut into windows, without losing one that can. A window that
    similar lacks at most a fifth of the item's shingle places. A word that the window lacks takes with it all
    shingles that hold it, five if it stands four words from either end; so of enough words five apart, one must be in
-   the window. Each item's anchors are its longest words that satisfy this.
+   the window. Each item's anchors are words that satisfy this, of those the ones that fewest documents of a bounded
+   sample have; the sample decides the choice only, any choice loses nothing. Documents are asked for anchors through
+   a bitmap of MARKS bits, as large for any benchmark; what it lets through by accident costs time only.
 2. In documents with an anchor the shingles that are an item's give the windows to look at: each start that lines up
    such a shingle with its place in the item, and those up to a fifth of the item's shingles to either side, since
-   words put in or left out shift the window by one each.
-3. Each window gets a SimHash of its shingles. Its 64 bits and the item's are cut into RADIUS + 1 blocks; two
-   fingerprints within RADIUS bits have an equal block, so joining on (words, block number, block) finds them all.
-4. Windows within RADIUS bits are verified by the exact similarity of their shingles. RADIUS is two standard
-   deviations and more above the distance that similarity 0.8 has on average (9.7 bits).
-
-The benchmark's anchors are compared as a list while there are at most FEW, else by a join. Null texts and empty items
+   words put in or left out shift the window by one each. Words are hashed once, shingles are hashes of word hashes.
+3. Each window gets a SimHash of its shingles; windows with the same words are one. Its 64 bits and the item's are cut
+   into BLOCKS blocks. Two fingerprints within RADIUS bits differ in at most RADIUS // BLOCKS bits of some block, so
+   the item's side asks with all values within so many bits of each of its blocks, and joining on (words, block
+   number, value) finds all pairs within RADIUS.
+4. Windows within RADIUS bits are cut out of their texts again and verified by the exact similarity of their shingles.
+   RADIUS is two standard deviations and more above the distance that similarity 0.8 has on average (9.7 bits).
+
+Texts are stored and moved, never their words: a window is its document, start and length. Null texts and empty items
 match nothing. Rows that repeat id and text are one document. Items with equal texts are all reported.
 """
 
 from __future__ import annotations
 
-
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +35,10 @@ from pyspark.sql.window import Window
 from .common import stored, table
 from .lines import _let
 
-
-SHINGLE, SIMILARITY, RADIUS, FEW = 5, 0.8, 18, 5000
+SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 18, 4
 BITS = 64
+#: Bits of the anchors' map, and about how many documents the anchors' choice is made by.
+MARKS, SAMPLE = 1 << 20, 4096
 SPACE = r"[ \t\n\x0B\f\r]+"
 
 
@@ -41,42 +46,62 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), SPACE), lambda w: w != "")
 
 
+def hashed(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
 def shingles(w: Column, k: int = SHINGLE) -> Column:
     """Space-joined shingles of an array of words; the array is read several times, so it should be a column."""
     places = F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0)))
     return F.when(F.size(w) > 0, F.transform(places, lambda i: F.array_join(F.slice(w, i + 1, F.lit(k)), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def _hashed_shingles(size: int):
-    """For _let: struct<len, h> of an array of words: how many, and the hashes of their shingles of `size`."""
-    return lambda w: F.struct(F.size(w).alias("len"), F.transform(shingles(w, size), lambda s: F.xxhash64(s)).alias("h"))
-
-
-def _cuts(radius: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of the radius + 1 blocks."""
-    edges = [BITS * i // (radius + 1) for i in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+def shingle_hashes(h: Column, k: int = SHINGLE) -> Column:
+    """Hashes of the shingles of an array of word hashes; beyond its end are nulls, which a hash passes over."""
+    places = F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0)))
+    return F.when(F.size(h) > 0, F.transform(places, lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(k))))).otherwise(F.array().cast("array<long>"))
 
 
 def simhash(windows: DataFrame, hashes: str, keys: list[str]) -> DataFrame:
-    """keys and fp of each row; `hashes` are its shingles' hashes. Four bits of a hash are spread over four 16-bit counters of a long, so sixteen sums count all 64 bits of up to 65535 shingles."""
+    """keys and fp of each row; `hashes` are its shingles' hashes. Two bits of a hash are spread over two 32-bit counters of a long, so 32 sums count all 64 bits of more shingles than an array can have."""
 
     def spread(part: int) -> Column:
-        four = F.shiftrightunsigned("h", 4 * part).bitwiseAND(F.lit(15).cast("long"))
-        bit = lambda i: F.shiftleft(F.shiftright(four, i).bitwiseAND(F.lit(1).cast("long")), 16 * i)
-        return F.sum(bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2)).bitwiseOR(bit(3))).alias(f"c{part}")
+        two = F.shiftrightunsigned("h", 2 * part)
+        low, high = two.bitwiseAND(F.lit(1).cast("long")), F.shiftright(two, 1).bitwiseAND(F.lit(1).cast("long"))
+        return F.sum(low.bitwiseOR(F.shiftleft(high, 32))).alias(f"c{part}")
 
-    sums = windows.select(*keys, F.explode(hashes).alias("h")).groupBy(*keys).agg(*(spread(p) for p in range(16)), F.count("*").alias("_n"))
+    sums = windows.select(*keys, F.explode(hashes).alias("h")).groupBy(*keys).agg(*(spread(p) for p in range(32)), F.count("*").alias("_n"))
     fp = F.lit(0).cast("long")
-    for p in range(16):
-        for i in range(4):
-            count = F.shiftrightunsigned(f"c{p}", 16 * i).bitwiseAND(F.lit(0xFFFF).cast("long"))
-            fp = fp.bitwiseOR(F.when(count * 2 > F.col("_n"), F.lit((1 << (4 * p + i)) - (1 << 64 if 4 * p + i == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")))
+    for p in range(32):
+        for i in range(2):
+            count = F.shiftrightunsigned(f"c{p}", 32 * i).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+            fp = fp.bitwiseOR(F.when(count * 2 > F.col("_n"), F.lit((1 << (2 * p + i)) - (1 << 64 if 2 * p + i == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")))
     return sums.select(*keys, fp.alias("fp"))
 
 
-def anchors(items: DataFrame) -> DataFrame:
-    """(item_id, word): words of which each window that matches has one. items: item_id, words.
+def blocks_of(fp: Column, blocks: int = BLOCKS) -> Column:
+    """array<struct<block, value>>"""
+    width = BITS // blocks
+    return F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fp, width * k).bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("value")) for k in range(blocks)))
+
+
+def within(width: int, bits: int) -> list[int]:
+    """All numbers of `width` bits of which at most `bits` are set."""
+    return [sum(1 << b for b in some) for n in range(bits + 1) for some in combinations(range(width), n)]
+
+
+def near(fps: DataFrame, items: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(n, w, item_id, hamming) of all windows (n, w, fp) and items (item_id, n, fp) of one length within `radius` bits."""
+    masks = F.array(*(F.lit(m).cast("long") for m in within(BITS // blocks, radius // blocks)))
+    left = fps.select("n", "w", "fp", F.inline(blocks_of(F.col("fp"), blocks)))
+    asked = items.select("item_id", "n", F.col("fp").alias("item_fp"), F.inline(blocks_of(F.col("fp"), blocks)))
+    asked = asked.select("item_id", "n", "item_fp", "block", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("value")))).alias("value"))
+    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
+    return left.join(asked, ["n", "block", "value"]).withColumn("hamming", apart).where(F.col("hamming") <= radius).select("n", "w", "item_id", "hamming").distinct()
+
+
+def anchors(items: DataFrame, rarity: DataFrame | None = None) -> DataFrame:
+    """(item_id, word): words of which each window that matches has one. items: item_id, words; rarity: word, seen.
 
     With s shingles at most s / 5 may be missing. Up to four: none, so any word will do. Up to eight: one, so a word
     that is in two. Beyond, words that stand four from either end are in five, and so many of them, five apart, are
@@ -93,68 +118,91 @@ def anchors(items: DataFrame) -> DataFrame:
     # The next part's first place is five away from the last one allowed in this part.
     ahead = F.floor((F.col("p") - edge + (SHINGLE - 1)) * F.col("parts") / inner)
     fits = (F.col("p") >= edge) & (F.col("p") < F.col("n") - edge) & ((ahead == part) | (part == F.col("parts") - 1))
-    ranked = exploded.where(fits).withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("item_id", "part").orderBy(F.desc(F.length("word")), "p")))
+    allowed = exploded.where(fits).withColumn("part", part)
+    allowed = allowed.join(rarity, "word", "left").withColumn("seen", F.coalesce("seen", F.lit(0))) if rarity is not None else allowed.withColumn("seen", F.lit(0))
+    ranked = allowed.withColumn("rank", F.row_number().over(Window.partitionBy("item_id", "part").orderBy("seen", F.desc(F.length("word")), "p")))
     return ranked.where("rank = 1").select("item_id", "word")
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard of two arrays with repeats."""
-    count = lambda x, v: F.size(F.filter(x, lambda y: y == v))
-    common = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, v: s + F.least(count(a, v), count(b, v)))
-    return common.cast("double") / (F.size(a) + F.size(b) - common)
+def _bits(h: Column) -> list[Column]:
+    """Of a word's hash three numbers below MARKS."""
+    return [F.shiftrightunsigned(h, 21 * i).bitwiseAND(F.lit(MARKS - 1).cast("long")).cast("int") for i in range(3)]
+
+
+def marked(text: Column, marks: DataFrame) -> Column:
+    """Whether a text has a word of `marks`, or is let through by accident."""
+    longs = [0] * (MARKS // 64)
+    for r in marks.select(F.explode(F.array(*_bits(F.xxhash64("word")))).alias("bit")).distinct().collect():  # MARKS rows at most
+        longs[r["bit"] >> 6] |= 1 << (r["bit"] & 63)
+    # One literal, which Catalyst folds into an array.
+    held = F.split(F.lit(" ".join(str(x - (1 << 64) if x >> 63 else x) for x in longs)), " ").cast("array<long>")
+    bit = lambda b: F.call_function("shiftrightunsigned", F.get(held, F.shiftright(b, 6)), b.bitwiseAND(63)).bitwiseAND(F.lit(1).cast("long")) == 1
+
+    def known(h: Column) -> Column:
+        a, b, c = map(bit, _bits(h))
+        return a & b & c
 
+    return F.exists(hashed(words(text)), known)
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least: float = SIMILARITY) -> DataFrame:
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least: float = SIMILARITY, blocks: int = BLOCKS) -> DataFrame:
     """(doc_id, th, item_id, start, n_words, hamming, similarity): the best window of each document and item that match. th is the text's hash."""
     spark = docs.sparkSession
     items = stored(benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0).distinct())
-    items = items.withColumn("shingles", shingles(F.col("words")))
-    marks = anchors(items).select("word").distinct()
-    short = marks.limit(FEW + 1).collect()
-    cut = docs.where("text IS NOT NULL").select("doc_id", F.col("text"))
-    if len(short) <= FEW:
-        held = cut.where(F.arrays_overlap(words(F.col("text")), F.array(*(F.lit(r["word"]) for r in short)).cast("array<string>")))
-    else:
-        some = cut.select("doc_id", F.xxhash64("text").alias("th"), F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(marks, "word", "left_semi").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
-        held = cut.join(some, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left_semi")
-    # Texts are stored and moved, not their words, which take four times the room.
-    held = stored(held.select("doc_id", F.xxhash64("text").alias("th"), "text"))
+    items = items.withColumn("h", shingle_hashes(hashed(F.col("words"))))
+    cut = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), "text")
+    share = -(-(SAMPLE << 20) // max(1, docs.count()))
+    some = cut.where(F.pmod(F.xxhash64("doc_id", "th"), F.lit(1 << 20)) < min(1 << 20, share)).select(F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
+    theirs = items.select(F.explode("words").alias("word")).distinct()
+    rarity = some.join(theirs, "word", "left_semi").groupBy("word").agg(F.count("*").alias("seen"))
+    held = stored(cut.where(marked(F.col("text"), anchors(items, rarity).select("word").distinct())))
 
     # Shingles of the items in the documents that have an anchor: each lines a window up.
-    hashed = lambda c: F.transform(c, lambda s: F.xxhash64(s))
-    of_items = items.select("item_id", F.size("words").alias("n"), F.size("shingles").alias("m"), F.posexplode(hashed("shingles")).alias("j", "h"))
+    of_items = items.select("item_id", F.size("words").alias("n"), F.size("h").alias("m"), F.posexplode("h").alias("j", "h"))
     # Items of fewer than five words are one shingle of their size; these sizes are at most four.
     sizes = [r["n"] for r in items.select(F.least(F.size("words"), F.lit(SHINGLE)).alias("n")).distinct().collect()]
     hits = None
     for size in sorted(sizes):
-        in_docs = held.select("doc_id", "th", _let(words(F.col("text")), _hashed_shingles(size)).alias("x")).select("doc_id", "th", F.col("x.len").alias("len"), F.posexplode("x.h").alias("i", "h"))
+        in_docs = held.select("doc_id", "th", _let(hashed(words(F.col("text"))), lambda h: F.struct(F.size(h).alias("len"), shingle_hashes(h, size).alias("h"))).alias("x"))  # noqa: B023
+        in_docs = in_docs.select("doc_id", "th", F.col("x.len").alias("len"), F.posexplode("x.h").alias("i", "h"))
         found = in_docs.join(of_items.where((F.col("n") == size) if size < SHINGLE else (F.col("n") >= size)), "h")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return spark.createDataFrame([], docs.select("doc_id").schema.add("th", "long").add("item_id", benchmark.schema["item_id"].dataType).add("start", "integer").add("n_words", "integer").add("hamming", "integer").add("similarity", "double"))
     slack = F.floor(F.col("m") * (1 - least) + 1e-9).cast("int")
-    starts = hits.select("doc_id", "th", "len", "item_id", "n", (F.col("i") - F.col("j")).alias("at"), slack.alias("slack")).distinct()
+    starts = hits.select("doc_id", "th", "len", "n", (F.col("i") - F.col("j")).alias("at"), slack.alias("slack")).distinct()
     starts = starts.select("doc_id", "th", "len", "n", F.explode(F.sequence(F.col("at") - F.col("slack"), F.col("at") + F.col("slack"))).alias("at"))
-    starts = starts.where("at < len").select("doc_id", "th", "n", F.greatest("at", F.lit(0)).alias("start")).distinct()
-    per_doc = starts.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_set(F.struct("start", "n")).alias("starts"))
-    windows = held.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")))
-    taken = _let(words(F.col("text")), lambda w: F.transform("starts", lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n"), F.slice(w, s["start"] + 1, s["n"]).alias("words"))))
-    windows = windows.select("doc_id", "th", F.inline(taken))
+    starts = starts.where("at < len").select("doc_id", "th", F.greatest("at", F.lit(0)).alias("start"), "n").distinct()
+
+    def inlined(places: DataFrame, body) -> DataFrame:
+        """body(words of the text, array of the document's places) inlined; places: doc_id, th and columns without nulls."""
+        columns = [c for c in places.columns if c not in ("doc_id", "th")]
+        per_doc = places.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_set(F.struct(*columns)).alias("_places"))
+        both = held.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")))
+        return both.select("doc_id", "th", F.inline(_let(words(F.col("text")), lambda w: body(w, F.col("_places")))))
+
+    def part(w: Column, p: Column) -> Column:
+        return F.slice(w, p["start"] + 1, p["n"])
+
+    def named(w: Column, places: Column) -> Column:
+        return _let(hashed(w), lambda h: F.transform(places, lambda p: F.struct(p["start"].alias("start"), p["n"].alias("n"), F.xxhash64(part(h, p)).alias("w"))))
+
     # Windows with the same words are one: copies of a passage cost nothing.
-    windows = stored(windows.withColumn("w", F.xxhash64("words")))
-    kinds = windows.dropDuplicates(["n", "w"]).select("n", "w", "words").withColumn("shingles", shingles(F.col("words")))
-    kinds = stored(kinds)
-    fps = simhash(kinds.select("n", "w", hashed("shingles").alias("hashes")), "hashes", ["n", "w"])
-    item_fps = simhash(items.select("item_id", F.size("words").alias("n"), hashed("shingles").alias("hashes")), "hashes", ["item_id", "n"])
-
-    def blocks(fp: Column) -> Column:
-        return F.explode(F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << size) - 1).cast("long")).alias("value")) for k, (a, size) in enumerate(_cuts(radius))))).alias("b")
-
-    left = fps.select("n", "w", "fp", blocks(F.col("fp"))).select("n", "w", "fp", "b.*")
-    right = item_fps.select("item_id", "n", F.col("fp").alias("item_fp"), blocks(F.col("fp"))).select("item_id", "n", "item_fp", "b.*")
-    near = left.join(right, ["n", "block", "value"]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("hamming") <= radius).select("n", "w", "item_id", "hamming").distinct()
-    checked = near.join(kinds.select("n", "w", "shingles"), ["n", "w"]).join(items.select("item_id", F.col("shingles").alias("theirs")), "item_id")
-    checked = checked.withColumn("similarity", F.round(similarity(F.col("shingles"), F.col("theirs")), 9)).where(F.col("similarity") >= least).select("n", "w", "item_id", "hamming", "similarity")
+    windows = stored(inlined(starts, named))
+    one = F.min(F.struct("doc_id", "th", "start")).alias("x")
+    kinds = stored(windows.groupBy("n", "w").agg(one).select("n", "w", "x.*"))
+    signed = inlined(kinds, lambda w, places: _let(hashed(w), lambda h: F.transform(places, lambda p: F.struct(p["n"].alias("n"), p["w"].alias("w"), shingle_hashes(part(h, p)).alias("hashes")))))
+    item_fps = simhash(items.select("item_id", F.size("words").alias("n"), "h"), "h", ["item_id", "n"])
+    close = stored(near(simhash(signed, "hashes", ["n", "w"]), item_fps, radius, blocks))
+
+    # Exact: equal shingles by their words, with how often they stand on either side.
+    wanted = kinds.join(close.select("n", "w").distinct(), ["n", "w"])
+    mine = inlined(wanted, lambda w, places: F.transform(places, lambda p: F.struct(p["n"].alias("n"), p["w"].alias("w"), shingles(part(w, p)).alias("shingles"))))
+    mine = mine.select("n", "w", F.size("shingles").alias("mine"), F.explode("shingles").alias("s")).groupBy("n", "w", "mine", "s").agg(F.count("*").alias("a"))
+    other = items.select("item_id", F.size("h").alias("theirs"), F.explode(shingles(F.col("words"))).alias("s")).groupBy("item_id", "theirs", "s").agg(F.count("*").alias("b"))
+    common = close.join(mine, ["n", "w"]).join(other, ["item_id", "s"]).groupBy("n", "w", "item_id", "hamming", "mine", "theirs").agg(F.sum(F.least("a", "b")).alias("common"))
+    similarity = F.round(F.col("common").cast("double") / (F.col("mine") + F.col("theirs") - F.col("common")), 9)
+    checked = common.withColumn("similarity", similarity).where(F.col("similarity") >= least).select("n", "w", "item_id", "hamming", "similarity")
     found = windows.select("doc_id", "th", "start", "n", "w").join(checked, ["n", "w"])
     best = F.max_by(F.struct("start", F.col("n").alias("n_words"), "hamming", "similarity"), F.struct("similarity", -F.col("start")))
     return found.groupBy("doc_id", "th", "item_id").agg(best.alias("x")).select("doc_id", "th", "item_id", "x.*")
