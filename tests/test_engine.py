@@ -97,7 +97,7 @@ def test_commits(built):
     e, cf, _, repo = built
     first = git.commits(str(repo))[0]
     behind = e.provenance(first[:10]).collect()
-    assert len(behind) == 1 and behind[0]["reads"] == ["/home/dev/.env"] and "aws_access_key" in behind[0]["secret_kinds"]
+    assert len(behind) == 1 and behind[0]["reads"] == ["/home/dev/.env"] and [(x["path"], "aws_access_key" in x["kinds"]) for x in behind[0]["read_secrets"]] == [("/home/dev/.env", True)]
     c = {r["commit"]: r for r in e.compliance().collect()}
     assert sorted((r["ai_assisted"], r["unreviewed"], r["models"]) for r in c.values()) == [(False, False, []), (True, True, ["m1"])]
     assert {(r["path"], r["first"], r["last"]) for r in e.attribution(first).collect()} == {("src/lex.py", 1, 2), ("src/parse.py", 1, 2)}
@@ -116,6 +116,10 @@ def test_questions(built):
     nodes, edges = e.snapshot()
     assert {r["level"]: r["n"] for r in nodes.groupBy("level").agg(F.count("*").alias("n")).collect()} == {"file": 2, "module": 1, "repo": 1, "task": 2}
     assert edges.count() == 3 + 4
+    worst = max(r["fused"] for r in e.risks().collect())
+    assert {r["fused"] for r in nodes.where("level IN ('module', 'repo')").collect()} == {worst} and worst > 0
+    assert {(r["level"], r["path"], r["fused"] == worst) for r in e.levels("r").where("level <> 'file'").collect()} == {("module", "src", True), ("repo", ".", True)}
+    assert [r["drift"]["undeclared"] for r in e.incidents().collect()] == [["src/parse.py"]]
 
 
 def test_ask(built):

@@ -154,6 +154,8 @@ def test_payload_round_trip_and_purge(spark, tmp_path):
     key, other = "ab" * 32, "cd" * 32
     sealed = payload.seal(store, key)
     opened = payload.open_sealed(payload.rewrap(sealed, key, other), other)
+    keys = lambda df: {bytes(r["k"]) for r in df.select(F.aes_decrypt("wrapped", F.unhex(F.lit(key)), F.lit("GCM")).alias("k")).collect()}
+    assert len(keys(sealed)) == 2 and not keys(sealed) & keys(payload.seal(store, key)) and keys(sealed) == keys(sealed)
     assert sorted(bytes(r["content"]) for r in opened.collect()) == [b"one", b"two"]
     manifest = payload.checkpoint(files, F.lit(T0))
     key_ = manifest.first()["checkpoint_id"]

@@ -145,9 +145,36 @@ def test_observe(spark):
     late = lambda t, s: s.replace("10:00:00", t)
     rows = [late("10:00:00", user("a")), assistant({"type": "tool_use", "id": "1", "name": "Edit", "input": {"file_path": "/work/src/a.py"}}), late("10:20:00", user("b")), assistant({"type": "tool_use", "id": "2", "name": "Edit", "input": {"file_path": "/work/src/b.py"}})]
     t = transcripts.paths(transcripts.turns(lines(spark, rows)))
-    v = spark.createDataFrame([("src/a.py", "2024-01-01 10:21:00"), ("src/b.py", "2024-01-01 10:21:00")], "path string, ts string").withColumn("ts", F.to_timestamp("ts"))
-    got = {r["ordinal"]: r["drift"] for r in pipeline.observe(t, v).collect()}
+    v = spark.createDataFrame([("src/a.py", "2024-01-01 10:21:00"), ("src/b.py", "2024-01-01 10:21:00")], "path string, ts string").withColumn("ts", F.to_timestamp("ts")).withColumn("repo", F.lit("own/work"))
+    got = {r["ordinal"]: r["drift"] for r in pipeline.observe(pipeline.session_repo(t, v), v).collect()}
     assert got[0]["undeclared"] == ["src/b.py"] and got[1]["undeclared"] == [] and got[1]["phantom"] == []
+    other = v.withColumn("repo", F.lit("own/other")).withColumn("path", F.lit("src/c.py"))
+    apart = {r["ordinal"]: r["drift"] for r in pipeline.observe(pipeline.session_repo(t, v.union(other.select(v.columns))), v.union(other.select(v.columns))).collect()}
+    assert apart == got  # what another repository changed at the same time is not this session's
+    rooted = pipeline.session_repo(t, v, {"a": "/wor", "b": "/", "c": "/work/", "d": "/work/deep"})
+    assert {r["repo"] for r in rooted.collect()} == {"c"}
+
+
+NAMES = ["café.py", "with space.py", "tab\there.py", 'quo"te.py', "日本/語.py", "line\nfeed.py"]
+
+
+def test_names_that_git_quotes(spark, tmp_path):
+    root = tmp_path / "repo"
+    root.mkdir()
+    subprocess.run(["git", "init", "-q", str(root)], check=True)
+    for i, name in enumerate(NAMES):
+        (root / name).parent.mkdir(exist_ok=True)
+        (root / name).write_text(f"x = {i}\ndiff --git a b\n")
+    commit(root, "names")
+    (root / NAMES[0]).unlink()
+    (root / "binary").write_bytes(bytes(range(256)))
+    commit(root, "more")
+    rows = {(r["message"], r["rel_path"]): r for r in git.read(spark, str(root), "r").collect()}
+    assert {p for m, p in rows if m == "names"} == set(NAMES)
+    for i, name in enumerate(NAMES):
+        r = rows["names", name]
+        assert r["content"] == f"x = {i}\ndiff --git a b\n" and r["lines_added"] == 2 and r["diff"].count(f"+x = {i}") == 1
+    assert rows["more", NAMES[0]]["content"] is None and rows["more", NAMES[0]]["lines_removed"] == 2 and rows["more", "binary"]["lines_added"] == 0
 
 
 def test_symbols():

@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
+from .model import COMMIT_FILES
 from .operators import reports
 from .sources import files, git, jsonl
 
@@ -22,7 +23,7 @@ def main(argv: list[str] | None = None) -> int:
     add = lambda name, *args: _with(sub.add_parser(name), args)
     add("ingest", "repository", "name")
     add("observe", "folder", "dialect")
-    for name in ("report", "audit", "guard", "compliance", "verify", "log", "serve"):
+    for name in ("report", "audit", "incidents", "levels", "guard", "compliance", "verify", "log", "serve"):
         add(name)
     add("query", "question")
     add("today", "since")
@@ -38,7 +39,8 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("tracelake").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     e, out = Engine(spark, a.root), None
     if a.command == "ingest":
-        e.ingest(git.read(spark, a.repository, a.name))
+        git.export(spark, a.repository, a.name, e.path("commit_files"))
+        e.ingest(spark.read.schema(COMMIT_FILES).parquet(e.path("commit_files")).where(F.col("repo") == a.name).dropDuplicates(["sha", "rel_path"]))
     elif a.command == "observe":
         jsonl.register(spark)
         e.observe(spark.read.format("growing_lines").option("path", a.folder).load(), a.dialect)
@@ -54,7 +56,7 @@ def main(argv: list[str] | None = None) -> int:
         print(e.rewind(a.checkpoint, a.folder))
     else:
         out = {
-            "report": e.report, "audit": e.audit, "guard": e.guard, "compliance": e.compliance, "verify": e.verify, "log": lambda: e.need("audit_log").orderBy(F.desc("id")), "query": lambda: e.debug(a.question)[0], "today": lambda: e.today(F.current_timestamp(), a.since),
+            "report": e.report, "audit": e.audit, "incidents": e.incidents, "levels": e.levels, "guard": e.guard, "compliance": e.compliance, "verify": e.verify, "log": lambda: e.need("audit_log").orderBy(F.desc("id")), "query": lambda: e.debug(a.question)[0], "today": lambda: e.today(F.current_timestamp(), a.since),
             "provenance": lambda: e.provenance(a.sha), "attribution": lambda: e.attribution(a.sha), "detail": lambda: e.commit_detail(a.sha), "context": lambda: e.context(a.path), "blame": lambda: e.blame(a.path, int(a.line)), "purge": lambda: e.purge(F.to_timestamp(F.lit(a.before))),
         }[a.command]()
     if out is not None:

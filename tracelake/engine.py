@@ -38,9 +38,16 @@ class Engine:
             return self.spark.read.parquet(self.path(name))
         except AnalysisException as e:
             if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return None
+                self._switch(name)  # a driver may have been lost between two names
+                return self._found(name)
             raise
 
+    def _found(self, name: str) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(self.path(name))
+        except AnalysisException:
+            return None
+
     def need(self, name: str) -> DataFrame:
         found = self.table(name)
         if found is None:
@@ -54,12 +61,25 @@ class Engine:
         coupling.checkpointed(new).write.mode("append").parquet(self.path(name))
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        coupling.checkpointed(rows).write.mode("overwrite").parquet(self.path(name))
+        """Writes the new table beside the old one and then switches names, so a lost driver loses neither."""
+        coupling.checkpointed(rows).write.mode("overwrite").parquet(self.path(f"{name}.next"))
+        self._switch(name)
+
+    def _switch(self, name: str) -> None:
+        at = lambda path: self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        new, now, old = (at(self.path(n)) for n in (f"{name}.next", name, f"{name}.old"))
+        fs = new.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if fs.exists(at(f"{self.path(name)}.next/_SUCCESS")):
+            if fs.exists(now):
+                fs.delete(old, True)
+                fs.rename(now, old)
+            fs.rename(new, now)
+            fs.delete(old, True)
+            self.spark.catalog.refreshByPath(self.path(name))
 
     def log(self, event: str, detail: str) -> None:
-        old = self.table("audit_log")
-        last = old.agg(F.max("id").alias("id")).first()["id"] if old is not None else None
-        row = self.spark.range(1).select(F.lit((last or 0) + 1).cast("long").alias("id"), F.current_timestamp().alias("timestamp"), F.lit(event).alias("event_type"), F.lit(detail).alias("detail"))
+        """Events are numbered by their moment in microseconds, so that two writers need not agree."""
+        row = self.spark.range(1).select(F.unix_micros(F.current_timestamp()).alias("id"), F.current_timestamp().alias("timestamp"), F.lit(event).alias("event_type"), F.lit(detail).alias("detail"))
         row.coalesce(1).write.mode("append").parquet(self.path("audit_log"))
 
     # --- building -----------------------------------------------------------------------------------------------------
@@ -87,29 +107,32 @@ class Engine:
         self.recompute()
         self.log("ingest", "commits")
 
-    def observe(self, lines: DataFrame, dialect: str = "messages", exclude: Sequence[str] = ()) -> None:
-        """Declarations from transcripts: sessions as tasks, turns with drift, reads and secrets, edges, embeddings, risk."""
+    def observe(self, lines: DataFrame, dialect: str = "messages", exclude: Sequence[str] = (), roots: dict[str, str] | None = None) -> None:
+        """Declarations from transcripts: sessions as tasks, turns with drift, reads and secrets, edges, embeddings, risk.
+
+        A session meets the versions of its own repository: by `roots`, else by its directory (see session_repo).
+        """
         turns = transcripts.turns(lines) if dialect == "messages" else transcripts.item_turns(lines)
         turns = dlp.excluded(turns.withColumn("cwd", F.coalesce("cwd", F.lit(""))), "cwd", exclude)
         turns = coupling.checkpointed(transcripts.paths(turns))
         secrets = transcripts.read_secrets(turns).groupBy("session_id", "ordinal").agg(F.collect_list(F.struct("path", "kinds")).alias("read_secrets"))
-        clean = transcripts.redacted(turns)
         versions = self.table("versions")
-        seen = versions if versions is not None else self.spark.createDataFrame([], "path string, ts timestamp, artifact_id string, id string, lines_added int, lines_removed int, change_kind string")
+        seen = versions if versions is not None else self.spark.createDataFrame([], "repo string, path string, ts timestamp, artifact_id string, id string, lines_added int, lines_removed int, change_kind string")
+        clean = coupling.checkpointed(transcripts.redacted(pipeline.session_repo(turns, seen, roots)))
         judged = pipeline.observe(clean, seen).join(secrets, ["session_id", "ordinal"], "left")
         task = S.content_id("tsk", F.lit(dialect), F.col("session_id"))
         held = judged.select(
-            S.content_id("ver", task, F.col("ordinal")).alias("id"), task.alias("task_id"), F.col("timestamp").alias("ts"), "ordinal", S.content_ref(F.coalesce("prompt", F.lit(""))).alias("prompt_ref"), S.turn_summary(F.col("prompt"), F.col("declared")).alias("summary"),
+            S.content_id("ver", task, F.col("ordinal")).alias("id"), task.alias("task_id"), "repo", F.col("timestamp").alias("ts"), "ordinal", S.content_ref(F.coalesce("prompt", F.lit(""))).alias("prompt_ref"), S.turn_summary(F.col("prompt"), F.col("declared")).alias("summary"),
             "declared", "drift", "reads", F.coalesce("read_secrets", F.array().cast("array<struct<path: string, kinds: array<string>>>")).alias("read_secrets"), F.lit(False).alias("payload_purged"), "model",
         )
         held = coupling.checkpointed(held)
         self.append("task_versions", held, ["id"], ["ts"])
-        first = clean.groupBy(task.alias("id")).agg(F.min("session_id").alias("ref"), F.min("timestamp").alias("created_at"), F.min_by("model", F.when(F.col("model").isNotNull(), F.col("ordinal"))).alias("model"))
+        first = clean.groupBy(task.alias("id")).agg(F.min("session_id").alias("ref"), F.min("repo").alias("repo"), F.min("timestamp").alias("created_at"), F.min_by("model", F.when(F.col("model").isNotNull(), F.col("ordinal"))).alias("model"))
         none = F.array().cast("array<string>")
-        self.append("tasks", first.select("id", F.lit(None).cast("string").alias("repo"), "ref", "created_at", F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("message"), none.alias("reviewers"), F.lit(dialect).alias("source_adapter"), "model"), ["id"], ["created_at"])
+        self.append("tasks", first.select("id", "repo", "ref", "created_at", F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("message"), none.alias("reviewers"), F.lit(dialect).alias("source_adapter"), "model"), ["id"], ["created_at"])
         self.append("payload", payload.put(clean.select(F.coalesce("prompt", F.lit("")).alias("text")), "text"), ["ref"], ["ref"])
-        spans = clean.groupBy(task.alias("session")).agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last")).withColumn("key", F.lit(1))
-        near = drift.correlate(spans, seen.select(F.lit(1).alias("key"), "ts", "artifact_id", F.col("id").alias("version"), "change_kind", "lines_added", "lines_removed"))
+        spans = clean.groupBy(task.alias("session"), F.col("repo").alias("key")).agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+        near = drift.correlate(spans, seen.select(F.col("repo").alias("key"), "ts", "artifact_id", F.col("id").alias("version"), "change_kind", "lines_added", "lines_removed"))
         one = F.min_by(F.struct("version", "change_kind", "lines_added", "lines_removed"), F.struct("ts", "version"))
         self.append("edges", near.groupBy(F.col("session").alias("src"), F.col("artifact_id").alias("dst")).agg(one.alias("x")).select(F.lit("task_modifies_artifact").alias("kind"), "src", "dst", "x.*"), ["kind", "src", "dst"], ["version"])
         self.reembed()
@@ -120,7 +143,7 @@ class Engine:
     def recompute(self) -> None:
         """Risk of every artifact."""
         tv = self.table("task_versions")
-        self.replace("risk", pipeline.recompute_risk(self.need("versions"), tv.select("drift") if tv is not None else None))
+        self.replace("risk", pipeline.recompute_risk(self.need("versions"), tv.select("repo", "drift") if tv is not None else None))
 
     def reembed(self, dim: int = DIM) -> None:
         """Embeddings of all tasks that have summaries, from scratch."""
@@ -176,9 +199,18 @@ class Engine:
 
     def risks(self, repo: str | None = None) -> DataFrame:
         v = self.need("versions")
-        known = (v.where(F.col("repo") == repo) if repo else v).groupBy("artifact_id").agg(F.max_by("path", F.struct("ts", "id")).alias("path"))
+        known = (v.where(F.col("repo") == repo) if repo else v).groupBy("artifact_id").agg(F.max_by(F.struct("repo", "path"), F.struct("ts", "id")).alias("x")).select("artifact_id", "x.*")
         return self.need("risk").join(known, "artifact_id").withColumnRenamed("artifact_id", "id")
 
+    def levels(self, repo: str | None = None, level: str | None = None) -> DataFrame:
+        """Files, modules and repositories with the greatest risk below them, all or those of a repository and a level."""
+        out = coupling.levels_of(self.risks(repo), ["apriori", "aposteriori", "fused"])
+        return out.where(F.col("level") == level) if level else out
+
+    def incidents(self) -> DataFrame:
+        """Sessions with drift, the worst first."""
+        return self.verdicts().orderBy(F.desc("drift.score"), "task_id")
+
     def debug(self, question: str, k: int = 8) -> tuple[DataFrame, DataFrame]:
         vec = self.spark.range(1).select(S.local_embed(F.lit(question), DIM).alias("v")).first()["v"]
         vectors = self.need("task_embeddings").withColumnRenamed("task_id", "id")
@@ -255,7 +287,7 @@ class Engine:
     def provenance(self, sha: str) -> DataFrame:
         """What the sessions behind a commit read and how they drifted; the first commit with that prefix."""
         commit = self.commits().where(F.col("ref").startswith(sha)).orderBy("created_at", "id").limit(1).select(F.col("id").alias("commit"))
-        tv = self.need("task_versions").select("task_id", "reads", F.flatten(F.transform("read_secrets", lambda s: s["kinds"])).alias("secret_kinds"), F.col("drift.undeclared").alias("undeclared"), F.col("drift.phantom").alias("phantom"))
+        tv = self.need("task_versions").select("task_id", "reads", "read_secrets", F.col("drift.undeclared").alias("undeclared"), F.col("drift.phantom").alias("phantom"))
         return reports.provenance(self.behind().join(commit, "commit"), tv)
 
     def attribution(self, sha: str | None = None) -> DataFrame:
@@ -286,13 +318,14 @@ class Engine:
         return graph.commit_detail(self.need("edges").join(commit, "src", "left_semi"), self.risks().select("id", "path"), self.need("versions").select("artifact_id", "id", "ts")).orderBy("path")
 
     def snapshot(self) -> tuple[DataFrame, DataFrame]:
-        files = self.risks().select("id", F.lit("file").alias("level"), "fused")
-        v = self.need("versions").select("repo", "path", "artifact_id").distinct()
+        risks = self.risks()
+        top = coupling.levels_of(risks, ["fused"]).where("level <> 'file'")
+        named = F.when(F.col("level") == "repo", S.content_id("art", F.col("repo"), F.col("level"))).otherwise(S.content_id("art", F.col("repo"), F.col("level"), F.col("path")))
+        nodes = risks.select("id", F.lit("file").alias("level"), "fused").union(top.select(named, "level", "fused"))
         module = S.content_id("art", F.col("repo"), F.lit("module"), S.module_path(F.col("path")))
         repo = S.content_id("art", F.col("repo"), F.lit("repo"))
-        kept = v.select(repo.alias("r"), module.alias("m"), "artifact_id")
-        nodes = files.union(kept.select("m", F.lit("module"), F.lit(0.0)).distinct()).union(kept.select("r", F.lit("repo"), F.lit(0.0)).distinct())
-        contains = kept.select(F.col("r").alias("src"), F.col("m").alias("dst")).union(kept.select("m", "artifact_id"))
+        kept = risks.select(repo.alias("r"), module.alias("m"), "id")
+        contains = kept.select(F.col("r").alias("src"), F.col("m").alias("dst")).distinct().union(kept.select("m", "id"))
         return graph.snapshot(nodes, self.need("tasks"), contains, self.need("edges"))
 
     # --- maintenance --------------------------------------------------------------------------------------------------

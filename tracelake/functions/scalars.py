@@ -36,10 +36,15 @@ def summary_key(prompt: Column, assistant: Column) -> Column:
     return F.substring(F.sha2(F.concat(F.coalesce(prompt, F.lit("")), F.lit(UNIT), F.coalesce(assistant, F.lit(""))), 256), 1, 32)
 
 
-def checkpoint_key(at: Column, files: Column) -> Column:
-    """16 hex digits of a moment and its files, array<struct<path, hash>>, in path order."""
+def files_digest(files: Column) -> Column:
+    """SHA-256 of files, array<struct<path, hash>>, in path order."""
     listed = F.transform(F.array_sort(files), lambda f: F.concat_ws("=", f["path"], f["hash"]))
-    return F.substring(F.sha2(F.concat_ws(UNIT, at.cast("string"), F.array_join(listed, UNIT)), 256), 1, 16)
+    return F.sha2(F.array_join(listed, UNIT), 256)
+
+
+def checkpoint_key(at: Column, files: Column) -> Column:
+    """16 hex digits of a moment and its files, array<struct<path, hash>>."""
+    return F.substring(F.sha2(F.concat_ws(UNIT, at.cast("string"), files_digest(files)), 256), 1, 16)
 
 
 # --- paths and globs --------------------------------------------------------------------------------------------------
@@ -143,8 +148,13 @@ def hunks(diff: Column) -> Column:
 
 def short_list(items: Column, k: int) -> Column:
     """The first k joined, and how many more there are."""
-    more = F.size(items) - k
-    return F.concat(F.array_join(F.slice(items, 1, k), ", "), F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"), F.lit(" more"))).otherwise(""))
+    return listed(F.slice(items, 1, k), F.size(items))
+
+
+def listed(first: Column, total: Column) -> Column:
+    """The first of `total` items joined, and how many more there are."""
+    more = total - F.size(first)
+    return F.concat(F.array_join(first, ", "), F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"), F.lit(" more"))).otherwise(""))
 
 
 def turn_summary(prompt: Column, paths: Column, most: int = 200) -> Column:

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import scalars as S
+
 BULK, SUPPORT = 50, 2
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared folder of spark.checkpoint.dir; only where that is unset (tests) a folder is made."""
+    """Cuts lineage in the shared folder of spark.checkpoint.dir. Only a session of one machine may make its own; a cluster without the setting is an error."""
     sc = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]-]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
@@ -70,19 +75,27 @@ def blast_radius(pairs: DataFrame) -> DataFrame:
     return comp.join(sizes, "component").select("id", "blast")
 
 
-def dependents(edges: DataFrame, roots: DataFrame, most_levels: int = 64) -> DataFrame:
+def dependents(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, id): everything that reaches each of a stated set of roots over directed edges src -> dst, the root left out.
 
-    The frontier advances one level a round; what was seen is taken off by an anti-join, and each round is checkpointed.
+    The frontier advances one level a round until nothing is new; what was seen is taken off by an anti-join, and each
+    round is checkpointed.
     """
     seen = frontier = checkpointed(roots.select(F.col("id").alias("root"), F.col("id")).distinct())
-    for _ in range(most_levels):
+    while True:
         step = frontier.join(edges.select(F.col("dst").alias("id"), F.col("src").alias("next")), "id").select("root", F.col("next").alias("id")).distinct()
         frontier = checkpointed(step.join(seen, ["root", "id"], "left_anti"))
         if frontier.isEmpty():
-            break
+            return seen.where("root <> id")
         seen = checkpointed(seen.union(frontier))
-    return seen.where("root <> id")
+
+
+def levels_of(risks: DataFrame, measures: list[str]) -> DataFrame:
+    """(repo, level, path, measures): files (repo, path, measures), their modules and repositories, each with the greatest measure below it."""
+    module = risks.select("repo", S.module_path(F.col("path")).alias("path"), *measures).groupBy("repo", "path").agg(*(F.max(m).alias(m) for m in measures))
+    repo = module.groupBy("repo").agg(*(F.max(m).alias(m) for m in measures)).withColumn("path", F.lit("."))
+    shape = lambda df, level: df.select("repo", F.lit(level).alias("level"), "path", *measures)
+    return shape(risks, "file").union(shape(module, "module")).union(shape(repo, "repo"))
 
 
 def rollup(children: DataFrame, parents: DataFrame, measures: list[str]) -> DataFrame:

@@ -26,18 +26,20 @@ def succession(versions: DataFrame) -> DataFrame:
     return versions.select("artifact_id", F.lag("id").over(chain()).alias("src"), F.col("id").alias("dst")).where("src IS NOT NULL")
 
 
-def signals(versions: DataFrame, now: DataFrame | None = None, window_s: int = FIX_WINDOW_S) -> DataFrame:
+def signals(versions: DataFrame, now: DataFrame | None = None, window_s: int = FIX_WINDOW_S, scope: str | None = None) -> DataFrame:
     """immediate_fix, reverted, churn and n_versions of each artifact.
 
     A fix follows within `window_s` and has at most a quarter of the lines before it, or five. A fingerprint that comes
-    again is a revert. Churn halves every fortnight before `now`, one row; by default the latest version's moment.
+    again is a revert. Churn halves every fortnight before `now`, one row; by default the latest version's moment, of all
+    or of those with the same `scope`.
     """
-    horizon = now if now is not None else versions.agg(F.max("ts").alias("now"))
+    horizon = now if now is not None else versions.groupBy(*([scope] if scope else [])).agg(F.max("ts").alias("now"))
     w = chain()
     before, gap = F.lag("lines").over(w), F.unix_seconds("ts") - F.unix_seconds(F.lag("ts").over(w))
     fix = (gap <= window_s) & (F.col("lines") > 0) & (F.col("lines") < before) & (F.col("lines") <= F.greatest(F.floor(before / 4), F.lit(5)))
     again = (F.col("fingerprint") != "") & (F.row_number().over(Window.partitionBy("artifact_id", "fingerprint").orderBy("ts", "id")) > 1)
-    marked = versions.select("*", F.coalesce(fix, F.lit(False)).alias("fix"), F.coalesce(again, F.lit(False)).alias("again")).crossJoin(F.broadcast(horizon))
+    marked = versions.select("*", F.coalesce(fix, F.lit(False)).alias("fix"), F.coalesce(again, F.lit(False)).alias("again"))
+    marked = marked.join(horizon, scope) if scope and now is None else marked.crossJoin(F.broadcast(horizon))  # one row
     age = F.unix_seconds("now") - F.unix_seconds("ts")
     return marked.groupBy("artifact_id").agg(
         F.max("fix").cast("double").alias("immediate_fix"), F.max("again").cast("double").alias("reverted"), exact_sum(S.decay(age, S.CHURN_HALF_LIFE_S)).alias("churn"), F.count("*").alias("n_versions")

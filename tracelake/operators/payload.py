@@ -5,10 +5,14 @@ from __future__ import annotations
 import os
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .coupling import checkpointed
+
+PARTS = 4096
 
 
 def put(texts: DataFrame, content: str) -> DataFrame:
@@ -51,11 +55,19 @@ def purge(versions: DataFrame, store: DataFrame, cutoff: Column) -> tuple[DataFr
 def seal(store: DataFrame, key: str) -> DataFrame:
     """Each content encrypted by its own data key, which the main key wraps; refs stay those of the plain bytes. `key`: 32 bytes in hex.
 
-    Data keys are derived from the main key and the ref, so that a retried task seals with the same one.
+    Data keys are drawn from the system's random source. They are stored wrapped, by ref, before anything is sealed, so
+    that a retried task seals with the same one.
     """
-    main = F.unhex(F.lit(key))
-    data_key = F.unhex(F.sha2(F.concat(main, F.col("ref").cast("binary"), F.lit("data key").cast("binary")), 256))
-    return store.withColumn("dek", data_key).select("ref", F.aes_encrypt("content", "dek", F.lit("GCM")).alias("sealed"), F.aes_encrypt("dek", main, F.lit("GCM")).alias("wrapped"))
+    main, schema = F.unhex(F.lit(key)), store.select("ref").schema
+
+    def draw(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([os.urandom(32) for _ in range(b.num_rows)], pa.binary())], names=["ref", "dek"])
+
+    keys = store.select("ref").distinct().mapInArrow(draw, f"ref {schema[0].dataType.simpleString()}, dek binary")
+    keys = checkpointed(keys.select("ref", F.aes_encrypt("dek", main, F.lit("GCM")).alias("wrapped")))
+    data_key = F.aes_decrypt("wrapped", main, F.lit("GCM"))
+    return store.join(keys, "ref").select("ref", F.aes_encrypt("content", data_key, F.lit("GCM")).alias("sealed"), "wrapped")
 
 
 def open_sealed(sealed: DataFrame, key: str) -> DataFrame:
@@ -71,7 +83,10 @@ def rewrap(sealed: DataFrame, old: str, new: str) -> DataFrame:
 def checkpoint(files: DataFrame, at: Column) -> DataFrame:
     """Manifest (checkpoint_id, rel_path, content_ref, at) of a tree (path, text)."""
     rows = files.select(F.col("path").alias("rel_path"), S.content_ref(F.col("text")).alias("content_ref"))
-    whole = rows.agg(S.checkpoint_key(at, F.collect_list(F.struct(F.col("rel_path").alias("path"), F.col("content_ref").alias("hash")))).alias("checkpoint_id"))
+    # Digests of PARTS parts, so that no row holds the whole tree.
+    part = rows.groupBy(F.pmod(F.xxhash64("rel_path"), F.lit(PARTS)).cast("string").alias("path"))
+    parts = part.agg(S.files_digest(F.collect_list(F.struct(F.col("rel_path").alias("path"), F.col("content_ref").alias("hash")))).alias("hash"))
+    whole = parts.agg(S.checkpoint_key(at, F.collect_list(F.struct("path", "hash"))).alias("checkpoint_id"))
     return rows.crossJoin(F.broadcast(whole)).select("checkpoint_id", "rel_path", "content_ref", at.alias("at"))
 
 

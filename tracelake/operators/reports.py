@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 
@@ -36,10 +39,19 @@ def shared_versions(edges: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def provenance(behind: DataFrame, task_versions: DataFrame) -> DataFrame:
-    """Per (commit, agent): the sorted union of what the agent read, the secret kinds by path, and its drift sets."""
+    """Per (commit, agent): the sorted union of what the agent read, the secret kinds by path, and its drift sets.
+
+    read_secrets is array<struct<path, kinds>>, a row for each path with the union of its kinds; task_versions has
+    task_id, reads, read_secrets, undeclared and phantom.
+    """
     v = behind.join(task_versions.withColumnRenamed("task_id", "agent"), "agent")
     sorted_set = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    return v.groupBy("commit", "agent").agg(sorted_set("reads").alias("reads"), sorted_set("secret_kinds").alias("secret_kinds"), sorted_set("undeclared").alias("undeclared"), sorted_set("phantom").alias("phantom"))
+    sets = v.groupBy("commit", "agent").agg(*(sorted_set(c).alias(c) for c in ("reads", "undeclared", "phantom")))
+    kinds = v.select("commit", "agent", F.inline("read_secrets")).select("commit", "agent", "path", F.explode("kinds").alias("kind")).distinct()
+    kinds = kinds.groupBy("commit", "agent", "path").agg(F.array_sort(F.collect_list("kind")).alias("kinds"))
+    kinds = kinds.groupBy("commit", "agent").agg(F.array_sort(F.collect_list(F.struct("path", "kinds"))).alias("read_secrets"))
+    none = F.array().cast("array<struct<path: string, kinds: array<string>>>")
+    return sets.join(kinds, ["commit", "agent"], "left").select("commit", "agent", "reads", F.coalesce("read_secrets", none).alias("read_secrets"), "undeclared", "phantom")
 
 
 def compliance(commits: DataFrame, behind: DataFrame, agents: DataFrame) -> DataFrame:
@@ -79,17 +91,21 @@ def today(versions: DataFrame, cutoff) -> DataFrame:
 
 def touched_lines(touched: DataFrame, most: int = 8) -> DataFrame:
     """Per task its artifacts by falling risk, the first `most` listed and how many more there are."""
-    order = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("fused")).alias("f"), F.col("path").alias("p")))), lambda x: x["p"])
-    listed = touched.groupBy("task").agg(F.count("*").alias("total"), order.alias("paths"))
-    return listed.select("task", "total", S.short_list(F.col("paths"), most).alias("touched"))
+    rank = F.row_number().over(Window.partitionBy("task").orderBy(F.desc("fused"), "path"))
+    first = touched.withColumn("_rn", rank).where(F.col("_rn") <= most)
+    order = F.transform(F.array_sort(F.collect_list(F.struct("_rn", "path"))), lambda x: x["path"])
+    listed = touched.groupBy("task").agg(F.count("*").alias("total")).join(first.groupBy("task").agg(order.alias("paths")), "task")
+    return listed.select("task", "total", S.listed(F.col("paths"), F.col("total")).alias("touched"))
 
 
 def session_summary(turns: DataFrame, head: int = 10) -> DataFrame:
     """Per session its first `head` summaries, a line each, and how many more turns there are."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "summary"))), lambda x: x["summary"])
-    s = turns.groupBy("session").agg(ordered.alias("s"))
-    more = F.size("s") - head
-    return s.select("session", F.concat(F.array_join(F.slice("s", 1, head), "\n"), F.when(more > 0, F.concat(F.lit("\n(+"), more.cast("string"), F.lit(" more turns)"))).otherwise("")).alias("summary"))
+    rank = F.row_number().over(Window.partitionBy("session").orderBy("ordinal", "summary"))
+    first = turns.withColumn("_rn", rank).where(F.col("_rn") <= head)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_rn", "summary"))), lambda x: x["summary"])
+    s = turns.groupBy("session").agg(F.count("*").alias("n")).join(first.groupBy("session").agg(ordered.alias("s")), "session")
+    more = F.col("n") - head
+    return s.select("session", F.concat(F.array_join("s", "\n"), F.when(more > 0, F.concat(F.lit("\n(+"), more.cast("string"), F.lit(" more turns)"))).otherwise("")).alias("summary"))
 
 
 def attention_order(rows: DataFrame) -> DataFrame:
@@ -97,12 +113,15 @@ def attention_order(rows: DataFrame) -> DataFrame:
 
 
 def render(rows: DataFrame, form: str = "text", most: int = 1000) -> str:
-    """A small result as text, markdown or JSON lines; a report, so it is bounded by `most`."""
-    some = rows.limit(most)
+    """A report's first `most` rows as text, markdown or JSON lines; the last line says how many more there are."""
+    some, cut = rows.limit(most + 1).collect(), ""
+    if len(some) > most:
+        left, some = rows.count() - most, some[:most]
+        cut = "\n" + (json.dumps({"more_rows": left}) if form == "json" else f"(+{left} more rows)")
     if form == "json":
-        return "\n".join(some.toJSON().collect())
-    data = [[str(v) for v in r] for r in some.collect()]
+        return "\n".join(json.dumps(r.asDict(recursive=True), default=str) for r in some) + cut
+    data = [[str(v) for v in r] for r in some]
     if form == "markdown":
-        return "\n".join("| " + " | ".join(r) + " |" for r in [rows.columns, ["---"] * len(rows.columns), *data])
+        return "\n".join("| " + " | ".join(r) + " |" for r in [rows.columns, ["---"] * len(rows.columns), *data]) + cut
     wide = [max(map(len, c)) for c in zip(rows.columns, *data)]
-    return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, wide)).rstrip() for r in [rows.columns, *data])
+    return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, wide)).rstrip() for r in [rows.columns, *data]) + cut

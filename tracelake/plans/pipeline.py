@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from ..operators import coupling, drift, history, search
@@ -35,33 +36,56 @@ def task_edges(versions: DataFrame) -> DataFrame:
 def declared_turns(turn_rows: DataFrame) -> DataFrame:
     """Turns with the paths declared so far in their session and the session's span."""
     so_far = drift.cumulative(turn_rows, "session_id", ["ordinal"], "declared")
-    from pyspark.sql.window import Window
-
     start = F.min("timestamp").over(Window.partitionBy("session_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return so_far.withColumn("started", start)
 
 
 def observe(turn_rows: DataFrame, versions: DataFrame) -> DataFrame:
-    """Each turn's drift: paths declared so far against files that changed within the session's span, half an hour to either side. Versions: repo, path, artifact_id, id, ts, lines."""
+    """Each turn's drift: paths declared so far against files of the session's repository that changed within its span, half an hour to either side. Turns: repo, null where it isn't known; versions: repo, path, ts."""
     t = declared_turns(turn_rows)
-    spans = t.select(F.struct("session_id", "ordinal").alias("session"), F.col("started").alias("first"), F.col("timestamp").alias("last"), F.lit(1).alias("key"))
-    pairs = drift.correlate(spans, versions.select(F.lit(1).alias("key"), "ts", "path"))
+    spans = t.select(F.struct("session_id", "ordinal").alias("session"), F.col("started").alias("first"), F.col("timestamp").alias("last"), F.col("repo").alias("key"))
+    pairs = drift.correlate(spans, versions.select(F.col("repo").alias("key"), "ts", "path"))
     done = pairs.groupBy("session").agg(F.array_sort(F.collect_set("path")).alias("done")).select("session.session_id", "session.ordinal", "done")
     out = t.join(done, ["session_id", "ordinal"], "left").withColumn("done", F.coalesce("done", F.array().cast("array<string>")))
     return out.withColumn("drift", drift.drift(F.col("declared_so_far"), F.col("done")))
 
 
+def session_repo(turn_rows: DataFrame, versions: DataFrame, roots: dict[str, str] | None = None) -> DataFrame:
+    """Adds `repo`, the repository that a session's directory belongs to.
+
+    By `roots` (repository to its directory, a stated list): the deepest root around the directory. Without roots, the
+    deepest part of the directory that is a known repository's last name; where only one repository is known, that one.
+    """
+    if roots:
+        found = F.lit(None).cast("string")
+        for repo, root in sorted(roots.items(), key=lambda x: len(x[1].rstrip("/"))):
+            found = F.when(S.in_scope(F.col("cwd"), root), F.lit(repo)).otherwise(found)
+        return turn_rows.withColumn("repo", found)
+    repos = versions.select("repo").distinct()
+    names = repos.select("repo", F.substring_index("repo", "/", -1).alias("name"))
+    parts = turn_rows.select("cwd").distinct().select("cwd", F.posexplode(F.split("cwd", "/")).alias("at", "name"))
+    homes = parts.join(names, "name").groupBy("cwd").agg(F.max_by("repo", F.struct("at", "repo")).alias("_home"))
+    only = repos.agg(F.when(F.count("*") == 1, F.min("repo")).alias("_only"))
+    return turn_rows.join(homes, "cwd", "left").crossJoin(F.broadcast(only)).withColumn("repo", F.coalesce("_home", "_only")).drop("_home", "_only")  # one row
+
+
 def recompute_risk(versions: DataFrame, task_drift: DataFrame | None = None, window_s: int = history.FIX_WINDOW_S) -> DataFrame:
-    """Risk of every artifact from its history, its coupling, its last change and the worst drift on its path."""
-    pairs = coupling.cochange(versions.select("commit", F.col("artifact_id").alias("file")))
+    """Risk of every artifact from its history, its coupling, its last change and the worst drift on its path.
+
+    All within its repository: churn decays from the repository's own last version, equal shas of two repositories are
+    two commits, and drift (drift, and repo where it is known) counts for paths of that repository.
+    """
+    pairs = coupling.cochange(versions.select(F.concat_ws(S.UNIT, "repo", "commit").alias("commit"), F.col("artifact_id").alias("file")))
     pairs = coupling.checkpointed(pairs)
     deg = coupling.degree(coupling.depends_on(pairs)).withColumnRenamed("id", "artifact_id")
     blast = coupling.blast_radius(pairs).withColumnRenamed("id", "artifact_id")
-    out = history.signals(versions, window_s=window_s).join(deg, "artifact_id", "left").join(blast, "artifact_id", "left").join(history.latest_diff(versions).select("artifact_id", "diff_size"), "artifact_id", "left")
+    out = history.signals(versions, window_s=window_s, scope="repo").join(deg, "artifact_id", "left").join(blast, "artifact_id", "left").join(history.latest_diff(versions).select("artifact_id", "diff_size"), "artifact_id", "left")
     if task_drift is not None:
-        worst = task_drift.select(F.explode("drift.undeclared").alias("path"), F.col("drift.score").alias("drift")).groupBy("path").agg(F.max("drift").alias("drift"))
-        paths = versions.select("artifact_id", "path").distinct()
-        out = out.join(paths.join(worst, "path").groupBy("artifact_id").agg(F.max("drift").alias("drift")), "artifact_id", "left")
+        repo = "repo" if "repo" in task_drift.columns else F.lit(None).cast("string").alias("repo")
+        worst = task_drift.select(repo, F.explode("drift.undeclared").alias("path"), F.col("drift.score").alias("drift")).groupBy("repo", "path").agg(F.max("drift").alias("drift"))
+        paths = versions.select("repo", "artifact_id", "path").distinct()
+        named, open_ = paths.join(worst.where("repo IS NOT NULL"), ["repo", "path"]), paths.join(worst.where("repo IS NULL").drop("repo"), "path")
+        out = out.join(named.select("artifact_id", "drift").union(open_.select("artifact_id", "drift")).groupBy("artifact_id").agg(F.max("drift").alias("drift")), "artifact_id", "left")
     return history.risk(out.fillna(0, ["degree", "blast", "diff_size"]))
 
 

@@ -33,13 +33,18 @@ def shared_version(spark: SparkSession, d: str) -> DataFrame:
     return behind(spark, d)
 
 
-@query(f"""WITH {SHARED}, tv AS (SELECT l_orderkey AS agent, l_returnflag || l_linestatus AS read, CASE WHEN l_linenumber = 1 THEN 'k' || (l_suppkey % 3) END AS kind FROM lineitem)
-SELECT commit, agent, array_to_string(list_sort(list_distinct(list(read))), ',') AS reads, coalesce(array_to_string(list_sort(list_distinct(list(kind) FILTER (kind IS NOT NULL))), ','), '') AS kinds FROM b JOIN tv USING (agent) GROUP BY 1, 2""")
+@query(f"""WITH {SHARED}, tv AS (SELECT l_orderkey AS agent, l_returnflag || l_linestatus AS read, CASE WHEN l_linenumber < 3 THEN 'k' || (l_suppkey % 3) END AS kind FROM lineitem),
+k AS (SELECT commit, agent, read, array_to_string(list_sort(list(DISTINCT kind)), '+') AS kinds FROM b JOIN tv USING (agent) WHERE kind IS NOT NULL GROUP BY 1, 2, 3),
+p AS (SELECT commit, agent, array_to_string(list_sort(list(read || '=' || kinds)), ',') AS secrets FROM k GROUP BY 1, 2)
+SELECT commit, agent, array_to_string(list_sort(list_distinct(list(read))), ',') AS reads, coalesce(any_value(secrets), '') AS secrets FROM b JOIN tv USING (agent) LEFT JOIN p USING (commit, agent) GROUP BY 1, 2""")
 def provenance(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem")
-    none = F.array().cast("array<string>")
-    tv = li.select(F.col("l_orderkey").alias("task_id"), F.array(F.concat("l_returnflag", "l_linestatus")).alias("reads"), F.when(F.col("l_linenumber") == 1, F.array(F.concat(F.lit("k"), (F.col("l_suppkey") % 3).cast("string")))).otherwise(none).alias("secret_kinds"), none.alias("undeclared"), none.alias("phantom"))
-    return reports.provenance(behind(spark, d), tv).select("commit", "agent", F.array_join("reads", ",").alias("reads"), F.array_join("secret_kinds", ",").alias("kinds"))
+    """A line is a read, and of the first two lines of an order one that found a secret."""
+    none, path = F.array().cast("array<string>"), F.concat("l_returnflag", "l_linestatus")
+    found = F.array(F.struct(path.alias("path"), F.array(F.concat(F.lit("k"), (F.col("l_suppkey") % 3).cast("string"))).alias("kinds")))
+    secrets = F.when(F.col("l_linenumber") < 3, found).otherwise(F.array().cast("array<struct<path: string, kinds: array<string>>>"))
+    tv = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.array(path).alias("reads"), secrets.alias("read_secrets"), none.alias("undeclared"), none.alias("phantom"))
+    shown = F.transform("read_secrets", lambda x: F.concat(x["path"], F.lit("="), F.array_join(x["kinds"], "+")))
+    return reports.provenance(behind(spark, d), tv).select("commit", "agent", F.array_join("reads", ",").alias("reads"), F.array_join(shown, ",").alias("secrets"))
 
 
 COMPL = f"""{SHARED}, ag AS (SELECT id AS agent, 'm' || (id % 3) AS model, id % 5 AS secret_reads, (id % 4)::DOUBLE / 4 AS drift FROM t WHERE agent),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import scalars as S
 from ..operators import coupling, drift, history
+from . import pipeline
 from .standins import commit_files, table, turns, versions
 
 V = """v AS (SELECT user_id AS artifact_id, event_id AS id, ts, event_type || ':' || regexp_extract(props, '([0-9]+)', 1) || ':' || CAST(floor(value) AS BIGINT) AS fingerprint,
@@ -228,3 +229,31 @@ def as_of_events(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("k"), (F.col("o_orderdate") + F.expr("INTERVAL 10000 DAYS")).alias("t"))
     events = table(spark, d, "events").select(F.col("user_id").alias("k"), F.col("ts").alias("t"), "ts")
     return history.as_of(rows, events, "k", "t", "ts").select("o_orderkey", "ts")
+
+
+@query("""WITH r AS (SELECT 'b' || (p_partkey % 7) AS repo, 'src/' || p_size || '/p' || p_partkey AS path, 'src/' || p_size AS module, p_retailprice AS risk FROM part)
+SELECT repo, 'file' AS level, path, risk FROM r UNION ALL SELECT repo, 'module', module, max(risk) FROM r GROUP BY 1, 3 UNION ALL SELECT repo, 'repo', '.', max(risk) FROM r GROUP BY 1""")
+def risk_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Parts are files, their sizes modules: modules and repositories take the greatest risk below them."""
+    key = F.col("p_partkey").cast("string")
+    files = table(spark, d, "part").select(F.concat(F.lit("b"), (F.col("p_partkey") % 7).cast("string")).alias("repo"), F.concat(F.lit("src/"), F.col("p_size").cast("string"), F.lit("/p"), key).alias("path"), F.col("p_retailprice").alias("risk"))
+    return coupling.levels_of(files, ["risk"])
+
+
+#: Two repositories with the same paths; a user works on one path of one of them, and a session is a user's day.
+TWO_REPOS = """v AS (SELECT event_id, user_id, ts, 'own/r' || (user_id % 2) AS repo, 'p' || (user_id // 2) AS path, user_id || '-' || ts::DATE AS session_id, event_type FROM events),
+t AS (SELECT session_id, event_id AS ordinal, repo, path, ts AS last, min(ts) OVER (PARTITION BY session_id ORDER BY event_id) AS first FROM v WHERE event_type = 'signup'),
+j AS (SELECT t.session_id, t.ordinal, list_sort(list(DISTINCT v.path)) AS done FROM t JOIN v USING (repo) WHERE v.event_type <> 'signup' AND v.ts BETWEEN t.first - INTERVAL 30 MINUTE AND t.last + INTERVAL 30 MINUTE GROUP BY ALL)"""
+
+
+@query(f"""WITH {TWO_REPOS}, o AS (SELECT t.session_id, t.ordinal, t.repo, t.path, coalesce(list_filter(done, lambda x: x <> t.path), []) AS undeclared, CASE WHEN list_contains(coalesce(done, []), t.path) THEN 0 ELSE 1 END AS phantom FROM t LEFT JOIN j USING (session_id, ordinal))
+SELECT session_id, ordinal, repo, array_to_string(undeclared, ',') AS undeclared, phantom, (len(undeclared) + phantom)::DOUBLE / (len(undeclared) + 1) AS score FROM o""")
+def observe_two_repos(spark: SparkSession, d: str) -> DataFrame:
+    """Drift of a session against its own repository's versions, found by the session's directory."""
+    user = F.col("user_id")
+    v = versions(spark, d).select(F.col("id"), F.col("artifact_id").alias("user_id"), "ts", "event_type")
+    rows = v.select("id", "user_id", "ts", "event_type", F.concat(F.lit("own/r"), (user % 2).cast("string")).alias("repo"), F.concat(F.lit("p"), F.floor(user / 2).cast("string")).alias("path"), F.concat_ws("-", user.cast("string"), F.to_date("ts").cast("string")).alias("session_id"))
+    t = rows.where("event_type = 'signup'").select("session_id", F.col("id").alias("ordinal"), F.col("ts").alias("timestamp"), F.array("path").alias("declared"), F.concat(F.lit("/home/dev/"), F.substring_index("repo", "/", -1), F.lit("/lib")).alias("cwd"))
+    files = rows.where("event_type <> 'signup'")
+    got = pipeline.observe(pipeline.session_repo(t, files), files.select("repo", "path", "ts"))
+    return got.select("session_id", "ordinal", "repo", F.array_join("drift.undeclared", ",").alias("undeclared"), F.size("drift.phantom").alias("phantom"), F.col("drift.score").alias("score"))
