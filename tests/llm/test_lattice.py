@@ -76,6 +76,53 @@ def test_query_equals_definition(spark, odd):
     assert all(r["score"] <= 0 and math.isfinite(r["score"]) for r in got)
 
 
+def paths(word, opening, rest, raw):
+    """(pieces and bytes used, probability) of every segmentation of a word, by plain recursion over the definition."""
+    s = "▁" + word
+
+    def go(at):
+        if at == len(s):
+            yield (), 1.0
+            return
+        table = rest if at else opening
+        for to in range(at + 1, len(s) + 1):
+            if s[at:to] in table:
+                for used, p in go(to):
+                    yield (s[at:to], *used), p * table[s[at:to]]
+        if at and s[at] not in rest:
+            for used, p in go(at + 1):
+                yield (*s[at].encode(), *used), p * math.prod(raw[b] for b in s[at].encode())
+
+    return [*go(0)]
+
+
+def test_score_equals_brute_force(spark, docs):
+    """Expected uses, weights, discount and marginals over all segmentations, on the shipped vocabulary."""
+    rows = [(0, "a cat sat"), (1, "the cat é ran on"), (2, "the the rat"), (3, "zq a"), (4, ""), (5, None), (6, "The mat sat on a hat"), (7, "rat 日"), (8, "cat")]
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    words = {d: (t or "").lower().split() + [""] for d, t in rows}
+    c = Counter(w for d, ws in words.items() if not held(d) for w in ws)
+    n, v, once, twice = sum(c.values()), len(c), *(sum(x == k for x in c.values()) for k in (1, 2))
+    d = once / (once + 2 * twice)
+    opening, rest, raw = lattice.pieces(MODEL)
+    uses = Counter()
+    for w in c:
+        all_ = paths(w, opening, rest, raw) if w else []
+        total = sum(p for _, p in all_)
+        for used, p in all_:
+            for x in used:
+                uses[x] += p / total
+    new = [{k: lattice.PRIOR * x + uses[k] for k, x in t.items()} for t in (opening, rest)] + [[lattice.PRIOR * x + uses[b] for b, x in enumerate(raw)]]
+    whole = sum(new[0].values()) + sum(new[1].values()) + sum(new[2])
+    new = [{k: x / whole for k, x in t.items()} for t in new[:2]] + [[x / whole for x in new[2]]]
+    sub = {w: sum(p for _, p in paths(w, *new)) for ws in words.values() for w in ws if w}
+    log = lambda w: math.log10((max(0, c[w] - d) / n + d * v / n * sub[w]) if w else (c[w] - d) / n)
+    got = {r["doc_id"]: r for r in lattice.score(docs(*rows), MODEL).collect()}
+    for i, ws in words.items():
+        assert got[i]["score"] == pytest.approx(sum(map(log, ws)), abs=1e-5)
+        assert got[i]["pieces_score"] == pytest.approx(sum(math.log10(sub[w]) for w in ws if w) + log(""), abs=1e-5)
+
+
 def test_blocks_do_not_matter(spark, docs):
     rows = [(i, " ".join(f"w{(i * j) % 17}" for j in range(1, 30))) for i in range(60)]
     one, many = (sorted((r["doc_id"], round(r["score"], 6)) for r in lattice.score(docs(*rows), MODEL, block_rows=b).collect()) for b in (1000, 2))

@@ -4,12 +4,13 @@ The model gives a word the marginal probability over all its segmentations into
 vocabulary's scores, which are negative ranks for a merge vocabulary, become weights 1 / (SHIFT + rank) (the
 Zipf-Mandelbrot law), normalised once over pieces that open a word and the rest: an opening piece ends the word before
 it, so the sum over all words is one. These weights are the prior and the start of one step of expectation
-maximisation over all training words. A forward recursion in log space adds up the segmentations; characters without a
-piece fall back to byte pieces. The lattice is mixed with the training counts by absolute discounting:
-P(w) = max(0, c(w) - d) / N + d V / N * lattice(w), d = n1 / (n1 + 2 n2) from the words seen once and twice.
-The end token has its discounted count alone.
+maximisation over all training words. A word that was seen in training is a piece as well: its lattice has one arc more,
+over the whole word, of weight max(0, c(w) - d) / N, and the paths over other pieces share what the discount leaves,
+d V / N; d = n1 / (n1 + 2 n2) from the words seen once and twice. A forward recursion in log space adds up all paths;
+characters without a piece fall back to byte pieces. A text's score is the sum over its words and the end, which has its
+discounted count alone; pieces_score is the same without the arcs that training added.
 
-Plan: documents are dealt into blocks of about BLOCK rows or BLOCK_BYTES by their id's hash. Each block gives its distinct words with training
+Plan: documents are dealt into blocks of about BLOCK rows or BLOCK_BYTES by the hash of id and text. Each block gives its distinct words with training
 counts; these meet by word with the vocabulary of all words, whose lattice weights are computed once a word, and return
 to their block, where whole texts are scored. So nothing larger than a block's own words is held anywhere, and a
 frequent word moves once a block, not once a use. What is gathered grows with the corpus.
@@ -30,10 +31,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, stored, table
+from .common import fold, shuffle_width, stored, table
 
 FOLDS, HELD, SHIFT = 7, 2, 2.7
-BLOCK, BLOCK_BYTES = 4096, 16 << 20
+BLOCK, BLOCK_BYTES, WORDS = 4096, 16 << 20, 100_000
 END = b""
 START = "▁"
 LOG10 = math.log(10)
@@ -86,6 +87,11 @@ def pieces(model: bytes) -> tuple[dict[str, float], dict[str, float], list[float
     return {k: v / total for k, v in opening.items()}, {k: v / total for k, v in rest.items()}, [v / total for v in raw]
 
 
+def plus(x: float, y: float) -> float:
+    """Natural log of the sum of two numbers given by theirs."""
+    return max(x, y) + math.log1p(math.exp(-abs(x - y))) if min(x, y) > -math.inf else max(x, y)
+
+
 def marginal(word: str, known: Pieces) -> float:
     """Natural log of the summed probability of all segmentations of `word`: forward recursion in log space."""
     s, exp, log1p, none = START + word, math.exp, math.log1p, -math.inf
@@ -107,9 +113,6 @@ def expect(word: str, known: Pieces, counts: dict[str, float], raw: dict[int, fl
     front, back = [-math.inf] * (len(s) + 1), [-math.inf] * (len(s) + 1)
     front[0] = back[-1] = 0.0
 
-    def plus(x: float, y: float) -> float:
-        return max(x, y) + math.log1p(math.exp(-abs(x - y))) if min(x, y) > -math.inf else max(x, y)
-
     for i, j, _, w in arcs:
         front[j] = plus(front[j], front[i] + w)
     for i, j, _, w in reversed(arcs):
@@ -201,7 +204,7 @@ def train(vocabulary: DataFrame, model: Broadcast) -> tuple[dict[str, float], di
 
 
 def score(df: DataFrame, model: bytes, text: str = "text", doc_id: str = "doc_id", block_rows: int = BLOCK) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and pieces_score of every row."""
     if len(model) > 64 << 20:
         raise ValueError("a vocabulary of over 64 MB is not broadcast")
     spark = df.sparkSession
@@ -209,14 +212,15 @@ def score(df: DataFrame, model: bytes, text: str = "text", doc_id: str = "doc_id
     size = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0)).alias("bytes")).first()
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["rows"] // block_rows), -(-size["bytes"] // BLOCK_BYTES))
     docs = df.select(
-        F.pmod(F.xxhash64(F.col(doc_id)), F.lit(blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(blocks)).cast("int").alias("block"),
         F.col(doc_id).alias("doc_id"),
         (fold(F.col(doc_id), FOLDS) == HELD).alias("held_out"),
         F.col(text).cast("binary").alias("text"),
     )
     tally = stored(docs.groupBy("block").applyInArrow(_tally, "block int, word binary, n long"))
 
-    vocabulary = stored(tally.groupBy("word").agg(F.sum("n").alias("c")))
+    # In so many parts that weighing a part's words is a short task, and so many files that reading them back is too.
+    vocabulary = stored(tally.repartition(shuffle_width(spark, tally.count(), WORDS), "word").groupBy("word").agg(F.sum("n").alias("c")))
     total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
     n, v = total["n"], total["v"]
     discount = total["once"] / (total["once"] + 2 * total["twice"]) if total["once"] else 0.5
@@ -225,31 +229,37 @@ def score(df: DataFrame, model: bytes, text: str = "text", doc_id: str = "doc_id
 
     def weigh(batches):
         known = Pieces(*trained.value)
+        share, end = math.log(mass), math.log(mass / (n + v + 1))
         for b in batches:
-            logs = pa.array((marginal(w.as_py().decode("utf-8", "replace"), known) if w.as_py() != END else -math.inf for w in b.column(0)), pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), logs], names=["word", "c", "sub"])
-
-    weighed = vocabulary.mapInArrow(weigh, "word binary, c long, sub double")
+            whole, pieces_ = [], []
+            for word, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                arc = math.log((c - discount) / n) if c > discount else -math.inf
+                if word == END:  # with a share of its own where training never saw it
+                    whole.append(max(arc, end)), pieces_.append(max(arc, end))
+                else:
+                    pieces_.append(marginal(word.decode("utf-8", "replace"), known))
+                    whole.append(plus(share + pieces_[-1], arc))  # the arc over the whole word ends where all paths do
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(whole, pa.float64()), pa.array(pieces_, pa.float64())], names=["word", "c", "whole", "pieces"])
+
+    weighed = vocabulary.mapInArrow(weigh, "word binary, c long, whole double, pieces double")
 
     def grade(part: pa.Table, of: pa.Table) -> pa.Table:
         index = {w: i for i, w in enumerate(of.column("word").to_pylist())}
         c = of.column("c").to_numpy().astype(float)
         base = np.log10((c + 1) / (n + (v + 1)))
-        with np.errstate(divide="ignore"):
-            model_ = np.logaddexp(np.log(np.maximum(c - discount, 0) / n) if n else np.full(len(c), -math.inf), math.log(mass) + of.column("sub").to_numpy()) / LOG10
-        model_[np.isneginf(model_)] = math.log10(mass / (n + v + 1))  # an end that training never saw
+        whole, pieces_ = (of.column(x).to_numpy() / LOG10 for x in ("whole", "pieces"))
         out = []
         for text in part.column("text"):
             at = np.fromiter(map(index.__getitem__, words(text.as_py())), np.int32)
-            out.append((len(at), int((c[at] > 0).sum()), float(base[at].sum()), float(model_[at].sum())))
-        cols = list(zip(*out)) or [(), (), (), ()]
+            out.append((len(at), int((c[at] > 0).sum()), float(base[at].sum()), float(whole[at].sum()), float(pieces_[at].sum())))
+        cols = list(zip(*out)) or [()] * 5
         return pa.table({
             "doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "n_tokens": pa.array(cols[0], pa.int64()), "n_known": pa.array(cols[1], pa.int64()),
-            "train_tokens": pa.array([n] * len(out), pa.int64()), "base_score": pa.array(cols[2], pa.float64()), "score": pa.array(cols[3], pa.float64()),
+            "train_tokens": pa.array([n] * len(out), pa.int64()), "base_score": pa.array(cols[2], pa.float64()), "score": pa.array(cols[3], pa.float64()), "pieces_score": pa.array(cols[4], pa.float64()),
         })
 
-    graded = tally.select("block", "word").join(weighed, "word").select("block", "word", "c", "sub")
-    schema = f"doc_id {df.schema[doc_id].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    graded = tally.select("block", "word").join(weighed, "word").select("block", "word", "c", "whole", "pieces")
+    schema = f"doc_id {df.schema[doc_id].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, pieces_score double"
     return docs.groupBy("block").cogroup(graded.groupBy("block")).applyInArrow(grade, schema)
 
 
