@@ -29,6 +29,24 @@ def test_join_is_associative(a, b, c):
     assert left == right == enc(a + b + c)
 
 
+@settings(max_examples=200, deadline=None)
+@given(TEXT)
+def test_borders_are_borders(text):
+    """Each side of a border is encoded as it is within the whole."""
+    enc = CODER.encode_ordinary
+    for m in bpe.BORDER.finditer(text, 1):
+        assert enc(text[: m.start()]) + enc(text[m.start() :]) == enc(text)
+    assert bpe._last_border(text, 2) == max([m.start() for m in bpe.BORDER.finditer(text, 1)], default=0)
+
+
+def test_text_without_spaces_is_cut_at_its_borders():
+    """What a join encodes again stays short where the pattern has borders, and every length goes through the tree."""
+    seen = []
+    text = "日本語の文章、百二十字。" * 4000
+    assert bpe.encode_tree(text, lambda t: seen.append(len(t)) or CODER.encode_ordinary(t)) == CODER.encode_ordinary(text)
+    assert max(seen) <= bpe.LEAF and sum(seen) < 2 * len(text)
+
+
 @pytest.mark.parametrize("text", ["ab" * 30_000, " " * 40_000 + "x", "it's " * 9_000, "<|endoftext|>", "a　 b"])
 def test_long_texts(text):
     assert bpe.encode_tree(text, CODER.encode_ordinary, 1000) == CODER.encode_ordinary(text)
@@ -48,3 +66,6 @@ def test_operator(spark, odd, empty):
         if r["doc_id"] == 1:
             assert (r["n_tokens"], r["ids_sha256"]) == (0, hashlib.sha256(b"").hexdigest())
     assert bpe.digests(empty, PATH, P.PATTERN).count() == 0
+    clash = odd.where("doc_id = 9").withColumn("ids", odd["doc_id"]).withColumn("decoded", odd["lang"]).withColumn("_given", odd["lang"]).withColumn("x0", odd["lang"])
+    (row,) = bpe.round_trip(clash, PATH, P.PATTERN).collect()
+    assert row["ids"] == both[9]["ids"] and row["doc_id"] == 9 and set(row.asDict()) == set(clash.columns)

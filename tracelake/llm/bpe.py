@@ -1,14 +1,16 @@
 """Byte-level BPE by monoid tree reduction.
 
 A text is halved until spans are at most `leaf` characters, each span is encoded by itself, and neighbours are joined.
-Concatenation of spans is the monoid; its product re-encodes only a window round the seam. A position where a space
-(U+0020) follows a character that is not white space is always the border of two matches of the split pattern: no
-alternative lets a space follow such a character inside one match, and what ends there ended at that character whatever
-comes after the space. So the encoding of the text before the position and of the text after it are independent, and
-tokens outside the window from the last such position on the left to the first on the right cannot change. The window
-grows until both ends are such positions or the ends of the span. Decoding concatenates bytes up the same tree.
-
-Null text counts as empty: no ids, no bytes. Other columns are carried along; columns named as the new ones must not exist.
+Concatenation of spans is the monoid; its product re-encodes only a window round the seam. BORDER names positions that
+are always the border of two matches of the split pattern: after a letter that no letter follows, after a number that
+no number follows, and before a space (U+0020) that follows other than white space, a letter or a number. No alternative
+of the pattern lets these two characters stand in one match, and what ends there ended at that character whatever comes
+after it. (Marks and apostrophes are left out, so this holds for the common patterns with contractions and marks, too.)
+So the encoding of the text before the position and of the text after it are independent, and tokens outside the window
+from the last such position on the left to the first on the right cannot change. The window grows until both ends are
+such positions or the ends of the span. Decoding concatenates bytes up the same tree.
+
+Null text counts as empty: no ids, no bytes. Other columns are carried along; those named as the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -19,14 +21,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, table
+from .common import numbered, restored, sliced, table
 
-LEAF = 8192
-WINDOW = 64
+LEAF, WINDOW = 512, 64
+BORDER = regex.compile(r"(?<=\p{L})(?=[^\p{L}\p{M}'’])|(?<=\p{N})(?=[^\p{N}\p{M}])|(?<=[^\s\p{L}\p{N}])(?= )")
 
 
 @lru_cache(maxsize=4)
@@ -37,38 +40,23 @@ def load(ranks: bytes, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
 
 
-def _border(text: str, at: int) -> bool:
-    return 0 < at < len(text) and text[at] == " " and not text[at - 1].isspace()
-
-
 def _last_border(text: str, window: int) -> int:
     """The last certain border in `text`, looked for in a growing window; 0 if there is none."""
-    size = window
+    size, high = window, len(text)
     while True:
         low = max(0, len(text) - size)
-        at = text.rfind(" ", low)
-        while at > 0:
-            if _border(text, at):
-                return at
-            at = text.rfind(" ", low, at)
-        if low == 0:
-            return 0
-        size *= 2
+        at = 0
+        for m in BORDER.finditer(text, max(low, 1), high):
+            at = m.start()
+        if at or low == 0:
+            return at
+        size, high = 2 * size, low + 1
 
 
 def _first_border(text: str, window: int) -> int:
     """The first certain border in `text`; its length if there is none."""
-    size = window
-    while True:
-        high = min(len(text), size)
-        at = text.find(" ", 1, high)
-        while at != -1:
-            if _border(text, at):
-                return at
-            at = text.find(" ", at + 1, high)
-        if high == len(text):
-            return high
-        size *= 2
+    m = BORDER.search(text, 1)
+    return m.start() if m else len(text)
 
 
 def encode_tree(text: str, encode, leaf: int = LEAF, window: int = WINDOW) -> list[int]:
@@ -111,7 +99,8 @@ def _flat(rows: list) -> pa.ListArray:
 def _run(df: DataFrame, ranks: str, pattern: str, source: str, new: list[str], leaf: int) -> DataFrame:
     """Adds the columns `new` out of ids and decoded. Texts and ids of a few MB at a time are in Python."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary(ranks))
-    column = len(df.columns)
+    old = df.drop(*new)
+    column = len(old.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(shared.value, pattern)
@@ -123,9 +112,10 @@ def _run(df: DataFrame, ranks: str, pattern: str, source: str, new: list[str], l
             made = {"ids": lambda: _flat(ids), "decoded": lambda: pa.array([decode_tree(x if isinstance(x, list) else x.tolist(), coder.decode_bytes) for x in ids], pa.binary())}
             yield pa.RecordBatch.from_arrays([*b.columns[:column], *(made[k]() for k in new)], names=[*b.schema.names[:column], *new])
 
-    given = df.select("*", (F.col("text").cast("binary") if source == "text" else F.col("ids")).alias("_given"))
-    out = T.StructType([*df.schema.fields, *(T.StructField(k, T.ArrayType(T.IntegerType(), False) if k == "ids" else T.BinaryType()) for k in new)])
-    return given.mapInArrow(run, out)
+    given = df.select(*numbered(old), (F.col("text").cast("binary") if source == "text" else F.col("ids")).alias("_given"))
+    fields = [T.StructField(f"x{i}", f.dataType) for i, f in enumerate(old.schema.fields)]
+    out = T.StructType([*fields, *(T.StructField(k, T.ArrayType(T.IntegerType(), False) if k == "ids" else T.BinaryType()) for k in new)])
+    return given.mapInArrow(run, out).select(*restored(old), *new)
 
 
 def encode(df: DataFrame, ranks: str, pattern: str, leaf: int = LEAF) -> DataFrame:
