@@ -1,3 +1,8 @@
+import random
+import re
+from collections import Counter
+from itertools import combinations
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +66,54 @@ def test_mining_counts_rows_not_shapes(spark):
     mined = {(tuple(r["antecedent"]), r["verdict"]): r for r in urls.mine(spark.createDataFrame(shapes, "tokens array<string>, verdict string, n long")).collect()}
     assert (("2p:x",), "block") not in mined
     assert mined[("2p:x",), "allow"]["confidence"] == pytest.approx(1000 / 1020) and mined[("2p:x",), "allow"]["support"] == pytest.approx(1000 / 1020)
+
+
+def tokens_of(host, path):
+    labels = host.split(".")
+    out = {"d:" + ".".join(labels[i:]) for i in range(len(labels))}
+    return frozenset(out | {f"{i}p:{x}" for i, x in enumerate(re.sub("[0-9]+", "#", path).split("/")) if x}) if host else frozenset()
+
+
+def listed(host, path):
+    fits = [(len(r), v) for v, r in urls.RULES for name, _, start in [r.partition("/")] if (host == name or host.endswith("." + name)) and path.startswith("/" + start)]
+    return max(fits)[1] if fits else None
+
+
+def brute_verdicts(rows, support, confidence):
+    """Every set of tokens of every labelled url is tried as a rule."""
+    pages = [(i, tokens_of(*u), listed(*u)) for i, u in rows]
+    known = [(t, v) for _, t, v in pages if v and t]
+    total, has, hit = len(known), Counter(), Counter()
+    for t, v in known:
+        for n in range(1, len(t) + 1):
+            for some in combinations(sorted(t), n):
+                has[some] += 1
+                hit[some, v] += 1
+    rules = [(n / has[a], n / total, a, v) for (a, v), n in hit.items() if n / total >= support and n / has[a] >= confidence]
+    out = {}
+    for i, t, v in pages:
+        fits = [(c, s, x) for c, s, a, x in rules if t.issuperset(a)]
+        if v or not fits:
+            out[i] = {v or "allow"}
+        else:
+            best = max(f[:2] for f in fits)
+            out[i] = {x for c, s, x in fits if (c, s) == best}
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_verdicts_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    hosts, parts = ["a.com", "b.com", "www.example.com", "example.com", "x.net", "y.net", "z.org", "q.io"], ["en", "es", "fr", "shop", "news"]
+    rows = [(i, (rng.choice(hosts), "/" + "/".join(rng.choice(parts) for _ in range(rng.randint(1, 3))))) for i in range(120)]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p) in rows], PAGES), support=0.05, confidence=0.8).collect()}
+    want = brute_verdicts(rows, 0.05, 0.8)
+    assert all(got[i] in want[i] for i in got) and got.keys() == want.keys() and set(got.values()) == {"allow", "block"}
+
+
+def test_segments_that_always_come_together_are_one_item(spark):
+    """A path of thirty segments on a tenth of the labelled pages: no subsets of them are mined, and any of them is enough."""
+    deep = "/".join(f"part{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(30))
+    rows = [(i, f"http://x.net/es/{deep}") for i in range(30)] + [(100 + i, f"http://s{i}.com/news/{i}") for i in range(200)] + [(900, f"http://other.org/zz/{deep}"), (901, "http://other.org/q/r")]
+    got = judge(spark, rows)
+    assert got[900]["verdict"] == "block" and got[901]["verdict"] == "allow" and " " not in got[900]["mined_rule"]

@@ -8,6 +8,10 @@ match other urls by an inverted index: each mined rule is posted under its rares
 is checked for the rest. Of the mined rules that match, the most confident wins, then the best supported, the longest,
 and block before allow; a url that none matches is allowed.
 
+Tokens that stand in the same labelled rows are one to every rule: they are folded to the first of them before mining,
+and a url has the folded token if it has any of them. So a deep path whose segments always come together makes one item
+and not all subsets of its segments, and no rule that a single token would have made is lost.
+
 Urls are folded to distinct token sets before matching, with their counts, so a host with a third of all rows costs no
 more than its distinct shapes there. Mining counts rows: each set is a basket as often as it occurs, and a frequent
 set's baskets are dealt over all tasks. Null urls, and urls without "://", have empty host and path, no tokens, no
@@ -22,7 +26,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 #: (verdict, host and path) of the contract's rules.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -63,6 +67,14 @@ def tokens(host: Column, path: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.array_compact(F.concat(domains, segments)))))
 
 
+def folded(shapes: DataFrame) -> DataFrame:
+    """(token, item): the first of all tokens that stand in the same labelled shapes (tokens, verdict, n). Sets of shapes are compared by their size and two combined hashes of 64 bits."""
+    each = shapes.where("verdict IS NOT NULL").select(F.explode("tokens").alias("token"), F.xxhash64("tokens", "verdict").alias("a"), F.xxhash64("verdict", F.reverse("tokens")).alias("b"))
+    marks = each.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+    first = marks.groupBy("n", "a", "b").agg(F.min("token").alias("item"))
+    return marks.join(first, ["n", "a", "b"]).select("token", "item")
+
+
 def mine(shapes: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(antecedent, verdict, confidence, support) mined from shapes (tokens, verdict, n); n is how often a shape occurs.
 
@@ -88,7 +100,10 @@ def judge(df: DataFrame, url: str = "url", page_id: str = "page_id", rules: Iter
     host, path = split_url(F.col(url))
     rows = df.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("hit", listed(F.col("host"), F.col("path"), rules)).withColumn("tokens", tokens(F.col("host"), F.col("path")))
-    shapes = rows.select("tokens", F.col("hit.verdict").alias("verdict")).groupBy("tokens", "verdict").agg(F.count("*").alias("n"))
+    raw = rows.select("tokens", F.col("hit.verdict").alias("verdict")).groupBy("tokens", "verdict").agg(F.count("*").alias("n"))
+    items = raw.select("tokens", F.explode("tokens").alias("token")).join(folded(raw), "token", "left").groupBy("tokens").agg(F.array_sort(F.collect_set(F.coalesce("item", "token"))).alias("items"))
+    named = stored(raw.join(items.distinct(), "tokens", "left").select(F.col("tokens").alias("key"), F.coalesce("items", "tokens").alias("tokens"), "verdict", "n"))
+    shapes = named.groupBy("tokens", "verdict").agg(F.sum("n").alias("n"))
     mined = mine(shapes, support, confidence)
     often = shapes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("often"))
     lead = mined.select(F.explode("antecedent").alias("token"), "antecedent").join(often, "token").groupBy("antecedent").agg(F.min_by("token", F.struct("often", "token")).alias("token"))
@@ -97,6 +112,7 @@ def judge(df: DataFrame, url: str = "url", page_id: str = "page_id", rules: Iter
     hits = open_.select("tokens", F.explode("tokens").alias("token")).join(posted, "token").where(F.size(F.array_except("antecedent", "tokens")) == 0)
     best = F.max_by(F.struct(F.col("verdict").alias("found"), F.array_join("antecedent", " ").alias("mined_rule")), F.struct("confidence", "support", "size", F.col("verdict") == "block", "antecedent"))
     decided = hits.groupBy("tokens").agg(best.alias("best")).select("tokens", "best.*")
+    decided = named.where("verdict IS NULL").select("key", "tokens").join(decided, "tokens").select(F.col("key").alias("tokens"), "found", "mined_rule")
     out = rows.join(decided, "tokens", "left")
     listed_ = F.col("hit.verdict")
     return out.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce(listed_, "found", F.lit("allow")).alias("verdict"), F.when(listed_.isNull(), F.col("mined_rule")).alias("mined_rule"))
