@@ -1,10 +1,11 @@
 """Media columns in MPEG transport streams.
 
 `mux` stores bytes in a single-program stream: a program association table, a program map table and one private
-elementary stream whose access units hold UNIT bytes each, with a presentation timestamp, a clock reference and the
-random-access flag on every unit. `demux` reads any such stream back: it checks sync bytes and table checksums, follows
-the tables to the elementary stream, checks continuity counters, reassembles packets and units, and lists timestamps
-and random-access points. Fixed values are those of the public transport stream format.
+elementary stream whose access units hold UNIT bytes each, with a presentation timestamp and a clock reference on every
+unit, and the random-access flag on each unit that doesn't begin within a character, where a reader can start. `demux`
+reads any such stream back: it checks sync bytes and table checksums, follows the tables to the elementary stream,
+checks continuity counters, reassembles packets and units, and lists the timestamps of all units, the clock references,
+and the packet and timestamp of each random-access point. Fixed values are those of the public transport stream format.
 
 Null text counts as empty; a payload is the UTF-8 bytes with zeros up to a positive multiple of 64. A stream that can't
 be read gives null fields and the reason in `error`; a null stream gives null.
@@ -77,7 +78,8 @@ def mux(data: bytes, unit: int = UNIT) -> bytes:
         room = PACKET - 12
         stuff = max(0, room - len(pes))
         clock = (time % (1 << 33)) << 15 | 0x7E00
-        out.append(bytes([SYNC, 0x40 | DATA_PID >> 8, DATA_PID & 255, 0x30 | count, 7 + stuff, 0x50]) + clock.to_bytes(6, "big") + b"\xff" * stuff + pes[: room - stuff])
+        start = 0x10 if part[0] & 0xC0 == 0x80 else 0x50  # a continuation byte is no place to start
+        out.append(bytes([SYNC, 0x40 | DATA_PID >> 8, DATA_PID & 255, 0x30 | count, 7 + stuff, start]) + clock.to_bytes(6, "big") + b"\xff" * stuff + pes[: room - stuff])
         count = (count + 1) & 15
         rest = pes[room - stuff :]
         n = len(rest) // (PACKET - 4)
@@ -106,7 +108,7 @@ def _section(packet: np.ndarray, table_id: int) -> bytes:
 
 
 def demux(media: bytes) -> dict:
-    """payload, packets, units, pts (of each unit), random_access (packet numbers), continuity_errors."""
+    """payload, packets, units, pts (of each unit), clocks, random_access (packet numbers), access_pts (their units' timestamps), continuity_errors."""
     if not media or len(media) % PACKET:
         raise ValueError("not whole packets")
     rows = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
@@ -137,19 +139,27 @@ def demux(media: bytes) -> dict:
     start = 4 + np.where(field & 2, 1 + rows[:, 4].astype(int), 0)
     start[~has] = PACKET
     flags = np.where((field & 2 != 0) & (rows[:, 4] > 0), rows[:, 5], 0)
+    timed = np.nonzero((flags & 0x10 != 0) & (rows[:, 4] >= 7))[0]
+    clocks = [int.from_bytes(rows[i, 6:12].tobytes(), "big") >> 15 for i in timed]
     data = rows[np.arange(PACKET) >= start[:, None]].tobytes()
     ends = np.cumsum(PACKET - start)
     first = np.nonzero(rows[:, 1] & 0x40)[0]
     begins = (ends - (PACKET - start))[first].tolist()
-    parts, pts = [], []
+    parts, pts, stamps = [], [], []
     for low, high in zip(begins, [*begins[1:], len(data)]):
         pes = data[low:high]
         if pes[:3] != b"\x00\x00\x01" or 6 + int.from_bytes(pes[4:6], "big") != len(pes):
             raise ValueError("damaged elementary packet")
         if pes[7] & 0x80:
-            pts.append((pes[9] >> 1 & 7) << 30 | (int.from_bytes(pes[10:12], "big") >> 1) << 15 | int.from_bytes(pes[12:14], "big") >> 1)
+            stamps.append((pes[9] >> 1 & 7) << 30 | (int.from_bytes(pes[10:12], "big") >> 1) << 15 | int.from_bytes(pes[12:14], "big") >> 1)
+            pts.append(stamps[-1])
+        else:
+            stamps.append(None)
         parts.append(pes[9 + pes[8] :])
-    return {"payload": b"".join(parts), "packets": len(pids), "units": len(parts), "pts": pts, "random_access": number[flags & 0x40 != 0].tolist(), "continuity_errors": errors}
+    points = np.nonzero(flags & 0x40 != 0)[0]
+    unit_of = np.searchsorted(first, points, "right") - 1
+    access = [stamps[u] if u >= 0 else None for u in unit_of]
+    return {"payload": b"".join(parts), "packets": len(pids), "units": len(parts), "pts": pts, "clocks": clocks, "random_access": number[points].tolist(), "access_pts": access, "continuity_errors": errors}
 
 
 def feature(x: dict) -> str:
@@ -160,7 +170,7 @@ def feature(x: dict) -> str:
 
 
 STREAM = "doc_id long, n_bytes long, media binary"
-READ = "payload: binary, packets: int, units: int, pts: array<long>, random_access: array<int>, continuity_errors: int, feature: string, error: string"
+READ = "payload: binary, packets: int, units: int, pts: array<long>, clocks: array<long>, random_access: array<int>, access_pts: array<long>, continuity_errors: int, feature: string, error: string"
 
 
 def to_streams(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -187,7 +197,7 @@ def read_stream(media: bytes | None) -> dict | None:
 def from_streams(df: DataFrame) -> DataFrame:
     """Adds `stream`, what reading the stored bytes of `media` gives."""
 
-    kinds = pa.struct([("payload", pa.binary()), ("packets", pa.int32()), ("units", pa.int32()), ("pts", pa.list_(pa.int64())), ("random_access", pa.list_(pa.int32())), ("continuity_errors", pa.int32()), ("feature", pa.string()), ("error", pa.string())])
+    kinds = pa.struct([("payload", pa.binary()), ("packets", pa.int32()), ("units", pa.int32()), ("pts", pa.list_(pa.int64())), ("clocks", pa.list_(pa.int64())), ("random_access", pa.list_(pa.int32())), ("access_pts", pa.list_(pa.int64())), ("continuity_errors", pa.int32()), ("feature", pa.string()), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, 2):
@@ -208,7 +218,9 @@ def digests(df: DataFrame) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         s["feature"].alias("feature"),
-        F.size(s["random_access"]).cast("long").alias("random_access_points"),
+        s["pts"].alias("timestamps"),
+        s["random_access"].alias("random_access_packets"),
+        s["access_pts"].alias("random_access_timestamps"),
         s["continuity_errors"].cast("long").alias("continuity_errors"),
     )
 
