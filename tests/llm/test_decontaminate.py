@@ -109,7 +109,7 @@ def test_near_finds_all_within_the_radius(spark):
     got = {(r["w"], r["item_id"], r["hamming"]) for r in dc.near(left, right).collect()}
     want = {(w, i, (f ^ g).bit_count()) for n, w, f in windows for i, m, g in items if n == m and (f ^ g).bit_count() <= 18}
     assert got == want and len(want) >= 12 * 19
-    # Of unrelated windows few share a probed block with an item.
+    assert dc.thresholds(18) == [4, 4, 4, 3] and [sum(t + 1 for t in dc.thresholds(r)) for r in (0, 1, 3, 7, 24)] == [1, 2, 4, 8, 25]
     assert len(dc.within(16, 4)) == 2517
 
 

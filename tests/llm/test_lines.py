@@ -124,3 +124,14 @@ def test_passages_of_uneven_lines_go_whole(spark, docs):
         got = cut(spark, docs, rows)
         assert got[1] == (rows[0][1], 0)
         assert all(got[k][0].split("\n") == [*own(k, 2), *own(-k - 1, 2)] for k, _ in rows[1:])
+
+
+def test_options_and_clash(spark, docs):
+    """Without the long passages a single line stays; a column named as the new one is replaced."""
+    one, two = " ".join(f"z{i}" for i in range(60)), passage(3, 8)
+    rows = [(k, "\n".join([*own(k, 2), one, *own(-k - 1, 2), *two])) for k in range(1, 5)]
+    short = {r["doc_id"]: r for r in lines.dedup_lines(docs(*rows).withColumn("lines_removed", F.lit("old")), long=False).collect()}
+    assert all(one in r["text"] for r in short.values()) and short[1]["lines_removed"] == 0
+    assert all(r["lines_removed"] >= 4 for k, r in short.items() if k > 1)
+    whole = lines.dedup_lines(docs(*rows).withColumn("lines_removed", F.lit("old")))
+    assert whole.columns.count("lines_removed") == 1 and all((one in r["text"]) == (r["doc_id"] == 1) for r in whole.collect())

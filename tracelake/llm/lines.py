@@ -17,6 +17,9 @@ chunk that occurs still earlier.
 Only hashes are counted over all chunks; texts move only for repeated ones. Grouping is by hash with map-side partial
 sums, so a chunk with a third of all occurrences is no heavier than another.
 
+The chunks of over LONG words may be one long line; with long=False only the content-defined chunks, of two lines and
+more, are taken.
+
 Null texts stay null. Lines end at line feeds; other characters belong to the line. Rows that repeat id and text are one
 document: none loses text to the other. Null ids sort first. Documents whose lines all go keep an empty text.
 """
@@ -50,7 +53,7 @@ def _reach(counts: Column, k: Column, most: int) -> Column:
     return F.when(done["sum"] > LONG, done)
 
 
-def chunks(lines: Column, classes: int = CLASSES) -> Column:
+def chunks(lines: Column, classes: int = CLASSES, long: bool = True) -> Column:
     """array<struct<s, e, h>> of the candidates: lines s to e - 1 (from 0) and the hash of their hashes."""
 
     def hashed(spans: Column, hashes: Column) -> Column:
@@ -89,12 +92,12 @@ def chunks(lines: Column, classes: int = CLASSES) -> Column:
 
     marks = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), _words(x).alias("c")))
     parts = lambda m: F.struct(F.transform(m, lambda x: x["h"]).alias("h"), F.transform(m, lambda x: x["c"]).alias("c"), F.size(m).alias("n"))
-    return _let(marks, lambda m: _let(parts(m), lambda v: F.array_distinct(F.concat(*(cut_up(v["h"], v["n"], r) for r in range(classes)), over_long(v["h"], v["c"])))))
+    return _let(marks, lambda m: _let(parts(m), lambda v: F.array_distinct(F.concat(*(cut_up(v["h"], v["n"], r) for r in range(classes)), *([over_long(v["h"], v["c"])] if long else [])))))
 
 
-def marked(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
+def marked(docs: DataFrame, classes: int = CLASSES, long: bool = True) -> DataFrame:
     """The same rows with `_spans`, array<struct<s, e, h, gone>>: the document's repeated chunks; gone: it isn't the chunk's first occurrence."""
-    found = stored(docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), F.inline(chunks(F.split("text", "\n"), classes))))
+    found = stored(docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), F.inline(chunks(F.split("text", "\n"), classes, long))))
     place = F.struct("doc_id", "th", "s")
     twice = found.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("h", "first")
     spans = found.join(twice, "h").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.struct("s", "e", "h", (place != F.col("first")).alias("gone")).alias("x"))
@@ -110,10 +113,11 @@ def collisions(rows: DataFrame) -> DataFrame:
     return bytes_.groupBy("h", "chunk").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
 
 
-def dedup_lines(docs: DataFrame, classes: int = CLASSES, removed: str | None = "lines_removed") -> DataFrame:
-    """The same rows with repeated chunks cut out of `text`, and how many lines went, under the name `removed` if it is given."""
+def dedup_lines(docs: DataFrame, classes: int = CLASSES, removed: str | None = "lines_removed", long: bool = True) -> DataFrame:
+    """The same rows with repeated chunks cut out of `text`, and how many lines went, under the name `removed` if it is given; a column of that name is replaced."""
     own = ("doc_id", "text")
-    rows = stored(marked(docs.select(*numbered(docs, own)), classes))
+    docs = docs.drop(removed) if removed else docs
+    rows = stored(marked(docs.select(*numbered(docs, own)), classes, long))
     odd = collisions(rows).limit(FEW + 1).collect()
     if len(odd) > FEW:
         bad = collisions(rows)
