@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -87,6 +88,35 @@ def test_identity(spark):
     assert [r["id"] for r in removed.collect()] == ["3"]
 
 
+def greedy(known, observed, least):
+    """All pairs by falling similarity, then paths; each end once."""
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    pairs = sorted((-like(set(a), set(b)), k, o) for k, a in known.items() for o, b in observed.items() if like(set(a), set(b)) >= least)
+    out, used = {}, set()
+    for _, k, o in pairs:
+        if k not in used and o not in out:
+            out[o] = k
+            used.add(k)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_identity_equals_greedy(spark, seed):
+    """Copies, empty sets, a line that all share, and near ones; two scopes."""
+    rng = random.Random(seed)
+    base = [sorted(rng.sample(range(1, 60), rng.randint(0, 12))) for _ in range(8)]
+    change = lambda s: sorted({99, *(x for x in s if rng.random() < 0.85)} if s else s)
+    rows, seen, want = [], [], {}
+    for scope in "ab":
+        known = {f"old/{i}": change(rng.choice(base)) for i in range(25)}
+        observed = {f"new/{i}": change(rng.choice(base)) for i in range(25)}
+        rows += [(scope, k, f"{scope}{k}", k, s) for k, s in known.items()]
+        seen += [(scope, o, o, s) for o, s in observed.items()]
+        want |= {(scope, o): f"{scope}{k}" for o, k in greedy(known, observed, 0.6).items()}
+    resolved, _ = identity.resolve(spark.createDataFrame(rows, "scope string, path string, id string, hash string, shingles array<bigint>"), spark.createDataFrame(seen, "scope string, path string, hash string, shingles array<bigint>"))
+    assert {(r["scope"], r["path"]): r["id"] for r in resolved.where("status <> 'added'").collect()} == want
+
+
 def test_greedy_assignment_is_one_to_one(spark):
     pairs = spark.createDataFrame([("s", "k1", "o1", 0.9), ("s", "k1", "o2", 0.95), ("s", "k2", "o2", 0.8), ("s", "k2", "o1", 0.7)], "scope string, known string, observed string, similarity double")
     assert {(r["known"], r["observed"]) for r in identity.assign(pairs).collect()} == {("k1", "o2"), ("k2", "o1")}

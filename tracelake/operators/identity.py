@@ -2,13 +2,14 @@
 
 Known (scope, id, path, hash, shingles) and observed (scope, path, hash, shingles) artifacts of one level. An equal path
 is the same artifact. What disappeared and what appeared in a scope is matched one to one by falling similarity, then
-known path, then observed path.
+known path, then observed path. Shingle sets are arrays without repeats.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from .coupling import checkpointed
@@ -16,13 +17,36 @@ from .coupling import checkpointed
 THRESHOLD = 0.6
 
 
+def paired(gone: DataFrame, new: DataFrame) -> DataFrame:
+    """(scope, known, observed): artifacts of equal shingle sets, the k-th path of either side with each other.
+
+    Equal sets have similarity 1, so the greedy walk takes these pairs first, in the order of their paths; by rank they
+    take one window each instead of a pair for every two copies.
+    """
+    rank = F.row_number().over(Window.partitionBy("scope", F.array_sort("shingles")).orderBy("path"))
+    side = lambda df, name: df.select("scope", F.array_sort("shingles").alias("shingles"), F.col("path").alias(name), rank.alias("_rank"))
+    return side(gone, "known").join(side(new, "observed"), ["scope", "shingles", "_rank"]).select("scope", "known", "observed")
+
+
 def candidates(gone: DataFrame, new: DataFrame, least: float) -> DataFrame:
-    """(scope, known, observed, similarity): pairs of a scope that share a shingle and are similar enough; empty sets match each other."""
+    """(scope, known, observed, similarity): pairs of a scope that are similar enough, by prefix filter.
+
+    Shingles are ordered from the rarest in their scope. Two sets that similar share one of the first
+    n - ceil(least * n) + 1 of each, and their sizes differ by no more than `least` allows, so only such pairs are
+    compared: a line that all files have brings none of them together.
+    """
+    sets = gone.select("scope", F.lit(0).alias("side"), "path", "shingles").union(new.select("scope", F.lit(1), "path", "shingles")).where(F.size("shingles") > 0)
+    each = sets.select("scope", "side", "path", F.explode("shingles").alias("s"))
+    often = each.groupBy("scope", "s").agg(F.count("*").alias("often"))
+    ordered = each.join(often, ["scope", "s"]).groupBy("scope", "side", "path").agg(F.array_sort(F.collect_list(F.struct("often", "s"))).alias("o"))
+    n = F.size("o")
+    first = ordered.select("scope", "side", "path", n.alias("n"), F.explode(F.transform(F.slice("o", 1, (n - F.ceil(n * least) + 1).cast("int")), lambda x: x["s"])).alias("s"))
+    left = first.where("side = 0").select("scope", "s", F.col("path").alias("known"), "n")
+    right = first.where("side = 1").select("scope", "s", F.col("path").alias("observed"), F.col("n").alias("m"))
+    met = left.join(right, ["scope", "s"]).where(F.least("n", "m") >= F.greatest("n", "m") * least - 1e-9).select("scope", "known", "observed").distinct()
     g = gone.select("scope", F.col("path").alias("known"), F.col("shingles").alias("ks"))
-    n = new.select("scope", F.col("path").alias("observed"), F.col("shingles").alias("ns"))
-    met = g.select("scope", "known", F.explode("ks").alias("s")).join(n.select("scope", "observed", F.explode("ns").alias("s")), ["scope", "s"]).select("scope", "known", "observed").distinct()
-    empty = g.where(F.size("ks") == 0).join(n.where(F.size("ns") == 0), "scope").select("scope", "known", "observed")
-    scored = met.union(empty).join(g, ["scope", "known"]).join(n, ["scope", "observed"]).withColumn("similarity", S.jaccard(F.col("ks"), F.col("ns")))
+    h = new.select("scope", F.col("path").alias("observed"), F.col("shingles").alias("ns"))
+    scored = met.join(g, ["scope", "known"]).join(h, ["scope", "observed"]).withColumn("similarity", S.jaccard(F.col("ks"), F.col("ns")))
     return scored.where(F.col("similarity") >= least).select("scope", "known", "observed", "similarity")
 
 
@@ -31,6 +55,7 @@ def assign(pairs: DataFrame) -> DataFrame:
 
     The order (similarity falling, known, observed) has no ties, so a pair that is first for both its ends is what the
     greedy walk would take, whatever else there is. Each round takes all such pairs and drops those that share an end.
+    Equal sets, where most ties would be, are matched before (paired).
     """
     left, taken = checkpointed(pairs), None
     place = F.struct((-F.col("similarity")).alias("s"), "known", "observed")
@@ -50,7 +75,9 @@ def resolve(known: DataFrame, observed: DataFrame, least: float = THRESHOLD) ->
     same = observed.join(k, ["scope", "path"])
     edited = same.select("scope", "path", "id", F.when(F.col("hash") == F.col("old"), "unchanged").otherwise("modified").alias("status"), F.lit(None).cast("string").alias("from_path"))
     gone, new = known.join(observed, ["scope", "path"], "left_anti"), observed.join(known, ["scope", "path"], "left_anti")
-    matched = assign(candidates(gone, new, least))
+    equal = checkpointed(paired(gone, new))
+    rest = lambda df, name: df.join(equal.select("scope", F.col(name).alias("path")), ["scope", "path"], "left_anti")
+    matched = equal.union(assign(candidates(rest(gone, "known"), rest(new, "observed"), least)).select("scope", "known", "observed"))
     ids = gone.select("scope", F.col("path").alias("known"), "id")
     renamed = matched.join(ids, ["scope", "known"]).select(
         "scope", F.col("observed").alias("path"), "id", F.when(S.container_of(F.col("known")) == S.container_of(F.col("observed")), "renamed").otherwise("moved").alias("status"), F.col("known").alias("from_path")

@@ -60,14 +60,15 @@ def similar_pairs(shingles: DataFrame, least: float = 0.5) -> DataFrame:
     """(a, b, jaccard) of sets (id, shingles) with at least `least`: exact, by prefix filtering.
 
     Shingles are ordered from the rarest; two sets that similar share one among their first n - ceil(least * n) + 1, so
-    only these meet. Equal sets are folded first and matched by their class, so copies aren't paired within the join.
+    only these meet, and of these only pairs whose sizes allow it. Equal sets are folded first and matched by their class, so copies aren't paired within the join.
     """
     sets = shingles.where(F.size("shingles") > 0).groupBy("shingles").agg(F.min("id").alias("rep"))
     df = sets.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("df"))
     ranked = sets.select("rep", F.explode("shingles").alias("s")).join(df, "s").groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "s"))), lambda x: x["s"]).alias("o"))
     n = F.size("o")
-    prefix = ranked.select("rep", F.explode(F.slice("o", 1, (n - F.ceil(n * least) + 1).cast("int"))).alias("s"))
-    pairs = prefix.alias("x").join(prefix.alias("y"), F.expr("x.s = y.s AND x.rep < y.rep")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    prefix = ranked.select("rep", n.alias("n"), F.explode(F.slice("o", 1, (n - F.ceil(n * least) + 1).cast("int"))).alias("s"))
+    fits = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * least - 1e-9
+    pairs = prefix.alias("x").join(prefix.alias("y"), F.expr("x.s = y.s AND x.rep < y.rep")).where(fits).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     side = lambda name: sets.select(F.col("rep").alias(name), F.col("shingles").alias(f"s_{name}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("jaccard", S.jaccard(F.col("s_a"), F.col("s_b")))
     return joined.where(F.col("jaccard") >= least).select("a", "b", "jaccard")
