@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import inspect
 import json
 from collections.abc import Callable, Sequence
 
@@ -375,7 +376,7 @@ class Engine:
         elif method == "ping":
             result = {}
         elif method == "tools/list":
-            result = {"tools": [{"name": n, "description": d, "inputSchema": {"type": "object"}} for n, (d, _) in self.tools().items()]}
+            result = {"tools": [{"name": n, "description": d, "inputSchema": _schema(f)} for n, (d, f) in self.tools().items()]}
         elif method == "tools/call":
             p = request.get("params") or {}
             if p.get("name") not in self.tools():
@@ -395,6 +396,13 @@ class Engine:
         return {"_type": "https://in-toto.io/Statement/v1", "subject": [{"name": "git", "digest": {"gitCommit": sha}}], "predicateType": "tracelake/provenance/v1", "predicate": {"sessions": rows}}
 
 
+def _schema(tool: Callable) -> dict:
+    """What a tool takes, from its signature."""
+    given = inspect.signature(tool).parameters.values()
+    kinds = {"k": "integer", "line": "integer"}
+    return {"type": "object", "properties": {p.name: {"type": kinds.get(p.name, "string")} for p in given}, "required": [p.name for p in given if p.default is p.empty]}
+
+
 def sign(statement: dict, key: bytes) -> dict:
     """The statement in an envelope with a keyed digest; there is no public-key signature without a library for it."""
     body = json.dumps(statement, sort_keys=True, default=str)

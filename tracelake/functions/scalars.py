@@ -204,6 +204,7 @@ SECRETS = {
     "github_token": r"\b(?:gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,})\b",
     "slack_token": r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b",
 }
+#: Findings and redactions are compared by what these match.
 URL_CREDENTIALS = r"(://[^:@/\s]+:)([^@/\s]+)(@)"
 ENV_SECRET = r"""(?i)\b([a-z0-9_]*(?:key|token|secret|password|passwd|pwd|credential)[a-z0-9_]*)\s*([:=])\s*["']?([^"'\s]{6,})["']?"""
 UNIX_PATH = r"(?<![:\w])/(?:[A-Za-z0-9._-]+/)+[A-Za-z0-9._-]+"

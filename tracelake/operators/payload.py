@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .coupling import checkpointed
+from .tables import append_new
 
 PARTS = 4096
 
@@ -117,6 +118,11 @@ def rewind(manifest: DataFrame, store: DataFrame, checkpoint_id: str, root: str)
     return n
 
 
+def remember(cache: DataFrame, summaries: DataFrame) -> DataFrame:
+    """The summaries (key, ...) to append to the cache: of keys that it doesn't have, the first by content."""
+    return append_new(cache, summaries, ["key"], [c for c in summaries.columns if c != "key"])
+
+
 def cached_summaries(turns: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Turns whose summary is cached, and those a summariser has yet to see."""
     return turns.join(cache, "key"), turns.join(cache.select("key"), "key", "left_anti")

@@ -257,3 +257,11 @@ def observe_two_repos(spark: SparkSession, d: str) -> DataFrame:
     files = rows.where("event_type <> 'signup'")
     got = pipeline.observe(pipeline.session_repo(t, files), files.select("repo", "path", "ts"))
     return got.select("session_id", "ordinal", "repo", F.array_join("drift.undeclared", ",").alias("undeclared"), F.size("drift.phantom").alias("phantom"), F.col("drift.score").alias("score"))
+
+
+@query("""SELECT conv_id, turn, min((turn * 7919) % 1000) OVER w AS started, len(list_distinct(list(role) OVER w)) AS roles FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)""")
+def session_start(spark: SparkSession, d: str) -> DataFrame:
+    """The first moment of a session up to each turn, whose moments are out of order, and what was declared by then."""
+    moment = F.timestamp_seconds((F.col("turn") * 7919) % 1000)
+    t = turns(spark, d).select(F.col("conv_id").alias("session_id"), F.col("turn").alias("ordinal"), moment.alias("timestamp"), F.array("role").alias("declared"))
+    return pipeline.declared_turns(t).select(F.col("session_id").alias("conv_id"), F.col("ordinal").alias("turn"), F.unix_seconds("started").alias("started"), F.size("declared_so_far").alias("roles"))

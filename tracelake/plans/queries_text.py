@@ -10,7 +10,7 @@ from ..functions import scalars as S
 from ..operators import dlp, reports
 from .standins import table
 
-ENV = r"""(?i)\b([a-z0-9_]*(?:key|token|secret|password|passwd|pwd|credential)[a-z0-9_]*)\s*([:=])\s*["'']?([^"''\s]{6,})["'']?"""
+ENV = S.ENV_SECRET.replace("'", "''")
 KINDS = {"private_key": r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z0-9 ]*PRIVATE KEY-----", **{k: v for k, v in S.SECRETS.items() if k != "private_key"}, "url_credentials": S.URL_CREDENTIALS, "env_secret": ENV}
 SQL_KINDS = "list_sort(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{k}' END" for k, p in KINDS.items()) + "], lambda x: x IS NOT NULL))"
 
@@ -142,3 +142,31 @@ def trivial_router(spark: SparkSession, d: str) -> DataFrame:
 def module_paths(spark: SparkSession, d: str) -> DataFrame:
     host, path = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1), F.regexp_replace("url", "^[a-z]+://[^/]+/", "")
     return table(spark, d, "pages").select("page_id", S.container_of(F.concat(host, F.lit("::x.y"))).alias("container"), S.module_path(path).alias("module"))
+
+
+@query("""SELECT p_partkey, 'art_' || substr(sha256('art' || chr(31) || p_brand || chr(31) || p_type || chr(31)), 1, 32) AS id, 'sha256:' || sha256(p_name) AS ref, substr(sha256(p_name || chr(31)), 1, 32) AS key FROM part""")
+def identifiers(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of parts, one of them null, payload addresses and summary keys."""
+    none = F.lit(None).cast("string")
+    return table(spark, d, "part").select("p_partkey", S.content_id("art", F.col("p_brand"), F.col("p_type"), none).alias("id"), S.content_ref(F.col("p_name")).alias("ref"), S.summary_key(F.col("p_name"), none).alias("key"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, left(text, 20) || repeat(chr(1), (doc_id % 5)::INT) AS t FROM documents), n AS (SELECT *, length(t) - length(regexp_replace(t, '[\x{FFFD}\x01-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) AS bad FROM t)
+SELECT doc_id, CASE WHEN length(t) > 0 THEN bad::DOUBLE / length(t) <= 0.1 ELSE true END AS readable FROM n WHERE t IS NOT NULL""")
+def readable_payload(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.left("text", F.lit(20)), F.repeat(F.lit(chr(1)), (F.col("doc_id") % 5).cast("int")))
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", S.is_readable(text).alias("readable"))
+
+
+@query("""WITH t AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN repeat('a1', 20) ELSE sha256(p_name) END AS t FROM part)
+SELECT p_partkey, length(t) >= 32 AND regexp_matches(t, '[0-9]') AND regexp_matches(t, '[A-Za-z]') AND list_entropy(string_split(t, '')) >= 3.75 AS opaque FROM t""")
+def high_entropy(spark: SparkSession, d: str) -> DataFrame:
+    token = F.when(F.col("p_partkey") % 3 == 0, F.repeat(F.lit("a1"), F.lit(20))).otherwise(F.sha2("p_name", 256))
+    return table(spark, d, "part").select("p_partkey", token.alias("t")).select("p_partkey", S.is_high_entropy(F.col("t"), 3.75).alias("opaque"))
+
+
+@query("""SELECT event_id, (p = '/w/r1' OR starts_with(p, '/w/r1/')) AS inside FROM (SELECT event_id, '/w/r' || (user_id % 12) || CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN '/src' ELSE '-old' END AS p FROM events)""")
+def project_scope(spark: SparkSession, d: str) -> DataFrame:
+    tail = F.element_at(F.array(F.lit(""), F.lit("/src"), F.lit("-old")), (F.col("event_id") % 3 + 1).cast("int"))
+    cwd = F.concat(F.lit("/w/r"), (F.col("user_id") % 12).cast("string"), tail)
+    return table(spark, d, "events").select("event_id", S.in_scope(cwd, "/w/r1/").alias("inside"))
