@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -76,3 +78,52 @@ def test_rare_and_many_languages_are_kept(docs, corpus):
     rows = [(5000 + 10 * i + k, " ".join("".join(rng.choice(parts) for _ in range(2)) for _ in range(40)), lang, "src1") for i, (lang, parts) in enumerate(own.items()) for k in range(3)]
     got = {r["doc_id"]: r["lang"] for r in language.accepted(docs(*corpus, *rows)).collect()}
     assert got == {r[0]: r[2] for r in [*corpus, *rows]}
+
+
+def brute_posteriors(rows):
+    """The fused posterior of each row from the definitions, with dictionaries; every row is in the sample."""
+    langs = sorted({r[2] for r in rows if r[2]})
+    grams = {}
+    for k, r in enumerate(rows):
+        s = [int(language.SEEN[b]) for b in (r[1] or "").encode()]
+        grams[k] = [((a * 40503 + b) * 2654 + c) % 2**32 % 32749 % language.BUCKETS for a, b, c in zip(s, s[1:], s[2:])]
+    letters = [sum(int(language.SEEN[b]) != 32 for b in (r[1] or "").encode()) for r in rows]
+    counts = {lang: Counter(g for k, r in enumerate(rows) if r[2] == lang for g in grams[k]) for lang in langs}
+    sizes = {lang: sum(c.values()) for lang, c in counts.items()}
+    log = lambda lang, g: math.log((counts[lang][g] + 0.5) / (sizes[lang] + 0.5 * language.BUCKETS))
+    text_ = [np.array([language.TEMPER * sum(log(lang, g) for g in grams[k]) for lang in langs]) for k in range(len(rows))]
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    own = [soft(t) * (n > 0) for t, n in zip(text_, letters)]
+    part = lambda host, level: {"suffix": host.rsplit(".", 1)[1] if "." in host else "", "domain": ".".join(host.split(".")[-2:]), "host": host}[level]
+    hosts = [r[3] or "" for r in rows]
+    out = {}
+    for k, r in enumerate(rows):
+        others = lambda keep: sum((own[j] for j in range(len(rows)) if keep(j)), np.zeros(len(langs))) - own[k]  # noqa: B023, E731
+        prior = others(lambda j: True) + 1
+        prior = prior / prior.sum()
+        for level in ("suffix", "domain", "host"):
+            seen = others(lambda j: part(hosts[j], level) == part(hosts[k], level))  # noqa: B023
+            prior = (seen + language.STRENGTH * prior) / (seen.sum() + language.STRENGTH)
+        claim = np.zeros(len(langs))
+        if r[2]:
+            honest = np.array([language.HONEST if lang == r[2] else (1 - language.HONEST) / len(langs) for lang in langs])
+            claim = np.log((others(lambda j: rows[j][2] == r[2]) + language.DECLARED * honest) / (others(lambda j: True) + language.DECLARED))  # noqa: B023
+        out[k] = soft(text_[k] + np.log(prior) + claim) if letters[k] else None
+    return langs, out
+
+
+def test_posteriors_equal_brute_force(docs):
+    """Text, host levels and declarations, with ties, blank texts and rows that repeat."""
+    rng = random.Random(9)
+    hosts = ["a.example.de", "b.example.de", "c.other.fr", "plain", None]
+    rows = [(k, text(rng.choice(sorted(SYLLABLES)), rng, rng.randint(1, 5)), rng.choice([*sorted(SYLLABLES), None]), rng.choice(hosts)) for k in range(60)]
+    rows += [(60, "zz", "de", "plain"), (61, "zz", "de", "plain"), (62, "", "fr", "plain"), (63, None, None, None), (64, "12 3", "en", "a.example.de")]
+    langs, want = brute_posteriors(rows)
+    got = {r["x0"]: r for r in language.documents(docs(*rows)).collect()}
+    for k, post in want.items():
+        if post is None:
+            assert (got[k]["found_lang"], got[k]["posterior"], got[k]["accepted"]) == ("und", 0.0, False)
+        else:
+            assert got[k]["posterior"] == pytest.approx(post.max(), abs=1e-4) and got[k]["accepted"] == (post.max() >= language.LEAST)
+            if got[k]["accepted"]:
+                assert post[langs.index(got[k]["found_lang"])] == pytest.approx(post.max(), abs=1e-4)
