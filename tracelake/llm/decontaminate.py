@@ -13,9 +13,10 @@ Jaccard similarity of at least SIMILARITY with it: the sum over shingles of the
 2. In documents with an anchor the shingles that are an item's give the windows to look at: each start that lines up
    such a shingle with its place in the item, and those up to a fifth of the item's shingles to either side, since
    words put in or left out shift the window by one each. Words are hashed once, shingles are hashes of word hashes.
+   Documents with fewer than four fifths of an item's shingles have no window for it.
 3. Each window gets a SimHash of its shingles; windows with the same words are one. Its 64 bits and the item's are cut
-   into BLOCKS blocks. Two fingerprints within RADIUS bits differ in at most RADIUS // BLOCKS bits of some block, so
-   the item's side asks with all values within so many bits of each of its blocks, and joining on (words, block
+   into BLOCKS blocks. Two fingerprints within RADIUS bits are within some block's threshold, which add up to RADIUS less
+   three, so the item's side asks with all values within so many bits of each of its blocks, and joining on (words, block
    number, value) finds all pairs within RADIUS.
 4. Windows within RADIUS bits are cut out of their texts again and verified by the exact similarity of their shingles.
    RADIUS is two standard deviations and more above the distance that similarity 0.8 has on average (9.7 bits).
@@ -38,7 +39,7 @@ from .lines import _let
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 18, 4
 BITS = 64
 #: Bits of the anchors' map, and about how many documents the anchors' choice is made by.
-MARKS, SAMPLE = 1 << 20, 4096
+MARKS, SAMPLE = 1 << 18, 4096
 SPACE = r"[ \t\n\x0B\f\r]+"
 
 
@@ -90,14 +91,26 @@ def within(width: int, bits: int) -> list[int]:
     return [sum(1 << b for b in some) for n in range(bits + 1) for some in combinations(range(width), n)]
 
 
+def longs(numbers: list[int]) -> Column:
+    """An array of 64-bit numbers, from one literal that Catalyst folds."""
+    signed = " ".join(str(x - (1 << 64) if x >> 63 else x) for x in numbers)
+    return F.split(F.lit(signed), " ").cast("array<long>") if numbers else F.array().cast("array<long>")
+
+
+def thresholds(radius: int, blocks: int = BLOCKS) -> list[int]:
+    """How many bits may differ in each block so that two fingerprints within the radius are within one of them: were all exceeded, radius + 1 bits would differ."""
+    return [(radius + 1) // blocks + (k < (radius + 1) % blocks) - 1 for k in range(blocks)]
+
+
 def near(fps: DataFrame, items: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """(n, w, item_id, hamming) of all windows (n, w, fp) and items (item_id, n, fp) of one length within `radius` bits."""
-    masks = F.array(*(F.lit(m).cast("long") for m in within(BITS // blocks, radius // blocks)))
+    masks = F.array(*(longs(within(BITS // blocks, t) if t >= 0 else []) for t in thresholds(radius, blocks)))
     left = fps.select("n", "w", "fp", F.inline(blocks_of(F.col("fp"), blocks)))
     asked = items.select("item_id", "n", F.col("fp").alias("item_fp"), F.inline(blocks_of(F.col("fp"), blocks)))
-    asked = asked.select("item_id", "n", "item_fp", "block", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("value")))).alias("value"))
+    asked = asked.select("item_id", "n", "item_fp", "block", F.explode(F.transform(F.get(masks, F.col("block")), lambda m: m.bitwiseXOR(F.col("value")))).alias("value"))
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    return left.join(asked, ["n", "block", "value"]).withColumn("hamming", apart).where(F.col("hamming") <= radius).select("n", "w", "item_id", "hamming").distinct()
+    # Thousands of values an item are more than Spark would guess: they are dealt, not broadcast.
+    return left.join(asked.hint("merge"), ["n", "block", "value"]).withColumn("hamming", apart).where(F.col("hamming") <= radius).select("n", "w", "item_id", "hamming").distinct()
 
 
 def anchors(items: DataFrame, rarity: DataFrame | None = None) -> DataFrame:
@@ -125,24 +138,23 @@ def anchors(items: DataFrame, rarity: DataFrame | None = None) -> DataFrame:
 
 
 def _bits(h: Column) -> list[Column]:
-    """Of a word's hash three numbers below MARKS."""
+    """Of a hash three numbers below MARKS."""
     return [F.shiftrightunsigned(h, 21 * i).bitwiseAND(F.lit(MARKS - 1).cast("long")).cast("int") for i in range(3)]
 
 
-def marked(text: Column, marks: DataFrame) -> Column:
-    """Whether a text has a word of `marks`, or is let through by accident."""
-    longs = [0] * (MARKS // 64)
-    for r in marks.select(F.explode(F.array(*_bits(F.xxhash64("word")))).alias("bit")).distinct().collect():  # MARKS rows at most
-        longs[r["bit"] >> 6] |= 1 << (r["bit"] & 63)
-    # One literal, which Catalyst folds into an array.
-    held = F.split(F.lit(" ".join(str(x - (1 << 64) if x >> 63 else x) for x in longs)), " ").cast("array<long>")
+def marked(known: DataFrame):
+    """Whether a hash is one of `known` (a column h), or is let through by accident: a test by a bitmap of MARKS bits."""
+    map_ = [0] * (MARKS // 64)
+    for r in known.select(F.explode(F.array(*_bits(F.col("h")))).alias("bit")).distinct().collect():  # MARKS rows at most
+        map_[r["bit"] >> 6] |= 1 << (r["bit"] & 63)
+    held = longs(map_)
     bit = lambda b: F.call_function("shiftrightunsigned", F.get(held, F.shiftright(b, 6)), b.bitwiseAND(63)).bitwiseAND(F.lit(1).cast("long")) == 1
 
-    def known(h: Column) -> Column:
+    def test(h: Column) -> Column:
         a, b, c = map(bit, _bits(h))
         return a & b & c
 
-    return F.exists(hashed(words(text)), known)
+    return test
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least: float = SIMILARITY, blocks: int = BLOCKS) -> DataFrame:
@@ -155,7 +167,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, le
     some = cut.where(F.pmod(F.xxhash64("doc_id", "th"), F.lit(1 << 20)) < min(1 << 20, share)).select(F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
     theirs = items.select(F.explode("words").alias("word")).distinct()
     rarity = some.join(theirs, "word", "left_semi").groupBy("word").agg(F.count("*").alias("seen"))
-    held = stored(cut.where(marked(F.col("text"), anchors(items, rarity).select("word").distinct())))
+    held = stored(cut.where(F.exists(hashed(words(F.col("text"))), marked(anchors(items, rarity).select(F.xxhash64("word").alias("h"))))))
 
     # Shingles of the items in the documents that have an anchor: each lines a window up.
     of_items = items.select("item_id", F.size("words").alias("n"), F.size("h").alias("m"), F.posexplode("h").alias("j", "h"))
@@ -169,8 +181,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, le
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return spark.createDataFrame([], docs.select("doc_id").schema.add("th", "long").add("item_id", benchmark.schema["item_id"].dataType).add("start", "integer").add("n_words", "integer").add("hamming", "integer").add("similarity", "double"))
+    # A window that matches has four fifths of the item's shingles, so its document has as many places that hold one.
+    same = hits.groupBy("doc_id", "th", "len", "item_id", "n", "m").agg(F.collect_set("i").alias("places"), F.collect_set(F.col("i") - F.col("j")).alias("at"))
+    same = stored(same.where(F.size("places") >= F.ceil(F.col("m") * least - 1e-9)).drop("places", "item_id"))
+    held = stored(held.where(marked(same.select(F.col("th").alias("h")))(F.col("th"))))
     slack = F.floor(F.col("m") * (1 - least) + 1e-9).cast("int")
-    starts = hits.select("doc_id", "th", "len", "n", (F.col("i") - F.col("j")).alias("at"), slack.alias("slack")).distinct()
+    starts = same.select("doc_id", "th", "len", "n", slack.alias("slack"), F.explode("at").alias("at")).distinct()
     starts = starts.select("doc_id", "th", "len", "n", F.explode(F.sequence(F.col("at") - F.col("slack"), F.col("at") + F.col("slack"))).alias("at"))
     starts = starts.where("at < len").select("doc_id", "th", F.greatest("at", F.lit(0)).alias("start"), "n").distinct()
 
