@@ -58,7 +58,7 @@ def shingles(w: Column, k: int = SHINGLE) -> Column:
 
 
 def shingle_hashes(h: Column, k: int = SHINGLE) -> Column:
-    """Hashes of the shingles of an array of word hashes; beyond its end are nulls, which a hash passes over."""
+    """Hashes of the shingles of an array of word hashes, which is read several times; beyond its end are nulls, which a hash passes over."""
     places = F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0)))
     return F.when(F.size(h) > 0, F.transform(places, lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(k))))).otherwise(F.array().cast("array<long>"))
 
@@ -161,7 +161,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, le
     """(doc_id, th, item_id, start, n_words, hamming, similarity): the best window of each document and item that match. th is the text's hash."""
     spark = docs.sparkSession
     items = stored(benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0).distinct())
-    items = items.withColumn("h", shingle_hashes(hashed(F.col("words"))))
+    items = items.withColumn("h", _let(hashed(F.col("words")), lambda h: shingle_hashes(h)))
     cut = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), "text")
     share = -(-(SAMPLE << 20) // max(1, docs.count()))
     some = cut.where(F.pmod(F.xxhash64("doc_id", "th"), F.lit(1 << 20)) < min(1 << 20, share)).select(F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
@@ -207,13 +207,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, le
     windows = stored(inlined(starts, named))
     one = F.min(F.struct("doc_id", "th", "start")).alias("x")
     kinds = stored(windows.groupBy("n", "w").agg(one).select("n", "w", "x.*"))
-    signed = inlined(kinds, lambda w, places: _let(hashed(w), lambda h: F.transform(places, lambda p: F.struct(p["n"].alias("n"), p["w"].alias("w"), shingle_hashes(part(h, p)).alias("hashes")))))
+    signed = inlined(kinds, lambda w, places: _let(hashed(w), lambda h: F.transform(places, lambda p: F.struct(p["n"].alias("n"), p["w"].alias("w"), _let(part(h, p), lambda x: shingle_hashes(x)).alias("hashes")))))
     item_fps = simhash(items.select("item_id", F.size("words").alias("n"), "h"), "h", ["item_id", "n"])
     close = stored(near(simhash(signed, "hashes", ["n", "w"]), item_fps, radius, blocks))
 
     # Exact: equal shingles by their words, with how often they stand on either side.
     wanted = kinds.join(close.select("n", "w").distinct(), ["n", "w"])
-    mine = inlined(wanted, lambda w, places: F.transform(places, lambda p: F.struct(p["n"].alias("n"), p["w"].alias("w"), shingles(part(w, p)).alias("shingles"))))
+    mine = inlined(wanted, lambda w, places: F.transform(places, lambda p: F.struct(p["n"].alias("n"), p["w"].alias("w"), _let(part(w, p), lambda x: shingles(x)).alias("shingles"))))
     mine = mine.select("n", "w", F.size("shingles").alias("mine"), F.explode("shingles").alias("s")).groupBy("n", "w", "mine", "s").agg(F.count("*").alias("a"))
     other = items.select("item_id", F.size("h").alias("theirs"), F.explode(shingles(F.col("words"))).alias("s")).groupBy("item_id", "theirs", "s").agg(F.count("*").alias("b"))
     common = close.join(mine, ["n", "w"]).join(other, ["item_id", "s"]).groupBy("n", "w", "item_id", "hamming", "mine", "theirs").agg(F.sum(F.least("a", "b")).alias("common"))
