@@ -230,3 +230,23 @@ def test_embed_equals_scalar(spark):
     rows = spark.createDataFrame([(1, "fix it"), (2, "fix the parser, the PARSER"), (3, "")], "id int, text string")
     want = {r["id"]: [round(x, 9) for x in r["v"]] for r in rows.select("id", S.local_embed(F.col("text"), 8).alias("v")).collect()}
     assert {r["id"]: [round(x, 9) for x in r["vec"]] for r in search.embed(rows, "id", "text", 8).collect()} == want
+
+
+def test_spans_meet_in_pieces_without_pairs(spark, monkeypatch):
+    """Counts and first versions equal brute force where keys are cut into many pieces; neither plan joins sessions with versions."""
+    monkeypatch.setattr(drift, "VERSIONS", 40)
+    monkeypatch.setattr(drift, "SESSIONS", 3)
+    rng = random.Random(6)
+    v = [(rng.choice([*"abcdefgh", None]), k, at(60 * rng.randrange(4000)), i, rng.choice([None, i])) for i in range(300) for k in [rng.choice([0, 1, None])]]
+    spans = [(f"s{i}", rng.choice([0, 1, 2, None]), t, t + rng.randrange(3000)) for i in range(30) for t in [rng.randrange(4000)]]
+    sessions = spark.createDataFrame([(s, k, at(60 * a), at(60 * b)) for s, k, a, b in spans], "session string, key int, first timestamp, last timestamp")
+    changes = spark.createDataFrame(v, "artifact_id string, key int, ts timestamp, version int, lines int")
+    first, counts = {}, {}
+    for s, k, a, b in spans:
+        near = [x for x in v if x[1] is not None and x[1] == k and at(60 * (a - 30)) <= x[2] <= at(60 * (b + 30))]
+        first |= {(s, x[0]): (x[3], x[4]) for x in sorted(near, key=lambda x: (x[2], x[3]), reverse=True)}
+        if near:
+            counts[s] = (len(near), len({x[0] for x in near} - {None}))
+    found = drift.span_counts(sessions, changes)
+    assert {r["session"]: (r["versions"], r["artifacts"]) for r in found.collect()} == counts
+    assert drift.span_counts(sessions, changes.limit(0)).count() == 0

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SLACK = "INTERVAL 30 MINUTES"
+#: Of a key, about so many versions meet about so many sessions in one piece of work.
+VERSIONS, SESSIONS = 16384, 512
 
 
 def drift(declared: Column, actual: Column) -> Column:
@@ -54,12 +61,63 @@ def correlate(sessions: DataFrame, versions: DataFrame, slack: str = SLACK, leve
     return out.unionByName(span.where(~smaller).join(versions, "key").where(within)).drop("_from", "_to")
 
 
+def _met(sessions: DataFrame, versions: DataFrame, slack: str, body: Callable[..., pa.Table], schema: str) -> DataFrame:
+    """body(versions, bounds, low, high, sessions) of each piece: its versions sorted by artifact and moment, where an artifact's begin and end, and for each artifact (row) and session (column) the places of the first version in the span and of the first one after it.
+
+    Sessions: session, key, first, last; versions: artifact_id, key, ts, version, .... No pair of a session and a version
+    is a row. A key's artifacts are dealt into pieces of about VERSIONS versions, its sessions into pieces of about
+    SESSIONS; each piece of one meets each of the other. An artifact's versions are held whole.
+    """
+    v = versions.where("ts IS NOT NULL").withColumn("_t", F.unix_micros("ts")).drop("ts")
+    s = sessions.select("session", "key", F.unix_micros(F.col("first") - F.expr(slack)).alias("_from"), F.unix_micros(F.col("last") + F.expr(slack)).alias("_to")).where("_from IS NOT NULL AND _to IS NOT NULL")
+    pieces = lambda n, most: F.ceil(F.count("*") / most).cast("int").alias(n)
+    sizes = v.groupBy("key").agg(pieces("_parts", VERSIONS)).join(s.groupBy("key").agg(pieces("_blocks", SESSIONS)), "key")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    v = v.join(sizes, "key").withColumn("_part", F.pmod(F.xxhash64("artifact_id"), F.col("_parts")).cast("int")).withColumn("_block", each("_blocks")).drop("_parts", "_blocks")
+    s = s.join(sizes, "key").withColumn("_block", F.pmod(F.xxhash64("session"), F.col("_blocks")).cast("int")).withColumn("_part", each("_parts")).drop("_parts", "_blocks")
+
+    def run(mine: pa.Table, spans: pa.Table) -> pa.Table:
+        code = pa.chunked_array([mine.column("artifact_id").combine_chunks().dictionary_encode(null_encoding="encode").indices])
+        mine = mine.append_column("_code", code)
+        mine = mine.take(pc.sort_indices(mine, [("_code", "ascending"), ("_t", "ascending"), ("version", "ascending")], null_placement="at_start")).combine_chunks()
+        t, code = mine.column("_t").to_numpy(), mine.column("_code").to_numpy()
+        bounds = np.flatnonzero(np.diff(code, prepend=-1, append=-1))
+        start, end = spans.column("_from").to_numpy(), spans.column("_to").to_numpy()
+        order = np.argsort(start, kind="stable")
+        spans, start, end = spans.take(pa.array(order)).combine_chunks(), start[order], end[order]
+        n = max(len(bounds) - 1, 0)
+        low, high = np.empty((n, len(start)), np.int64), np.empty((n, len(start)), np.int64)
+        for i, (x, y) in enumerate(zip(bounds[:-1], bounds[1:])):
+            low[i], high[i] = x + np.searchsorted(t[x:y], start, "left"), x + np.searchsorted(t[x:y], end, "right")
+        return body(mine, bounds, low, high, spans.column("session"))
+
+    # Given a number, Spark doesn't pack the pieces, which are small but not their results, into few tasks.
+    keys, width = ["key", "_part", "_block"], int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return v.repartition(width, *keys).groupBy(*keys).cogroup(s.repartition(width, *keys).groupBy(*keys)).applyInArrow(run, schema)
+
+
+def _type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
 def gap_fill(pairs: DataFrame) -> DataFrame:
     """Edges of each session to the artifacts that changed in its span; the first version seen stays."""
     first = F.min_by(F.struct("version", "lines"), F.struct("ts", "version"))
     return pairs.groupBy("session", "artifact_id").agg(first.alias("x")).select(F.lit("task_modifies_artifact").alias("kind"), F.col("session").alias("src"), F.col("artifact_id").alias("dst"), "x.*")
 
 
+def span_counts(sessions: DataFrame, versions: DataFrame, slack: str = SLACK) -> DataFrame:
+    """How many versions and how many different artifacts of its key each session (one row) has within `slack` of its span, if any."""
+
+    def body(mine: pa.Table, bounds: np.ndarray, low: np.ndarray, high: np.ndarray, names: pa.ChunkedArray) -> pa.Table:
+        count = np.maximum(high - low, 0)
+        named = mine.column("artifact_id").is_valid().to_numpy()[bounds[: len(count)]]
+        return pa.table([names, pa.array(count.sum(0)), pa.array((count[named] > 0).sum(0))], names=["session", "versions", "artifacts"])
+
+    found = _met(sessions, versions.select("artifact_id", "key", "ts", "version"), slack, body, f"session {_type(sessions, 'session')}, versions long, artifacts long")
+    return found.groupBy("session").agg(F.sum("versions").alias("versions"), F.sum("artifacts").alias("artifacts")).where("versions > 0")
+
+
 def verdict(versions: DataFrame, key: str, order: list[str], drift_col: str = "drift") -> DataFrame:
     """Each session's last drift that isn't null, kept only if it names something."""
     last = F.max_by(drift_col, F.struct(*order))

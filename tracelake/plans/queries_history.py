@@ -182,20 +182,20 @@ SPAN = """s AS (SELECT user_id, min(ts) AS f, max(ts) AS t FROM events WHERE eve
 j AS (SELECT s.user_id AS session, e.user_id AS artifact_id, e.event_id AS version, e.ts, CAST(floor(e.value * 10) AS BIGINT) AS lines FROM s JOIN events e ON e.event_type = 'purchase' AND e.user_id % 10 = s.user_id % 10 AND e.ts BETWEEN s.f - INTERVAL 30 MINUTE AND s.t + INTERVAL 30 MINUTE)"""
 
 
-def spans(spark: SparkSession, d: str) -> DataFrame:
+def spans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     v = versions(spark, d)
     sessions = v.where("event_type = 'error'").groupBy(F.col("artifact_id").alias("session")).agg(F.min("ts").alias("first"), F.max("ts").alias("last")).withColumn("key", F.col("session") % 10)
-    return drift.correlate(sessions, v.where("event_type = 'purchase'").select("artifact_id", F.col("id").alias("version"), "ts", "lines", (F.col("artifact_id") % 10).alias("key")))
+    return sessions, v.where("event_type = 'purchase'").select("artifact_id", F.col("id").alias("version"), "ts", "lines", (F.col("artifact_id") % 10).alias("key"))
 
 
 @query(f"WITH {SPAN} SELECT session, count(*) AS versions, count(DISTINCT artifact_id) AS artifacts FROM j GROUP BY 1")
 def interval_join(spark: SparkSession, d: str) -> DataFrame:
-    return spans(spark, d).groupBy("session").agg(F.count("*").alias("versions"), F.countDistinct("artifact_id").alias("artifacts"))
+    return drift.span_counts(*spans(spark, d))
 
 
 @query(f"WITH {SPAN} SELECT 'task_modifies_artifact' AS kind, session AS src, artifact_id AS dst, version, lines FROM (SELECT *, row_number() OVER (PARTITION BY session, artifact_id ORDER BY ts, version) AS rn FROM j) WHERE rn = 1")
 def gap_fill(spark: SparkSession, d: str) -> DataFrame:
-    return drift.gap_fill(spans(spark, d))
+    return drift.gap_fill(drift.correlate(*spans(spark, d)))
 
 
 @query("""SELECT conv_id, ordinal, count(*) AS records, min(turn) AS first_turn FROM (SELECT *, sum(CASE WHEN role = 'user' AND trim(text) <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT - 1 AS ordinal FROM conversations) WHERE ordinal >= 0 GROUP BY 1, 2""")
