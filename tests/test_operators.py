@@ -247,6 +247,7 @@ def test_spans_meet_in_pieces_without_pairs(spark, monkeypatch):
         first |= {(s, x[0]): (x[3], x[4]) for x in sorted(near, key=lambda x: (x[2], x[3]), reverse=True)}
         if near:
             counts[s] = (len(near), len({x[0] for x in near} - {None}))
-    found = drift.span_counts(sessions, changes)
+    edges, found = drift.gap_fill(sessions, changes), drift.span_counts(sessions, changes)
+    assert {(r["src"], r["dst"]): (r["version"], r["lines"]) for r in edges.collect()} == first and edges.count() == len(first)
     assert {r["session"]: (r["versions"], r["artifacts"]) for r in found.collect()} == counts
-    assert drift.span_counts(sessions, changes.limit(0)).count() == 0
+    assert drift.gap_fill(sessions.limit(0), changes).count() == drift.span_counts(sessions, changes.limit(0)).count() == 0

@@ -100,10 +100,17 @@ def _type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def gap_fill(pairs: DataFrame) -> DataFrame:
-    """Edges of each session to the artifacts that changed in its span; the first version seen stays."""
-    first = F.min_by(F.struct("version", "lines"), F.struct("ts", "version"))
-    return pairs.groupBy("session", "artifact_id").agg(first.alias("x")).select(F.lit("task_modifies_artifact").alias("kind"), F.col("session").alias("src"), F.col("artifact_id").alias("dst"), "x.*")
+def gap_fill(sessions: DataFrame, versions: DataFrame, slack: str = SLACK) -> DataFrame:
+    """Edges of each session (one row: session, key, first, last) to the artifacts of its key that changed within `slack` of its span; the first version (version, lines, ts) seen stays."""
+
+    def body(mine: pa.Table, bounds: np.ndarray, low: np.ndarray, high: np.ndarray, names: pa.ChunkedArray) -> pa.Table:
+        at, who = np.nonzero(low < high)
+        place = pa.array(low[at, who])
+        return pa.table([names.take(pa.array(who)), *(mine.column(c).take(place) for c in ("artifact_id", "version", "lines"))], names=["src", "dst", "version", "lines"])
+
+    schema = f"src {_type(sessions, 'session')}, dst {_type(versions, 'artifact_id')}, version {_type(versions, 'version')}, lines {_type(versions, 'lines')}"
+    found = _met(sessions, versions.select("artifact_id", "key", "ts", "version", "lines"), slack, body, schema)
+    return found.select(F.lit("task_modifies_artifact").alias("kind"), "src", "dst", "version", "lines")
 
 
 def span_counts(sessions: DataFrame, versions: DataFrame, slack: str = SLACK) -> DataFrame:

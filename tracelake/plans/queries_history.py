@@ -195,7 +195,7 @@ def interval_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SPAN} SELECT 'task_modifies_artifact' AS kind, session AS src, artifact_id AS dst, version, lines FROM (SELECT *, row_number() OVER (PARTITION BY session, artifact_id ORDER BY ts, version) AS rn FROM j) WHERE rn = 1")
 def gap_fill(spark: SparkSession, d: str) -> DataFrame:
-    return drift.gap_fill(drift.correlate(*spans(spark, d)))
+    return drift.gap_fill(*spans(spark, d))
 
 
 @query("""SELECT conv_id, ordinal, count(*) AS records, min(turn) AS first_turn FROM (SELECT *, sum(CASE WHEN role = 'user' AND trim(text) <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT - 1 AS ordinal FROM conversations) WHERE ordinal >= 0 GROUP BY 1, 2""")
