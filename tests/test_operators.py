@@ -58,6 +58,20 @@ def test_components_and_closure(spark, edges):
     assert {r["id"] for r in reach.collect()} == seen - {edges[0][1]}
 
 
+def test_components_of_few_edges_take_one_checkpoint(spark, monkeypatch):
+    """Of a chain, which takes several rounds of contraction; more edges than FEW give the same by rounds."""
+    taken = []
+    monkeypatch.setattr(coupling, "checkpointed", lambda df, f=coupling.checkpointed: taken.append(df) or f(df))
+    chain = [(f"n{i:02}", f"n{i + 1:02}") for i in range(40)] + [("é", "z"), ("z", "z"), ("z", None)]
+    found = []
+    for few in (coupling.FEW, 0):
+        monkeypatch.setattr(coupling, "FEW", few)
+        found.append({(r["id"], r["component"]) for r in coupling.components(spark.createDataFrame(chain, "src string, dst string")).collect()})
+        taken.append(None)
+    assert found[0] == found[1] == {(f"n{i:02}", "n00") for i in range(41)} | {("é", "z"), ("z", "z")}
+    assert taken.index(None) == 1 and len(taken) > 4
+
+
 def test_rollup(spark):
     symbols = spark.createDataFrame([("f", 0.2, 0.0), ("f", 0.8, 0.4)], "parent_id string, a double, p double")
     files = spark.createDataFrame([("f", "r", 0.0, 0.1), ("g", "r", 0.3, 0.0)], "id string, parent_id string, a double, p double")

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import coupling
+from ..operators.coupling import Forest
 from . import similar
 from .common import materialise, shared_dir, shuffle_width, table
 from .shingle import BITS, fingerprint, hashes
@@ -116,29 +117,6 @@ class Tree:
         return float((all_ * mine).sum()) <= 0.5 * len(points) ** 2
 
 
-class Forest:
-    """Union-find over rows 0..n-1, by arrays."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def roots(self, x: np.ndarray) -> np.ndarray:
-        r = self.up[x]
-        while True:
-            s = self.up[r]
-            if np.array_equal(r, s):
-                return r
-            r = s
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            ra, rb = self.roots(a), self.roots(b)
-            apart = ra != rb
-            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-            np.minimum.at(self.up, np.maximum(ra, rb), np.minimum(ra, rb))
-        self.up = self.roots(self.up)
-
-
 def local_links(fps: np.ndarray, home: np.ndarray, mask: int, r: int, radius: int, leaf: int = LEAF) -> Forest:
     """Joins each resident with every row within `radius` bits that is within r in the mask's bits.
 
