@@ -156,3 +156,23 @@ def test_odd_rows(spark, docs, odd, empty):
 
 def test_words():
     assert tox.tokens("Ab, cd_ef 12 éa!".encode()) == {"ab": 1, "cd": 1, "ef": 1, "éa": 1} and tox.tokens(None) == {}
+
+
+def test_many_texts_are_searched_and_numbered_at_once(monkeypatch):
+    """Equal to one at a time and to the pattern of words, with common and rare terms, over several blocks."""
+    monkeypatch.setattr(tox, "COMMON", 7)
+    monkeypatch.setattr(tox, "QUERIES", 6)
+    rng = np.random.default_rng(3)
+    dense = (rng.random((300, 40)) < 0.2) * rng.random((300, 40)) + np.eye(300, 40)[:, ::-1]
+    dense /= np.maximum(np.linalg.norm(dense, axis=1), 1e-9)[:, None]
+    index = tox.Index(np.arange(300), np.arange(300) % 2, [(np.nonzero(r)[0], r[r > 0]) for r in dense], 40, 16)
+    queries = [(np.nonzero(r)[0], r[r > 0]) for r in dense[:40]] + [(np.empty(0, int), np.empty(0))]
+    for q, near in zip(queries, index.search(queries, 9)):
+        assert near == index.nearest(*q, 9)
+        cosines = np.sort(np.round(dense[:, q[0]] @ q[1], 12))[::-1][:9]
+        assert [c for c, _ in near] == pytest.approx([c for c in cosines if c > 0])
+    texts = ["", "Straße ΣΑΣ İstanbul x² ab１２cd ١٢ab ñandú_é 日本語 ét \x00a\nbc de de", "aa AA b c_dd 7ee", None]
+    counts = [Counter(re.findall(r"[^\W\d_]{2,}", (t or "").lower())) for t in texts]
+    known = sorted({w for c in counts for w in c} - {"de"})
+    got = tox.numbers([None if t is None else t.encode() for t in texts], tox.pa.array(known))
+    assert [dict(zip((known[i] for i in terms), n)) for terms, n in got] == [{w: n for w, n in c.items() if w in known} for c in counts]

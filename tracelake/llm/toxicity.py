@@ -9,9 +9,12 @@ no example and carry no weight. The vectors are put in an order that keeps likes
 cut into blocks; a term's postings are kept by block with the block's largest weight. per_class and LONGEST bound the
 index, whatever the corpus.
 
-Search: the sum of block maxima bounds every cosine in a block. The FIRST blocks by bound give a k-th best cosine; of
-the others only those whose bound reaches it are read, so the k nearest examples are exact. Ties go to the example
-with the smaller id. Votes weigh the cosine squared and, since classes are sampled evenly, their class's share of
+Search: of the COMMON commonest terms a block is a small matrix and each term has the block's largest weight; the
+others have postings. For a text, the sum of its common terms' largest weights and the block's best sum over the rare
+ones bound every cosine in the block. The FIRST blocks by bound give a k-th best cosine; of the others only those whose
+bound reaches it are read. Texts are taken QUERIES at a time, and a block is read once for all of these that need it, in
+single precision; rows that could be among the k by its error bound are compared in double precision, so the k nearest
+examples are exact. Ties go to the example with the smaller id. Votes weigh the cosine squared and, since classes are sampled evenly, their class's share of
 all labelled training rows; a logistic curve fitted on left-one-out votes of the sample makes them calibrated
 probabilities. A text with no term of the sample gets the smoothed rate of toxic training rows.
 
@@ -28,10 +31,12 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,12 +45,13 @@ from .common import fold, sliced, table
 
 FOLDS, HELD = 5, 0
 PER_CLASS, LONGEST, NEIGHBOURS, BLOCK, FIRST = 4096, 1 << 14, 15, 64, 8
-COMMON = 1024
+COMMON, QUERIES = 1024, 128
 #: Of z squared: what it takes for half the weight.
 SHRINK = 200.0
 #: Added to either side of a vote.
 SMOOTH = 0.05
 WORD = re.compile(r"[^\W\d_]{2,}")
+ASCII = {c: " " for c in range(128) if not chr(c).isalpha()}
 
 
 def tokens(text: bytes | None) -> Counter:
@@ -53,6 +59,20 @@ def tokens(text: bytes | None) -> Counter:
     return Counter(WORD.findall(text.decode().lower())) if text else Counter()
 
 
+@cache
+def letters() -> np.ndarray:
+    """By code point: itself if it stands in words, else a space."""
+    return np.array([c if chr(c).isalnum() and not chr(c).isdecimal() else 32 for c in range(0x110000)], np.uint32)
+
+
+def lettered(text: bytes | None) -> str:
+    """The text in lower case with spaces instead of all that stands in no word. Single letters stay; they are no terms."""
+    lower = text.decode().lower() if text else ""
+    if lower.isascii():
+        return lower.translate(ASCII)
+    return letters()[np.frombuffer(lower.encode("utf-32-le"), np.uint32)].tobytes().decode("utf-32-le")
+
+
 def spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """All numbers from each start up to its end, one after the other."""
     size = end - start
@@ -97,72 +117,106 @@ def likes(vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int)
 
 
 class Index:
-    """Block-max inverted index of unit vectors over numbered terms."""
+    """Block-max index of unit vectors over numbered terms."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK):
         """vectors: (terms, weights) of each row, of length one."""
         order = likes(vectors, terms, block)
-        self.n, self.block, self.blocks = len(order), block, -(-len(order) // block)
+        self.n, self.block, self.blocks, self.terms = len(order), block, -(-len(order) // block), terms
         self.ids, self.labels = np.asarray(ids, np.int64)[order], np.asarray(labels, np.int8)[order]
         self.vectors = [vectors[i] for i in order]
-        sizes = [len(t) for t, _ in self.vectors]
-        term = np.concatenate([t for t, _ in self.vectors]) if order else np.empty(0, np.int64)
-        weight = np.concatenate([w for _, w in self.vectors]) if order else np.empty(0)
-        row = np.repeat(np.arange(self.n), sizes)
-        sort = np.lexsort((row, term))
-        term, self.weight, self.row = term[sort], weight[sort], row[sort].astype(np.intp)
-        # Entries: a term's postings within a block, in order of term and block.
-        key = term * max(1, self.blocks) + self.row // block
-        self.first = np.nonzero(np.diff(key, prepend=-1))[0]
-        self.last = np.append(self.first[1:], len(key))
-        self.at = (key[self.first] % max(1, self.blocks)).astype(np.int32)
-        self.top = np.maximum.reduceat(self.weight, self.first) if len(key) else np.empty(0)
-        self.start = np.searchsorted(term[self.first], np.arange(terms + 1))
-        self.whole = np.searchsorted(term, np.arange(terms + 1))  # a term's postings over all blocks
-
-    def _sums(self, entries: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Dot products with all rows over the postings of `entries`."""
-        low, high = self.first[entries], self.last[entries]
-        at = spans(low, high)
-        return np.bincount(self.row[at], np.repeat(weights, high - low) * self.weight[at], self.n)
-
-    def _all(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Dot products with all rows."""
-        low, high = self.whole[terms], self.whole[terms + 1]
-        pieces = [*zip(low.tolist(), high.tolist())]
-        products = np.concatenate([self.weight[a:b] for a, b in pieces])
-        products *= np.repeat(weights, high - low)
-        return np.bincount(np.concatenate([self.row[a:b] for a, b in pieces]), products, self.n)
+        # Rows one after the other.
+        self.begin = np.cumsum([0, *(len(t) for t, _ in self.vectors)])
+        self.term = np.concatenate([t for t, _ in self.vectors]).astype(np.int64) if order else np.empty(0, np.int64)
+        self.weight = np.concatenate([w for _, w in self.vectors]) if order else np.empty(0)
+        seen = np.bincount(self.term, minlength=terms)
+        common = np.argsort(-seen, kind="stable")[:COMMON]
+        self.place = np.full(terms, -1, np.int32)
+        self.place[common] = np.arange(len(common))
+        # Postings of the rare terms.
+        row = np.repeat(np.arange(self.n), np.diff(self.begin))
+        rare = np.nonzero(self.place[self.term] < 0)[0] if self.n else np.empty(0, np.int64)
+        rare = rare[np.argsort(self.term[rare], kind="stable")]
+        self.start = np.searchsorted(self.term[rare], np.arange(terms + 1))
+        self.row, self.rare = row[rare].astype(np.int32), self.weight[rare]
+        #: A sum of so many products of single precision is wrong by less than this share; doubled for a comparison of two.
+        self.error = 2.5 * (len(common) + 8) * 2.0**-24
+        self.dense = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"dense": None, "top": None}
+
+    def _open(self) -> None:
+        """The common terms' weights by row, and their largest by block."""
+        width = min(COMMON, self.terms)
+        self.dense = np.zeros((self.blocks * self.block, width), np.float32)
+        row, at = np.repeat(np.arange(self.n), np.diff(self.begin)), self.place[self.term]
+        self.dense[row[at >= 0], at[at >= 0]] = self.weight[at >= 0]
+        self.dense = self.dense.reshape(self.blocks, self.block, width)
+        self.top = np.ascontiguousarray(self.dense.max(1).T)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k best (cosine, row) with a positive cosine, best first; row `without` is left out."""
-        if not self.n or not len(terms):
-            return []
-        low, high = self.start[terms], self.start[terms + 1]
-        entries, w = spans(low, high), np.repeat(weights, high - low)
-        bound = np.bincount(self.at[entries], w * self.top[entries], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        chosen = np.zeros(self.blocks, bool)
-        chosen[order[:FIRST]] = True
-        now = chosen[self.at[entries]]
-        sums = self._sums(entries[now], w[now])
-        if without >= 0:
-            sums[without] = 0
-        rows = (order[:FIRST, None] * self.block + np.arange(self.block)).ravel()
-        best = sums[rows[rows < self.n]]
+        return self.search([(terms, weights)], k, [without])[0]
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """nearest() of each query."""
+        out = []
+        for low in range(0, len(queries), QUERIES):
+            out += self._some(queries[low : low + QUERIES], k, (without or [-1] * len(queries))[low : low + QUERIES])
+        return out
+
+    def _some(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int]) -> list[list[tuple[float, int]]]:
+        if not self.n or not sum(len(t) for t, _ in queries):
+            return [[] for _ in queries]
+        if self.dense is None:
+            self._open()
+        q, size = len(queries), self.blocks * self.block
+        who, term = np.repeat(np.arange(q), [len(t) for t, _ in queries]), np.concatenate([t for t, _ in queries])
+        weight, at = np.concatenate([w for _, w in queries]), self.place[term]
+        common, rare = at >= 0, at < 0
+        dense = np.zeros((q, self.top.shape[0]), np.float32)
+        dense[who[common], at[common]] = weight[common]
+        first, last = self.start[term[rare]], self.start[term[rare] + 1]
+        post = spans(first, last)
+        sums = np.bincount(np.repeat(who[rare] * size, last - first) + self.row[post], np.repeat(weight[rare], last - first) * self.rare[post], q * size)
+        sums = sums.astype(np.float32).reshape(q, self.blocks, self.block)
+        bound = (dense @ self.top + sums.max(2)) * np.float32(1 + self.error)
+        cosines, left_out = np.zeros((q, self.blocks, self.block), np.float32), [(i, *divmod(r, self.block)) for i, r in enumerate(without) if r >= 0]
+
+        def read(wanted: np.ndarray) -> None:
+            for b in np.nonzero(wanted.any(0))[0]:
+                i = np.nonzero(wanted[:, b])[0]
+                cosines[i, b] = dense[i] @ self.dense[b].T + sums[i, b]
+            for place in left_out:
+                cosines[place] = 0
+
+        chosen = np.zeros((q, self.blocks), bool)
+        best = np.argpartition(-bound, min(FIRST, self.blocks) - 1, axis=1)[:, :FIRST]
+        np.put_along_axis(chosen, best, True, 1)
+        read(chosen)
+        found = np.take_along_axis(cosines, best[:, :, None], 1).reshape(q, -1)
         # No less than the k-th best of all has to be.
-        floor = np.partition(best, len(best) - k)[len(best) - k] * (1 - 1e-9) - 1e-11 if len(best) >= k else 0.0
-        more = (bound >= floor) & (bound > 0) & ~chosen
-        if 3 * more.sum() > self.blocks:  # read in one piece a term
-            sums = self._all(terms, weights)
-        elif more.any():
-            now = more[self.at[entries]]
-            sums += self._sums(entries[now], w[now])
-        if without >= 0:
-            sums[without] = 0
-        hits = np.nonzero(sums >= floor if floor > 0 else sums > 0)[0]
-        cosines = np.round(sums[hits], 12)
-        return [(float(cosines[i]), int(hits[i])) for i in np.lexsort((self.ids[hits], -cosines))[:k] if cosines[i] > 0]
+        floor = np.partition(found, -k, axis=1)[:, -k] * np.float32(1 - self.error) if found.shape[1] >= k else np.zeros(q, np.float32)
+        read((bound >= floor[:, None]) & (bound > 0) & ~chosen)
+        cosines = cosines.reshape(q, size)
+        out, exact = [], np.zeros(self.terms)
+        near = (cosines >= floor[:, None]) & (cosines > 0)
+        for i, (t, w) in enumerate(queries):
+            rows = np.nonzero(near[i])[0]
+            if len(rows) > k:
+                c = cosines[i, rows]
+                rows = rows[c >= np.partition(c, -k)[-k] * np.float32(1 - self.error)]
+            if not len(rows):
+                out.append([])
+                continue
+            exact[t] = w
+            low, high = self.begin[rows], self.begin[rows + 1]
+            entries = spans(low, high)
+            found = np.round(np.add.reduceat(self.weight[entries] * exact[self.term[entries]], np.cumsum(high - low) - (high - low)), 12)
+            exact[t] = 0
+            out.append([(float(found[j]), int(rows[j])) for j in np.lexsort((self.ids[rows], -found))[:k] if found[j] > 0])
+        return out
 
 
 def unit(terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,9 +249,9 @@ class Model:
             sums[y] += cosine * cosine * self.share[y]
         return max(-12.0, min(12.0, math.log(sums[1] / sums[0]))) if near else None
 
-    def left_out(self, row: int) -> float | None:
-        """The vote on an example by the others."""
-        return self.vote(self.index.nearest(*self.index.vectors[row], self.k, without=row))
+    def left_out(self, rows: list[int]) -> list[float | None]:
+        """The vote on each of these examples by the others."""
+        return [self.vote(near) for near in self.index.search([self.index.vectors[r] for r in rows], self.k, rows)]
 
     def calibrate(self, rows: list[int], votes: list[float]) -> None:
         """Platt's curve on left-one-out votes; classes count by their share of all labelled rows."""
@@ -226,13 +280,13 @@ class Model:
         if theta[0] > 0:
             self.a, self.b = map(float, theta)
 
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
-        """Probability, and the doc_ids of the nearest examples as evidence."""
-        near = self.index.nearest(*unit(terms, counts, self.weight), self.k)
-        v = self.vote(near)
-        if v is None:
-            return self.empty, []
-        return 1 / (1 + math.exp(-self.a * v - self.b)), [int(self.index.ids[i]) for _, i in near[:3]]
+    def scores(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
+        """Probability of each text (terms, counts), and the doc_ids of the nearest examples as evidence."""
+        out = []
+        for near in self.index.search([unit(*t, self.weight) for t in texts], self.k):
+            v = self.vote(near)
+            out.append((self.empty, []) if v is None else (1 / (1 + math.exp(-self.a * v - self.b)), [int(self.index.ids[i]) for _, i in near[:3]]))
+        return out
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[tuple[int, int, bytes]], tuple[int, int]]:
@@ -249,22 +303,26 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tu
     return [(r["doc_id"], r["y"], bytes(r["text"])) for r in rows], (sizes.get(0, 0), sizes.get(1, 0))
 
 
-def numbers(text: bytes | None, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The known terms of a text, in order, and their counts."""
-    known = [number[w] for w in WORD.findall(text.decode().lower()) if w in number] if text else []
-    terms, counts = np.unique(np.array(known, np.int64), return_counts=True)
-    return terms, counts.astype(float)
+def numbers(texts: list[bytes | None], known: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The known terms of each text, in order, and their counts. known: the words, in order."""
+    found = pc.split_pattern(pa.array(map(lettered, texts), pa.string()), " ")
+    term = pc.fill_null(pc.index_in(found.flatten(), value_set=known), -1).to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), pc.list_value_length(found).to_numpy())
+    key, counts = np.unique((row * len(known) + term)[term >= 0], return_counts=True)
+    ends = np.searchsorted(key, np.arange(len(texts) + 1) * len(known))
+    term, counts = key % max(1, len(known)), counts.astype(float)
+    return [(term[x:y], counts[x:y]) for x, y in zip(ends[:-1], ends[1:])]
 
 
 def frequencies(docs: DataFrame, shared: Broadcast) -> tuple[np.ndarray, int]:
     """In how many of all rows each term stands, and the number of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = shared.value
-        seen = np.zeros(len(number) + 1, np.int64)
+        known = shared.value
+        seen = np.zeros(len(known) + 1, np.int64)
         for b in sliced(batches, 0):
-            for text in b.column(0):
-                seen[numbers(text.as_py(), number)[0]] += 1
+            for terms, _ in numbers(b.column(0).to_pylist(), known):
+                seen[terms] += 1
             seen[-1] += b.num_rows
         (at,) = np.nonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at])], names=["t", "n"])
@@ -278,7 +336,7 @@ def frequencies(docs: DataFrame, shared: Broadcast) -> tuple[np.ndarray, int]:
 def fit(docs: DataFrame, examples: list[tuple[int, int, bytes]], sizes: tuple[int, int], shared: Broadcast, k: int = NEIGHBOURS) -> Model:
     spark, terms = docs.sparkSession, len(shared.value)
     df, total = frequencies(docs, shared)
-    raw = [numbers(text, shared.value) for _, _, text in examples]
+    raw = [v for low in range(0, len(examples), 1024) for v in numbers([text for _, _, text in examples[low : low + 1024]], shared.value)]
     ids, labels = np.array([i for i, _, _ in examples], np.int64), np.array([y for _, y, _ in examples], np.int8)
     weight = (np.log((1 + total) / (1 + df)) + 1) * relevance(raw, labels, terms)
     vectors = [unit(*v, weight) for v in raw]
@@ -289,7 +347,7 @@ def fit(docs: DataFrame, examples: list[tuple[int, int, bytes]], sizes: tuple[in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            votes = [whole.value.left_out(r) for r in b.column(0).to_pylist()]
+            votes = whole.value.left_out(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes, pa.float64())], names=["row", "vote"])
 
     # One row an example.
@@ -310,21 +368,19 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int
     if len({y for _, y, _ in examples}) < 2:
         prior = F.lit(sizes[1] / max(1, sum(sizes)))
         return docs.select("doc_id", held, prior.alias("score"), (prior >= 0.5).cast("int").alias("predicted"), F.array().cast("array<long>").alias("evidence"))
-    shared = spark.sparkContext.broadcast({w: i for i, w in enumerate(sorted({w for _, _, text in examples for w in tokens(text)}))})
+    shared = spark.sparkContext.broadcast(pa.array(sorted({w for _, _, text in examples for w in tokens(text)}), pa.string()))
     model = spark.sparkContext.broadcast(fit(docs, examples, sizes, shared, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, number, done = model.value, shared.value, {}
+        m, known, done = model.value, shared.value, {}
         for b in sliced(batches, 1):
-            out = []
-            for text in b.column(1):
-                text = text.as_py() or b""
-                key = blake2b(text, digest_size=16).digest()
-                if key not in done:
-                    if len(done) > 50_000:
-                        done.clear()
-                    done[key] = m.score(*numbers(text, number))
-                out.append(done[key])
+            texts = [t or b"" for t in b.column(1).to_pylist()]
+            keys = [blake2b(t, digest_size=16).digest() for t in texts]
+            if len(done) > 50_000:
+                done.clear()
+            new = {k: t for k, t in zip(keys, texts) if k not in done}
+            done |= zip(new, m.scores(numbers([*new.values()], known)))
+            out = [done[k] for k in keys]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
     scored = docs.mapInArrow(run, "doc_id long, score double, evidence array<long>")
