@@ -265,3 +265,24 @@ def test_spans_meet_in_pieces_without_pairs(spark, monkeypatch):
     assert {(r["src"], r["dst"]): (r["version"], r["lines"]) for r in edges.collect()} == first and edges.count() == len(first)
     assert {r["session"]: (r["versions"], r["artifacts"]) for r in found.collect()} == counts
     assert drift.gap_fill(sessions.limit(0), changes).count() == drift.span_counts(sessions, changes.limit(0)).count() == 0
+
+
+def test_turns_meet_versions_in_slots_without_pairs(spark, monkeypatch):
+    """Drift equals brute force for short, long and endless spans, over several batches; no join, and no list of paths is shuffled."""
+    monkeypatch.setattr(drift, "PATHS", 5)
+    monkeypatch.setattr(drift, "SLOTS", tuple(7_200_000_000 * 4**i for i in range(3)))
+    rng = random.Random(8)
+    v = [(rng.choice([0, 1, None]), rng.choice([at(60 * rng.randrange(-20000, 20000)), None]), rng.choice([*"abcdefgh", "é", "zz", None])) for _ in range(400)]
+    turns = [(i, rng.choice([0, 1, 2, None]), rng.choice([at(60 * t), None] if i % 7 == 0 else [at(60 * t)]), at(60 * (t + rng.choice([0, 40, 400, 3000, 30000]))), sorted(rng.sample("abcxyé", rng.randrange(4)))) for i in range(120) for t in [rng.randrange(-20000, 20000)]]
+    frame = spark.createDataFrame(turns, "id int, key int, first timestamp, last timestamp, declared_so_far array<string>")
+    found = drift.observed(frame, spark.createDataFrame(v, "key int, ts timestamp, path string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    got = {r["id"]: r for r in found.collect()}
+    assert len(got) == len(turns)
+    for i, k, a, b, said in turns:
+        done = sorted({p for key, t, p in v if p and t and a and k is not None and key == k and a - timedelta(minutes=30) <= t <= b + timedelta(minutes=30)})
+        undeclared, phantom = sorted(set(done) - set(said)), sorted(set(said) - set(done))
+        score = (len(undeclared) + len(phantom)) / len(set(done) | set(said)) if done or said else 0.0
+        assert (got[i]["done"], got[i]["drift"]["undeclared"], got[i]["drift"]["phantom"], got[i]["declared_so_far"]) == (done, undeclared, phantom, said)
+        assert got[i]["drift"]["score"] == pytest.approx(score)

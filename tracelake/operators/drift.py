@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 from pyspark.sql.window import Window
 
 SLACK = "INTERVAL 30 MINUTES"
 #: Of a key, about so many versions meet about so many sessions in one piece of work.
 VERSIONS, SESSIONS = 16384, 512
+#: Microseconds of the slots in which turns meet versions, by the length of their spans; longer spans are in one slot. So many paths are in a batch of the result.
+SLOTS, PATHS = tuple(7_200_000_000 * 16**i for i in range(4)), 1 << 18
 
 
 def drift(declared: Column, actual: Column) -> Column:
@@ -125,6 +128,82 @@ def span_counts(sessions: DataFrame, versions: DataFrame, slack: str = SLACK) ->
     return found.groupBy("session").agg(F.sum("versions").alias("versions"), F.sum("artifacts").alias("artifacts")).where("versions > 0")
 
 
+def observed(turns: DataFrame, versions: DataFrame, slack: str = SLACK) -> DataFrame:
+    """Adds done, the paths of its key that changed within `slack` of a turn's span, and drift against what it declared.
+
+    Turns: key, first, last, declared_so_far (distinct, in order), ...; versions: key, ts, path. No pair of a turn and a
+    version is a row, and no list of paths is shuffled: a turn goes to the slot where its span begins, which is as long as the span
+    at least, and a version to its own slot and the one before. Slots have the lengths that some span needs. A slot's
+    versions are held whole, its turns stream past them.
+    """
+    moment = lambda name, sign: F.unix_micros(F.col(name) + sign * F.expr(slack))
+    begin, end = moment("first", -1), moment("last", 1)
+    level, slot = F.lit(len(SLOTS)), F.lit(0).cast("long")
+    for i, size in reversed([*enumerate(SLOTS)]):
+        level, slot = F.when(end - begin <= size, i).otherwise(level), F.when(end - begin <= size, F.floor(begin / size)).otherwise(slot)
+    met = F.col("key").isNotNull() & begin.isNotNull() & end.isNotNull()
+    piece = lambda level, slot: F.concat_ws("/", level.cast("string"), slot.cast("string"), F.col("key").cast("string"))
+    none = F.concat(F.lit("-1/"), F.pmod(F.xxhash64("first", "last", "key", "declared_so_far"), F.lit(1024)).cast("string"))  # these meet nothing
+    used = sorted(r[0] for r in turns.where(met).select(level.alias("level")).distinct().collect())
+    row = F.struct(*(F.col(f"`{c}`") for c in turns.columns))
+    mine = turns.select(F.when(met, piece(level, slot)).otherwise(none).alias("piece"), F.lit(1).alias("kind"), begin.alias("a"), end.alias("b"), F.lit(None).cast("string").alias("path"), row.alias("row"))
+    at = F.unix_micros("ts")
+    places = [piece(F.lit(i), F.floor(at / SLOTS[i]) - back) for i in used if i < len(SLOTS) for back in (0, 1)] + [piece(F.lit(i), F.lit(0)) for i in used if i == len(SLOTS)]
+    known = versions.where("key IS NOT NULL AND ts IS NOT NULL AND path IS NOT NULL")
+    seen = known.select(F.explode(F.array(*places) if places else F.array().cast("array<string>")).alias("piece"), F.lit(0).alias("kind"), at.alias("a"), at.alias("b"), "path", F.lit(None).cast(turns.schema).alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, times, paths, names = None, [], [], None
+        for b in batches:
+            code = b.column("piece").dictionary_encode().indices.to_numpy()
+            bounds = np.flatnonzero(np.diff(code, prepend=-1, append=-1))
+            for low, high in zip(bounds[:-1], bounds[1:]):
+                part = b.slice(low, high - low)
+                if part.column("piece")[0].as_py() != now:
+                    now, times, paths, names = part.column("piece")[0].as_py(), [], [], None
+                n = int((part.column("kind").to_numpy() == 0).sum())
+                if n:
+                    times.append(part.column("a").slice(0, n).to_numpy())
+                    paths.append(part.column("path").slice(0, n))
+                if n == part.num_rows:
+                    continue
+                if names is None:
+                    path = pa.chunked_array(paths, pa.string()).combine_chunks()
+                    names = pc.unique(path)
+                    names = names.take(pc.sort_indices(names))
+                    t, code_of = np.concatenate([np.empty(0, np.int64), *times]), pc.index_in(path, value_set=names).to_numpy()
+                    there, times, paths = np.zeros(len(names), bool), [], []
+                part = part.slice(n)
+                start, stop = (np.searchsorted(t, pc.fill_null(part.column(c), 0).to_numpy(), side) for c, side in (("a", "left"), ("b", "right")))
+                rows = part.column("row")
+                said = pc.struct_field(rows, "declared_so_far")
+                ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(said), 0).to_pylist()])
+                said = said.flatten()
+                own = pc.fill_null(pc.index_in(said, value_set=names), -1).to_numpy()
+                first, size, new, lost = 0, 0, [], []
+                for i in range(part.num_rows):
+                    done, mine = code_of[start[i] : stop[i]], own[ends[i] : ends[i + 1]]
+                    there[done] = True
+                    lost.append(ends[i] + np.flatnonzero(~there[mine] | (mine < 0)) if len(names) else np.arange(ends[i], ends[i + 1]))
+                    there[mine[mine >= 0]] = False
+                    new.append(np.flatnonzero(there))
+                    there[done] = False
+                    size += len(new[-1])
+                    if i + 1 == part.num_rows or size > PATHS:
+                        lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), of.take(pa.array(np.concatenate(x)))) for x, of in ((new, names), (lost, said))]
+                        yield pa.RecordBatch.from_arrays([rows.slice(first, i + 1 - first), *lists], names=["row", "undeclared", "phantom"])
+                        first, size, new, lost = i + 1, 0, [], []
+
+    schema = StructType().add("row", turns.schema).add("undeclared", ArrayType(StringType())).add("phantom", ArrayType(StringType()))
+    width = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = mine.union(seen).repartition(width, "piece").sortWithinPartitions("piece", "kind", "a").mapInArrow(run, schema)
+    wrong = F.size("undeclared") + F.size("phantom")
+    union = F.size("undeclared") + F.size("row.declared_so_far")
+    score = F.when(union > 0, wrong.cast("double") / union).otherwise(0.0)
+    done = F.array_sort(F.array_union(F.array_except("row.declared_so_far", "phantom"), "undeclared"))
+    return found.select("row.*", done.alias("done"), F.struct("undeclared", "phantom", score.alias("score")).alias("drift"))
+
+
 def verdict(versions: DataFrame, key: str, order: list[str], drift_col: str = "drift") -> DataFrame:
     """Each session's last drift that isn't null, kept only if it names something."""
     last = F.max_by(drift_col, F.struct(*order))

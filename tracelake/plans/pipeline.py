@@ -42,12 +42,8 @@ def declared_turns(turn_rows: DataFrame) -> DataFrame:
 
 def observe(turn_rows: DataFrame, versions: DataFrame) -> DataFrame:
     """Each turn's drift: paths declared so far against files of the session's repository that changed within its span, half an hour to either side. Turns: repo, null where it isn't known; versions: repo, path, ts."""
-    t = declared_turns(turn_rows)
-    spans = t.select(F.struct("session_id", "ordinal").alias("session"), F.col("started").alias("first"), F.col("timestamp").alias("last"), F.col("repo").alias("key"))
-    pairs = drift.correlate(spans, versions.select(F.col("repo").alias("key"), "ts", "path"))
-    done = pairs.groupBy("session").agg(F.array_sort(F.collect_set("path")).alias("done")).select("session.session_id", "session.ordinal", "done")
-    out = t.join(done, ["session_id", "ordinal"], "left").withColumn("done", F.coalesce("done", F.array().cast("array<string>")))
-    return out.withColumn("drift", drift.drift(F.col("declared_so_far"), F.col("done")))
+    t = declared_turns(turn_rows).withColumns({"key": F.col("repo"), "first": F.col("started"), "last": F.col("timestamp")})
+    return drift.observed(t, versions.select(F.col("repo").alias("key"), "ts", "path")).drop("key", "first", "last")
 
 
 def session_repo(turn_rows: DataFrame, versions: DataFrame, roots: dict[str, str] | None = None) -> DataFrame:
